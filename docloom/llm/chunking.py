@@ -41,7 +41,7 @@ PIECE = T.StructType(
 
 def _joined(text: str, at: int) -> bool:
     """Whether a cut at ``at`` would part a character from its marks or joiners."""
-    return 0 < at < len(text) and (unicodedata.combining(text[at]) > 0 or text[at] in "‍️" or text[at - 1] == "‍")
+    return 0 < at < len(text) and (unicodedata.combining(text[at]) > 0 or text[at] in "\u200D\uFE0F" or text[at - 1] == "\u200D")
 
 
 def cut_points(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]]:

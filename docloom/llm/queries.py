@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import chunking, leakage, nearcopies
+from docloom.llm import chunking, leakage, lookalikes, nearcopies
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": chunking.p3_found,
     "p3_pieces": chunking.p3_pieces,
     "p5_found": nearcopies.p5_found,
     "p5_groups": nearcopies.p5_groups,
+    "p6_found": lookalikes.p6_found,
+    "p6_forms": lookalikes.p6_forms,
     "p7_found": leakage.p7_found,
     "p7_near": leakage.p7_near,
 }
@@ -20,5 +22,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "p3_found": chunking.P3_FOUND_SQL,
     "p5_found": nearcopies.P5_FOUND_SQL,
+    "p6_found": lookalikes.P6_FOUND_SQL,
     "p7_found": leakage.P7_FOUND_SQL,
 }
