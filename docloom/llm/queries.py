@@ -6,17 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import chunking, leakage, lookalikes, nearcopies
+from docloom.llm import chunking, leakage, lookalikes, nearcopies, pairs, truncation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": chunking.p3_found,
     "p3_pieces": chunking.p3_pieces,
+    "p4_defects": pairs.p4_defects,
+    "p4_found": pairs.p4_found,
     "p5_found": nearcopies.p5_found,
     "p5_groups": nearcopies.p5_groups,
     "p6_found": lookalikes.p6_found,
     "p6_forms": lookalikes.p6_forms,
     "p7_found": leakage.p7_found,
     "p7_near": leakage.p7_near,
+    "p9_found": truncation.p9_found,
+    "p9_limits": truncation.p9_limits,
+    "p9_rates": truncation.p9_rates,
 }
 
 ORACLE_SQL: dict[str, str] = {
