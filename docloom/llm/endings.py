@@ -37,22 +37,22 @@ def _shape(line: Column) -> Column:
     return F.regexp_extract_all(F.regexp_replace(F.lower(line), r"\p{Nd}", "0"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
-def ending_features(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """id, marked, body_chars, body_bytes, n_lines, kind, first1, first2, n_words, last_word, balanced and stray of each text.
+def ending_features(df: DataFrame, id_col: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, the columns to keep, marked, body_chars, body_bytes, kind, first1, first2, n_words, last_word, balanced, stray and line_chars of each text.
 
     The body is the text without omission marks, a broken character or blanks after it; kind and the
     words are those of its last line. Null texts count as empty.
     """
-    base = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    base = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"), *keep)
     body = base.withColumn("body", F.regexp_replace("t", OMISSION, ""))
     body = body.withColumn("line", F.element_at(F.split("body", "\n"), -1)).withColumn("w", _shape(F.col("line")))
     mark = F.substring("t", F.length("body") + 1, 1000)
     return body.select(
         "id",
+        *keep,
         mark.rlike(r"[\x{FFFD}\x{2026}]|\.{3}").alias("marked"),
         F.length("body").alias("body_chars"),
         F.octet_length("body").alias("body_bytes"),
-        F.length("t").alias("chars"),
         _line_kind(F.col("line")).alias("kind"),
         F.get("w", F.lit(0)).alias("first1"),
         F.array_join(F.slice("w", 1, 2), " ").alias("first2"),
@@ -65,12 +65,12 @@ def ending_features(df: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def line_statistics(texts: DataFrame, text: str, least: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(starts, prefixes, whole) counted over all lines of all texts.
+    """(pairs, firsts, whole) counted over all lines of all texts.
 
-    starts (key, ended, open): lines that begin with the key (the first one or two words) and end
-    with a full stop, or without one. prefixes (key, ended): proper prefixes of first words. whole
-    (word, n): words that something follows, so that no cut made them. Keys seen
-    fewer than ``least`` times say nothing and are left out.
+    pairs (first2, e2, o2): lines that begin with the two words and end with a full stop, or without
+    one. firsts (first1, e1, o1, ep): the same for the first word, and as ep how often such lines begin
+    with a word that has first1 as a proper prefix. whole (last_word, n_end): words that something
+    follows, so that no cut made them. Keys seen fewer than ``least`` times say nothing and are left out.
     """
     split = texts.where(F.length(text) > 0).select(F.split(F.regexp_replace(F.col(text), r"([.!?])\s+(?=\p{Lu}|\x{BF})", "$1\n"), "\n").alias("ls"))
     lines = split.select(F.size("ls").alias("n"), F.posexplode("ls").alias("pos", "line")).where(F.length("line") > 0)
@@ -80,20 +80,21 @@ def line_statistics(texts: DataFrame, text: str, least: int = 3) -> tuple[DataFr
     starts = plain.select(F.explode(keys).alias("key"), (F.col("kind") == "terminal").cast("long").alias("e")).groupBy("key").agg(F.sum("e").alias("ended"), F.sum(1 - F.col("e")).alias("open"))
     starts = starts.where(F.col("ended") + F.col("open") >= least)
     single = starts.where(~F.col("key").contains(" ") & (F.col("ended") > F.col("open")))
-    prefixes = single.select("ended", F.explode(F.expr("transform(sequence(1, greatest(1, length(key) - 1)), i -> substring(key, 1, i))")).alias("key")).groupBy("key").agg(F.sum("ended").alias("ended"))
-    followed = lines.select(F.explode(F.array_distinct(F.when(F.col("inner") | (F.col("kind") == "terminal"), F.col("w")).otherwise(F.slice("w", 1, F.size("w") - 1)))).alias("word"))
-    whole = followed.where(~F.col("word").contains("0")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2)
-    return starts, prefixes, whole
+    prefixes = single.where(F.length("key") > 1).select("ended", F.explode(F.expr("transform(sequence(1, length(key) - 1), i -> substring(key, 1, i))")).alias("key")).groupBy("key").agg(F.sum("ended").alias("ep"))
+    is_pair = F.col("key").contains(" ")
+    pairs = starts.where(is_pair).select(F.col("key").alias("first2"), F.col("ended").alias("e2"), F.col("open").alias("o2"))
+    ones = starts.where(~is_pair).select("key", F.col("ended").alias("e1"), F.col("open").alias("o1"), F.lit(None).cast("long").alias("ep"))
+    null = F.lit(None).cast("long")
+    firsts = ones.union(prefixes.select("key", null, null, "ep")).groupBy(F.col("key").alias("first1")).agg(*[F.max(c).alias(c) for c in ("e1", "o1", "ep")])
+    followed = lines.select(F.explode(F.array_distinct(F.when(F.col("inner") | (F.col("kind") == "terminal"), F.col("w")).otherwise(F.slice("w", 1, F.size("w") - 1)))).alias("last_word"))
+    whole = followed.where(~F.col("last_word").contains("0")).groupBy("last_word").agg(F.count(F.lit(1)).alias("n_end")).where(F.col("n_end") >= 2)
+    return pairs, firsts, whole
 
 
 def incomplete(features: DataFrame, statistics: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
     """``features`` with score: how surely the text ends inside a word or a sentence (0 to 1)."""
-    starts, prefixes, whole = statistics
-    two = starts.select(F.col("key").alias("first2"), F.col("ended").alias("e2"), F.col("open").alias("o2"))
-    one = starts.select(F.col("key").alias("first1"), F.col("ended").alias("e1"), F.col("open").alias("o1"))
-    part = prefixes.select(F.col("key").alias("first1"), F.col("ended").alias("ep"))
-    ends = whole.select(F.col("word").alias("last_word"), F.col("n").alias("n_end"))
-    joined = features.join(two, "first2", "left").join(one, "first1", "left").join(part, "first1", "left").join(ends, "last_word", "left")
+    pairs, firsts, whole = statistics
+    joined = features.join(pairs, "first2", "left").join(firsts, "first1", "left").join(whole, "last_word", "left")
     ratio = lambda e, o: F.col(e) / (F.col(e) + F.col(o))
     fragment = (
         F.when(F.col("e2").isNotNull() & (F.col("n_words") > 1), ratio("e2", "o2"))

@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import chunking, leakage, lookalikes, mojibake, nearcopies, pairs, truncation
+from docloom.llm import chunking, leakage, lookalikes, mojibake, nearcopies, pairs, scans, truncation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": scans.p1_found,
+    "p1_paragraphs": scans.p1_paragraphs,
     "p2_found": mojibake.p2_found,
     "p2_restored": mojibake.p2_restored,
     "p3_found": chunking.p3_found,
