@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import chunking, leakage, lookalikes, mojibake, nearcopies, pairs, scans, truncation
+from docloom.llm import chunking, leakage, lookalikes, mixing, mojibake, nearcopies, pairs, scans, truncation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": scans.p1_found,
@@ -23,6 +23,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_forms": lookalikes.p6_forms,
     "p7_found": leakage.p7_found,
     "p7_near": leakage.p7_near,
+    "p8_mix": mixing.p8_mix,
+    "p8_shares": mixing.p8_shares,
     "p9_found": truncation.p9_found,
     "p9_limits": truncation.p9_limits,
     "p9_rates": truncation.p9_rates,
