@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.session import broadcast_checked, cut_lineage, read_table
+from docloom.session import BROADCAST_ROWS, cut_lineage, read_table
 
 # What was printed and what recognition makes of it.
 CONFUSIONS = {
@@ -34,6 +34,8 @@ _AROUND = r"[\s\-\x{2013}\x{2014}\[\](){}|.~*·•]*"
 _NUMBER = rf"{_AROUND}(?:(?:{PAGE_WORDS}|[spc5]\p{{L}}{{2,5}})\b\.?\s*)?[\-\x{{2013}}\x{{2014}}\[( ]*([0-9lIOoSBZgGiIvVxX|]{{1,6}})(?: ?(?:/|of|von|de|sur|z|из) ?[0-9lIOoSBZgivxIVX|]{{1,5}})?{_AROUND}"
 _WORD = re.compile(r"[^\W_]+")
 _BREAK = re.compile(rf"\S+[{HYPHENS}][^\S\n]*\n\s*\S+|\S+[{HYPHENS}]\s*$")
+_BREAKS = re.compile(rf"[{HYPHENS}][^\S\n]*(?:\n|$)")
+_DIVIDED = re.compile(rf"[^\s{HYPHENS}]*[{HYPHENS}](?:[^\S\n]*\n\s*\S+|\s*$)")
 _COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
 _ZERO = re.compile("[\u200B-\u200D\u2060\uFEFF]")
 
@@ -123,7 +125,9 @@ def word_counts(elements: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text, page in zip(batch["text"], batch["page"]):
-                clean = _BREAK.sub(" ", _ZERO.sub("", text))
+                clean = _ZERO.sub("", text)
+                if _BREAKS.search(clean):
+                    clean = _BREAK.sub(" ", clean)
                 own = paged if page else other
                 own.update(_WORD.findall(clean))
                 if "-" in clean:
@@ -228,25 +232,51 @@ def misread_words(counts: DataFrame, score: float = 3.0) -> DataFrame:
     return rated.groupBy("word").agg(F.max_by("fixed", "total").alias("correction"), F.max("total").alias("total"))
 
 
+def _misread_hits(paged: DataFrame, wrong: DataFrame) -> DataFrame:
+    """(element_id, first, last, word, correction): where misread words stand, by first and last line.
+
+    Up to BROADCAST_ROWS misread words go out as one table, and each text is matched as a set of
+    words where it lies; a longer list is joined by shuffle. Both give the same rows.
+    """
+    kind = paged.schema["element_id"].dataType.simpleString()
+    if wrong.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        table = paged.sparkSession.sparkContext.broadcast({r.word: r.correction for r in wrong.collect()})
+
+        def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            known = table.value
+            for batch in batches:
+                rows = []
+                for element, text in zip(batch["element_id"], batch["text"]):
+                    clean = _ZERO.sub("", text.strip(" "))
+                    if known.keys().isdisjoint(_WORD.findall(clean)):
+                        continue
+                    if _BREAKS.search(clean):
+                        clean = _DIVIDED.sub("\n", clean)
+                    lines = clean.split("\n")
+                    for at, line in enumerate(lines):
+                        rows += [(element, at == 0, at == len(lines) - 1, w, known[w]) for w in _WORD.findall(line) if w in known]
+                yield pd.DataFrame(rows, columns=["element_id", "first", "last", "word", "correction"])
+
+        return paged.select("element_id", "text").mapInPandas(match, f"element_id {kind}, first boolean, last boolean, word string, correction string")
+    text = F.regexp_replace(F.trim(F.col("text")), r"[\x{200B}-\x{200D}\x{2060}\x{FEFF}]", "")
+    whole = F.when(text.rlike(_BREAKS.pattern), F.regexp_replace(text, _DIVIDED.pattern, "\n")).otherwise(text)
+    lines = paged.select("element_id", F.split(whole, r"\n").alias("ls")).select("element_id", F.size("ls").alias("n"), F.posexplode("ls").alias("pos", "line"))
+    tokens = lines.select("element_id", (F.col("pos") == 0).alias("first"), (F.col("pos") == F.col("n") - 1).alias("last"), F.explode(F.regexp_extract_all("line", F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))).alias("word"))
+    return tokens.join(wrong, "word").select("element_id", "first", "last", "word", "correction")
+
+
 def find_misread(elements: DataFrame, counts: DataFrame, furniture: DataFrame) -> DataFrame:
-    """(element_id, word, correction): misread words outside running headers, footers and page numbers."""
-    wrong = misread_words(counts).select("word", "correction")
+    """(element_id, word, correction): misread words outside running headers, footers and page numbers.
+
+    Words divided at a line end are judged as such, and their halves are no words. Tables and code
+    are no body text.
+    """
+    wrong = cut_lineage(misread_words(counts).select("word", "correction"))
     paged = elements.where(F.col("page_number").isNotNull() & (F.length("text") > 0) & ~F.col("element_type").isin("table", "code_block"))
-    zero, divided = r"[\x{200B}-\x{200D}\x{2060}\x{FEFF}]", rf"\S+[{HYPHENS}][^\S\n]*\n\s*\S+|\S+[{HYPHENS}]\s*$"
-    lines = paged.select("element_id", F.split(F.regexp_replace("text", r"^\s+|\s+$", ""), r"\n").alias("ls"))
-    clean = lambda line: F.regexp_replace(F.regexp_replace(line, zero, ""), divided, " ")
-    found = lambda line: F.array_distinct(F.regexp_extract_all(line, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
-    one = F.size("ls") == 1
-    parts = F.array(
-        F.struct(F.lit("top").alias("part"), found(clean(F.get("ls", F.lit(0)))).alias("words")),
-        F.struct(F.lit("middle").alias("part"), F.when(F.size("ls") > 2, found(clean(F.array_join(F.slice("ls", 2, F.size("ls") - 2), "\n")))).alias("words")),
-        F.struct(F.lit("bottom").alias("part"), F.when(~one, found(clean(F.element_at("ls", -1)))).alias("words")),
-    )
-    tokens = lines.select("element_id", one.alias("one"), F.inline(parts)).select("element_id", "one", "part", F.explode("words").alias("word"))
-    hits = tokens.join(broadcast_checked(wrong), "word")
+    hits = _misread_hits(paged, wrong)
     marked = furniture.groupBy("element_id").agg(F.bool_or(F.col("edge") == "top").alias("at_top"), F.bool_or(F.col("edge") == "bottom").alias("at_bottom"))
     kept = hits.join(marked, "element_id", "left").fillna(False, ["at_top", "at_bottom"])
-    inside = ((F.col("part") == "top") & F.col("at_top")) | (((F.col("part") == "bottom") | F.col("one")) & F.col("at_bottom"))
+    inside = (F.col("first") & F.col("at_top")) | (F.col("last") & F.col("at_bottom"))
     return kept.where(~inside).select("element_id", "word", "correction").distinct()
 
 
