@@ -1,0 +1,82 @@
+"""Records to files."""
+
+from __future__ import annotations
+
+import json
+import zipfile
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Columns of the CSV file, in order.
+CSV_COLUMNS = ("instruction", "input", "output", "metadata", "context", "expected_output", "category", "difficulty", "source_refs", "evidence")
+_GUARDED = ("instruction", "input", "output", "context", "expected_output")
+
+
+def safe_cell(value: Column, strict: bool = False) -> Column:
+    """A cell that no spreadsheet takes for a formula; ``strict`` also guards against leading blanks."""
+    return F.when(value.rlike(r"^[\t\r\n ]*[=+\-@]" if strict else r"^[=+\-@]"), F.concat(F.lit("'"), value)).otherwise(value)
+
+
+def csv_projection(records: DataFrame, strict_guard: bool = False) -> DataFrame:
+    """The CSV columns: five guarded texts, nested values as JSON with sorted keys. Nulls become empty."""
+    source = {"input": "input_text", "output": "output_text"}
+    plain = lambda c: F.coalesce(F.col(source.get(c, c)), F.lit(""))
+    out = []
+    for c in CSV_COLUMNS:
+        if c == "metadata":
+            entries = F.array_sort(F.map_entries(F.coalesce(F.col(c), F.create_map().cast("map<string,string>"))))
+            out.append(F.to_json(F.map_from_entries(entries)).alias(c))
+        elif c == "source_refs":
+            out.append(F.to_json(F.coalesce(F.col(c), F.array().cast("array<string>"))).alias(c))
+        elif c == "evidence":
+            items = F.transform(F.coalesce(F.col(c), F.array().cast("array<struct<source_ref:string,quote:string>>")), lambda e: F.struct(e.quote.alias("quote"), e.source_ref.alias("source_ref")))
+            out.append(F.to_json(items, {"ignoreNullFields": "false"}).alias(c))
+        else:
+            out.append((safe_cell(plain(c), strict_guard) if c in _GUARDED else plain(c)).alias(c))
+    return records.select(*out)
+
+
+def write_csv(records: DataFrame, path: str, strict_guard: bool = False) -> None:
+    """CSV files with a header, quotes doubled and CRLF line ends, one per partition."""
+    csv_projection(records, strict_guard).write.mode("overwrite").options(header=True, escape='"', lineSep="\r\n", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="").csv(path)
+
+
+def write_json_lines(records: DataFrame, path: str) -> None:
+    """JSON lines, one file per partition; the form for datasets of any size."""
+    records.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def write_json_array(records: DataFrame, path: Path) -> int:
+    """One pretty JSON array of a single dataset in rec_pos order, streamed to the driver a partition at a time; returns its length."""
+    n = 0
+    with path.open("w", encoding="utf-8") as out:
+        out.write("[")
+        for row in records.orderBy("rec_pos").toLocalIterator():
+            body = json.dumps(row.asDict(recursive=True), indent=2, default=str)
+            out.write(("," if n else "") + "\n  " + body.replace("\n", "\n  "))
+            n += 1
+        out.write("\n]" if n else "]")
+    return n
+
+
+def manifest(jobs: DataFrame, created_at: Column, versions: dict[str, str]) -> DataFrame:
+    """(job_id, manifest): what a package says about its making, as JSON; the clock is given."""
+    fields = F.struct("job_id", F.col("doc_id").alias("file_id"), F.col("output_format").alias("format"), "record_count", created_at.cast("string").alias("created_at"), *[F.lit(v).alias(k) for k, v in versions.items()])
+    return jobs.select("job_id", F.to_json(fields, {"ignoreNullFields": "false"}).alias("manifest"))
+
+
+def package(dataset: Path, destination: Path, manifest_json: str, metadata_json: str, report_json: str | None = None, review_json: str | None = None) -> Path:
+    """A ZIP file of one dataset with its manifest, metadata and read-me, and the report and review where given."""
+    with zipfile.ZipFile(destination, "w", zipfile.ZIP_DEFLATED) as out:
+        out.write(dataset, f"dataset/{dataset.name}")
+        out.writestr("dataset/manifest.json", manifest_json)
+        out.writestr("manifest.json", manifest_json)
+        out.writestr("metadata.json", metadata_json)
+        out.writestr("README.txt", f"Dataset package: dataset/{dataset.name} with its manifest and metadata.\n")
+        if report_json is not None:
+            out.writestr("validation-report.json", report_json)
+        if review_json is not None:
+            out.writestr("quality-review.json", review_json)
+    return destination

@@ -1,0 +1,123 @@
+"""SQL that checks the core queries, for DuckDB over the same tables."""
+
+from __future__ import annotations
+
+from docloom.functions.text import RECORD_COUNT
+from docloom.operators.validation import MAX_FIELD, MAX_QUOTE, MIN_QUOTE
+from docloom.queries import OPTIONS
+
+_WS = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_NOT_WS = "[^" + _WS[1:]
+_BREAK = r"\r\n|[\n\x0B\x0C\r\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^{_WS}+', ''), '{_WS}+$', '')"
+
+
+def _norm(x: str) -> str:
+    quotes = f"replace(replace(replace(coalesce({x}, ''), '“', '\"'), '”', '\"'), '’', '''')"
+    return f"replace(lower(trim(regexp_replace({quotes}, '{_WS}+', ' ', 'g'))), 'ß', 'ss')"
+
+
+_ELEMENTS = """el AS (SELECT doc_id, element_id, min_by(element_type, ingested_at) AS element_type, min_by(text, ingested_at) AS text, min_by(ord, ingested_at) AS ord, min_by(page_number, ingested_at) AS page_number, min_by(table_rows, ingested_at) AS table_rows
+  FROM (SELECT doc_id, element_id, element_type, coalesce(text, '') AS text, ord, coalesce(page_number, -1) AS page_number, coalesce(table_rows, []) AS table_rows, ingested_at FROM elements) GROUP BY doc_id, element_id)"""
+_RECORDS = "rec AS (SELECT * FROM records QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY ingested_at, rec_pos) = 1)"
+_QUOTE = "CASE WHEN element_type = 'table' AND len(table_rows) > 0 THEN array_to_string(list_transform(table_rows, lambda r: array_to_string(r, ' | ')), chr(10)) ELSE text END"
+_SEMANTIC = "concat_ws('|', coalesce(instruction, ''), coalesce(nullif(context, ''), input_text, ''), coalesce(nullif(expected_output, ''), output_text, ''), coalesce(category, ''), coalesce(difficulty, ''))"
+_FINGER = f"fp AS (SELECT job_id, rec_pos, sha256({_norm(_SEMANTIC)}) AS fingerprint FROM rec), dup AS (SELECT *, rec_pos > min(rec_pos) OVER (PARTITION BY job_id, fingerprint) AS is_duplicate FROM fp)"
+
+_LINES = f"""ls AS (SELECT doc_id, string_split_regex(text, '{_BREAK}') AS l FROM documents WHERE text IS NOT NULL),
+li AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS ord, unnest(l) AS text FROM ls),
+ln AS (SELECT doc_id, CAST(ord AS INTEGER) AS ord, text, CASE WHEN length(text) <= 100 AND ((upper(text) = text AND lower(text) <> text AND NOT contains(text, 'ß')) OR text LIKE '%:') THEN 'heading' ELSE 'paragraph' END AS element_type FROM li WHERE regexp_matches(text, '{_NOT_WS}'))"""
+
+_STATS = f"""{_ELEMENTS},
+ev AS (SELECT *, regexp_matches(text, '{_NOT_WS}') OR len(table_rows) > 0 AS useful FROM el),
+st AS (SELECT doc_id, CAST(greatest(max(page_number), 0) AS INTEGER) AS page_count,
+ CAST(sum(CASE WHEN useful THEN length(text) ELSE 0 END) AS BIGINT) AS character_count,
+ CAST(sum(CASE WHEN useful THEN len(regexp_extract_all(text, '{_NOT_WS}+')) ELSE 0 END) AS BIGINT) AS word_count,
+ count(*) AS element_count, CAST(count_if(element_type = 'heading') AS BIGINT) AS heading_count, CAST(count_if(element_type = 'paragraph') AS BIGINT) AS paragraph_count, CAST(count_if(element_type = 'list_item') AS BIGINT) AS list_item_count, CAST(count_if(element_type = 'table') AS BIGINT) AS table_count,
+ CAST(sum(len(table_rows)) AS BIGINT) AS table_row_count, CAST(count_if(useful) AS BIGINT) AS non_empty_element_count FROM ev GROUP BY doc_id HAVING CAST(count_if(useful) AS BIGINT) > 0)"""
+
+_PLAN = f"""{_ELEMENTS},
+un AS (SELECT doc_id, element_id, ord, {_strip(_QUOTE)} AS full_text FROM el),
+us AS (SELECT doc_id, element_id, ord, full_text, greatest(1, (length(full_text) + 3) // 4) AS whole, row_number() OVER (PARTITION BY doc_id ORDER BY ord, element_id) AS i FROM un WHERE length(full_text) > 0),
+f AS (SELECT doc_id, element_id, ord, i, 1 AS batch_no, 1 AS alias_no, least(whole, {OPTIONS.budget}) AS tokens, least(whole, {OPTIONS.budget}) AS run FROM us WHERE i = 1
+ UNION ALL
+ SELECT u.doc_id, u.element_id, u.ord, u.i, CASE WHEN o THEN f.batch_no + 1 ELSE f.batch_no END, CASE WHEN o THEN 1 ELSE f.alias_no + 1 END, least(u.whole, {OPTIONS.budget}), CASE WHEN o THEN 0 ELSE f.run END + least(u.whole, {OPTIONS.budget})
+ FROM f JOIN us u ON u.doc_id = f.doc_id AND u.i = f.i + 1, LATERAL (SELECT f.run + u.whole > {OPTIONS.budget} OR f.alias_no >= {OPTIONS.unit_cap} AS o) x)"""
+
+_EVIDENCE = "evd AS (SELECT job_id, rec_pos, unnest(range(0, len(evidence))) AS ev_pos, unnest(evidence) AS e FROM rec)"
+_CHECKS = f"""{_ELEMENTS}, {_RECORDS}, {_EVIDENCE},
+src AS (SELECT element_id AS source_ref, min({_QUOTE}) AS source_text FROM el GROUP BY element_id),
+chk AS (SELECT job_id, rec_pos, CAST(ev_pos AS INTEGER) AS ev_pos, q, CASE WHEN length(q) = 0 THEN 'EVIDENCE_EMPTY' WHEN length(q) < {MIN_QUOTE} THEN 'EVIDENCE_TOO_SHORT' WHEN length(q) > {MAX_QUOTE} THEN 'EVIDENCE_TOO_LONG'
+ WHEN source_text IS NULL OR NOT contains({_norm('source_text')}, {_norm('q')}) THEN 'EVIDENCE_NOT_FOUND' ELSE 'VERIFIED' END AS code
+ FROM (SELECT job_id, rec_pos, ev_pos, e.source_ref AS source_ref, {_strip("coalesce(e.quote, '')")} AS q FROM evd) LEFT JOIN src USING (source_ref))"""
+
+_CONTEXT = "coalesce(nullif(context, ''), input_text, '')"
+_ANSWER = "coalesce(nullif(expected_output, ''), output_text, '')"
+_FOLD = lambda x: f"replace(lower({_strip(x)}), 'ß', 'ss')"
+
+
+def _field(name: str, value: str) -> str:
+    return f"SELECT job_id, rec_pos, CASE WHEN NOT regexp_matches({value}, '{_NOT_WS}') THEN 'EMPTY_REQUIRED_FIELD' ELSE 'FIELD_TOO_LONG' END AS code, 'error' AS severity, '{name}' AS field FROM rec WHERE NOT regexp_matches({value}, '{_NOT_WS}') OR length({value}) > {MAX_FIELD}"
+
+
+_FIELD_ISSUES = " UNION ALL ".join(
+    [
+        _field("instruction", "coalesce(instruction, '')"),
+        _field("context", _CONTEXT),
+        _field("expected_output", _ANSWER),
+        _field("category", "coalesce(category, '')"),
+        "SELECT job_id, rec_pos, 'INVALID_DIFFICULTY', 'error', 'difficulty' FROM rec WHERE coalesce(difficulty, '') NOT IN ('easy', 'medium', 'hard')",
+        f"SELECT job_id, rec_pos, 'CONTEXT_EQUALS_INSTRUCTION', 'warning', 'context' FROM rec WHERE {_FOLD(_CONTEXT)} = {_FOLD(chr(99) + 'oalesce(instruction, ' + chr(39) * 2 + ')')}",
+    ]
+)
+_REF_ISSUES = """SELECT job_id, rec_pos, '' AS ref, 'MISSING_SOURCE_REF' AS code FROM rec WHERE coalesce(len(source_refs), 0) = 0
+UNION ALL SELECT DISTINCT job_id, rec_pos, ref, 'INVALID_SOURCE_REF' FROM (SELECT job_id, rec_pos, unnest(source_refs) AS ref FROM rec) WHERE ref NOT IN (SELECT element_id FROM elements)"""
+
+_NAMES = """n AS (SELECT DISTINCT doc_id, source_filename FROM normalized_documents),
+b AS (SELECT doc_id, regexp_extract(regexp_replace(coalesce(nullif(source_filename, ''), 'document'), '/+$', ''), '([^/]*)$', 1) AS base, regexp_extract(regexp_replace(coalesce(nullif(source_filename, ''), 'dataset'), '/+$', ''), '([^/]*)$', 1) AS dbase FROM n),
+s AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(base, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+', ''), '[._]+$', '') AS slug, regexp_replace(regexp_replace(regexp_replace(CASE WHEN regexp_matches(dbase, '.\\.[^.]+$') THEN regexp_replace(dbase, '\\.[^.]+$', '') ELSE dbase END, '[^A-Za-z0-9_-]+', '-', 'g'), '^[-_]+', ''), '[-_]+$', '') AS stem FROM b)"""
+
+_CODES = "['REPETITIVE_RECORDS', 'LOW_INSTRUCTION_DIVERSITY', 'WEAK_CONTEXT', 'WEAK_EXPECTED_OUTPUT', 'AMBIGUOUS_INSTRUCTION', 'DIFFICULTY_MISMATCH', 'CATEGORY_INCONSISTENCY', 'REDUNDANT_TEST_CASE', 'SOURCE_SUPPORT_CONCERN', 'OVERLY_BROAD_ANSWER', 'OVERLY_TRIVIAL_RECORD', 'POOR_DATASET_COVERAGE', 'OTHER_BOUNDED_QUALITY_ISSUE']"
+
+ORACLE_SQL: dict[str, str] = {
+    "document_statistics": f"WITH {_STATS} SELECT *, CASE WHEN character_count < 20 THEN 'suspicious' ELSE 'valid' END AS quality FROM st",
+    "structure_analysis": f"WITH {_STATS} SELECT doc_id, heading_count AS section_count, heading_count, table_count, page_count AS available_page_count, character_count AS content_volume, CASE WHEN heading_count > 0 OR table_count > 0 THEN 'Structured content detected' ELSE 'Linear text content' END AS structure_summary FROM st",
+    "extract_elements": f"WITH {_LINES} SELECT doc_id, substr(sha256(concat_ws(':', doc_id, ord, element_type, 'None', text)), 1, 20) AS element_id, element_type, ord, text FROM ln",
+    "section_paths": f"WITH {_LINES} SELECT doc_id, ord, coalesce(last_value(CASE WHEN element_type = 'heading' THEN {_strip('text')} END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS section FROM ln",
+    "batch_plan": f"WITH RECURSIVE {_PLAN} SELECT doc_id, element_id, ord, CAST(batch_no AS INTEGER) AS batch_no, CAST(alias_no AS INTEGER) AS alias_no, CAST(tokens AS INTEGER) AS tokens FROM f",
+    "context_batches": f"""WITH RECURSIVE {_PLAN},
+g AS (SELECT f.doc_id, batch_no, sum(tokens) AS t, count(*) AS units, string_agg('[source_' || alias_no || ']' || chr(10) || CASE WHEN whole > {OPTIONS.budget} THEN substr(full_text, 1, {OPTIONS.budget * 4}) ELSE full_text END, chr(10) || chr(10) ORDER BY alias_no) AS text FROM f JOIN us ON us.doc_id = f.doc_id AND us.i = f.i GROUP BY f.doc_id, batch_no),
+h AS (SELECT *, max(batch_no) OVER (PARTITION BY doc_id) AS last FROM g)
+SELECT doc_id, CAST(batch_no AS INTEGER) AS batch_no, 'batch-' || batch_no AS batch_id, CAST(t AS INTEGER) AS estimated_input_tokens, CAST(CASE WHEN batch_no < last THEN greatest(1, least({OPTIONS.records_per_batch}, {OPTIONS.record_limit} - (batch_no - 1) * {OPTIONS.records_per_batch})) ELSE {min(OPTIONS.records_per_batch, OPTIONS.record_limit)} END AS INTEGER) AS requested_records, CAST(units AS INTEGER) AS units, md5(text) AS text_md5 FROM h""",
+    "requested_counts": f"SELECT DISTINCT job_id, CAST(least(CASE WHEN regexp_extract(prompt, '{RECORD_COUNT}', 1) = '' THEN 4 ELSE CAST(regexp_extract(prompt, '{RECORD_COUNT}', 1) AS INTEGER) END, 20) AS INTEGER) AS requested FROM (SELECT DISTINCT * FROM jobs)",
+    "alias_units": "SELECT batch_key, 'source_' || i AS alias, element_id, element_id IN (SELECT element_id FROM elements) AS known FROM (SELECT batch_key, unnest(range(1, len(source_element_ids) + 1)) AS i, unnest(source_element_ids) AS element_id FROM context_batches)",
+    "normalize_text": f"SELECT doc_id, md5({_norm(chr(114) + 'eplace(text, ' + chr(39) + '…' + chr(39) + ', ' + chr(39) + '...' + chr(39) + ')')}) AS norm_md5 FROM documents",
+    "structural_errors": f"WITH {_RECORDS} SELECT job_id, rec_pos, unnest(list_filter([CASE WHEN NOT regexp_matches(coalesce(instruction, ''), '{_NOT_WS}') THEN 'instruction' END, CASE WHEN NOT regexp_matches(coalesce(input_text, ''), '{_NOT_WS}') THEN 'input' END, CASE WHEN NOT regexp_matches(coalesce(output_text, ''), '{_NOT_WS}') THEN 'output' END], lambda x: x IS NOT NULL)) AS field FROM rec",
+    "field_issues": f"WITH {_RECORDS} {_FIELD_ISSUES}",
+    "reference_issues": f"WITH {_RECORDS} {_REF_ISSUES}",
+    "evidence_checks_native": f"WITH {_CHECKS} SELECT job_id, rec_pos, ev_pos, code FROM chk",
+    "exact_duplicates": f"WITH {_RECORDS}, {_FINGER} SELECT * FROM dup",
+    "grounding_summary_native": f"""WITH {_CHECKS}, {_FINGER},
+iss AS ({_FIELD_ISSUES}), ri AS ({_REF_ISSUES}),
+e AS (SELECT job_id, rec_pos, count(*) AS n, CAST(count_if(code = 'VERIFIED') AS BIGINT) AS v FROM chk GROUP BY ALL),
+r AS (SELECT rec.job_id, rec.rec_pos, coalesce(len(list_distinct(source_refs)), 0) AS refs, coalesce(e.n, 0) AS n, coalesce(e.v, 0) AS v,
+ (SELECT count(*) FROM iss WHERE iss.job_id = rec.job_id AND iss.rec_pos = rec.rec_pos AND severity = 'error') + (SELECT count(*) FROM ri WHERE ri.job_id = rec.job_id AND ri.rec_pos = rec.rec_pos) AS bad
+ FROM rec LEFT JOIN e ON e.job_id = rec.job_id AND e.rec_pos = rec.rec_pos),
+g AS (SELECT r.*, is_duplicate, n = v AND n > 0 AND bad = 0 AND refs > 0 AS grounded FROM r JOIN dup USING (job_id, rec_pos)),
+j AS (SELECT job_id, count(*) AS generated_records, CAST(count_if(NOT is_duplicate) AS BIGINT) AS total_records, CAST(count_if(grounded) AS BIGINT) AS grounded_records, CAST(sum(n) AS BIGINT) AS total_evidence, CAST(sum(v) AS BIGINT) AS verified_evidence FROM g GROUP BY job_id)
+SELECT *, greatest(0, total_records - grounded_records) AS ungrounded_records, greatest(0, total_evidence - verified_evidence) AS failed_evidence, CASE WHEN total_records > 0 AND grounded_records = total_records AND verified_evidence = total_evidence THEN 'passed' ELSE 'failed' END AS status FROM j""",
+    "provider_parse": f"WITH {_RECORDS} SELECT record_id, coalesce(instruction, '') AS instruction, coalesce(context, '') AS context, coalesce(expected_output, '') AS expected_output, coalesce(category, 'general') AS category, coalesce(difficulty, 'medium') AS difficulty, CAST(coalesce(len(source_refs), 0) AS INTEGER) AS refs, CAST(coalesce(len(evidence), 0) AS INTEGER) AS evidence_items FROM rec",
+    "assembled_records": f"""WITH {_RECORDS}, a AS (SELECT job_id, max(least(CASE WHEN regexp_extract(prompt, '{RECORD_COUNT}', 1) = '' THEN 4 ELSE CAST(regexp_extract(prompt, '{RECORD_COUNT}', 1) AS INTEGER) END, 20)) AS target FROM jobs GROUP BY job_id),
+n AS (SELECT record_id, job_id, CAST(row_number() OVER (PARTITION BY job_id ORDER BY rec_pos) - 1 AS INTEGER) AS rec_pos, target FROM rec JOIN a USING (job_id))
+SELECT record_id, job_id, rec_pos, job_id || '-' || (rec_pos + 1) AS name FROM n WHERE rec_pos < target""",
+    "category_frequencies": f"WITH {_RECORDS} SELECT job_id, coalesce(category, '') AS category, count(*) AS n FROM rec GROUP BY ALL",
+    "review_summary": f"""WITH {_RECORDS}, c AS (SELECT job_id, {_CODES}[record_id % 13 + 1] AS code, row_number() OVER (PARTITION BY job_id ORDER BY rec_pos) AS n FROM rec),
+k AS (SELECT job_id, code, code IN ('AMBIGUOUS_INSTRUCTION', 'SOURCE_SUPPORT_CONCERN') AS b FROM c WHERE n <= 25)
+SELECT job_id, count(*) AS issues_found, CAST(count_if(b) AS BIGINT) AS blocking_issues, CAST(count_if(NOT b) AS BIGINT) AS warnings, string_agg(DISTINCT code, ',' ORDER BY code) AS codes, CAST(count_if(b) AS BIGINT) > 0 AS revision_required, 'Reviewed ' || job_id AS summary FROM k GROUP BY job_id""",
+    "revised_records": f"WITH {_RECORDS} SELECT record_id, CASE WHEN coalesce(difficulty, '') IN ('easy', 'medium', 'hard') THEN difficulty ELSE 'medium' END AS difficulty, CASE WHEN coalesce(difficulty, '') IN ('easy', 'medium', 'hard') THEN '' ELSE 'DIFFICULTY_MISMATCH' END AS reason FROM rec",
+    "safe_names": f"WITH {_NAMES} SELECT doc_id, CASE WHEN slug = '' THEN 'document' ELSE slug END AS safe_name, lower(regexp_extract(CASE WHEN slug = '' THEN 'document' ELSE slug END, '[^.](\\.[^.]+)$', 1)) AS extension, CASE WHEN stem = '' THEN 'dataset' ELSE stem END || '-dataset.zip' AS download FROM s",
+    "semantic_texts": f"WITH {_RECORDS} SELECT record_id, md5({_SEMANTIC}) AS semantic_md5 FROM rec",
+}
