@@ -35,7 +35,7 @@ _NUMBER = rf"{_AROUND}(?:(?:{PAGE_WORDS}|[spc5]\p{{L}}{{2,5}})\b\.?\s*)?[\-\x{{2
 _WORD = re.compile(r"[^\W_]+")
 _BREAK = re.compile(rf"\S+[{HYPHENS}][^\S\n]*\n\s*\S+|\S+[{HYPHENS}]\s*$")
 _BREAKS = re.compile(rf"[{HYPHENS}][^\S\n]*(?:\n|$)")
-_DIVIDED = re.compile(rf"[^\s{HYPHENS}]*[{HYPHENS}](?:[^\S\n]*\n\s*\S+|\s*$)")
+_DIVIDED = re.compile(rf"[^{HYPHENS}\s]*[{HYPHENS}](?:[^\S\n]*\n\s*\S+|\s*$)")
 _COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
 _ZERO = re.compile("[\u200B-\u200D\u2060\uFEFF]")
 
