@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -27,16 +29,18 @@ def item_terms(items: DataFrame, item_id: str, text: str) -> DataFrame:
     return items.select(F.col(item_id).alias("item_id"), F.posexplode(words(F.col(text))).alias("item_pos", "term")).distinct()
 
 
-def anchors(terms: DataFrame, frequency: DataFrame, run: int = RUN) -> DataFrame:
-    """(item_id, item_pos, term): for each window of ``run`` words its rarest term in the corpus.
+def anchors(terms: DataFrame, frequency: DataFrame, run: int = RUN, spare: int = 0) -> DataFrame:
+    """(item_id, item_pos, term): for each window of ``run`` words its rarest term in the corpus, and ``spare`` more.
 
-    A window with a term that the corpus lacks cannot occur and gets no anchor, and neighbouring
-    windows mostly share theirs. Ties go to the earlier position.
+    With no spare, a window with a term that the corpus lacks cannot occur and gets no anchor. With
+    spares, any ``spare`` words of a window may be missing and one of its anchors is still there.
+    Neighbouring windows mostly share their anchors. Ties go to the earlier position.
     """
     counted = terms.join(frequency, "term", "left").fillna(0, ["n"])
     window = Window.partitionBy("item_id").orderBy("item_pos").rowsBetween(0, run - 1)
-    best = counted.select("item_id", F.min(F.struct("n", "item_pos", "term")).over(window).alias("a"), F.count(F.lit(1)).over(window).alias("size"))
-    return best.where((F.col("size") == run) & (F.col("a.n") > 0)).select("item_id", "a.item_pos", "a.term").distinct()
+    rarest = F.slice(F.array_sort(F.collect_list(F.struct("n", "item_pos", "term")).over(window)), 1, spare + 1)
+    best = counted.select("item_id", rarest.alias("a"), F.count(F.lit(1)).over(window).alias("size")).where(F.col("size") == run)
+    return best.select("item_id", F.explode("a").alias("a")).where(F.col("a.n") > 0).select("item_id", "a.item_pos", "a.term").distinct()
 
 
 def _longest_run(doc: F.Column, item: F.Column, shift: F.Column) -> F.Column:
@@ -70,23 +74,31 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
 def find_near_passages(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = RUN, share: float = 0.8, slack: int = 3) -> DataFrame:
     """(doc_id, item_id, matched): proximity matches, at least ``share`` of ``span`` consecutive item words within ``slack`` positions of their place.
 
-    Candidates come from the same anchors; for each, the item's words around the anchor are looked
-    for in the document's words around its occurrence.
+    Each window has so many anchors that one is there whichever words are missing; around each
+    occurrence the item's words are looked for in the document's.
     """
+    if not 0 < share <= 1:
+        raise ValueError("share must be above 0 and at most 1")
     terms = item_terms(items, item_id, item_text)
     vocabulary = broadcast_checked(terms.select("term").distinct())
     postings = cut_lineage(positional_index(docs, doc_id, text).join(vocabulary, "term", "left_semi"))
     frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    chosen = broadcast_checked(anchors(terms, frequency, span))
+    chosen = broadcast_checked(anchors(terms, frequency, span, span - math.ceil(share * span)))
     candidates = postings.join(chosen, "term").select("doc_id", "item_id", "pos", "item_pos").distinct()
     d = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("doc_words"))
     i = items.select(F.col(item_id).alias("item_id"), words(F.col(item_text)).alias("item_words")).distinct()
-    half = span // 2
-    first = lambda c, k: F.greatest(F.lit(0), F.col(c) - F.lit(k))
-    own = F.slice("item_words", first("item_pos", half) + 1, span)
-    near = F.slice("doc_words", first("pos", half + slack) + 1, span + 2 * slack)
-    matched = d.join(candidates, "doc_id").join(i, "item_id").withColumn("matched", F.size(F.filter(own, lambda w: F.array_contains(near, w))))
-    return matched.where((F.size(own) == span) & (F.col("matched") >= F.lit(share) * span)).groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"))
+    # every window of the item that holds the anchor, against the document's words where it would lie
+    starts = F.sequence(F.greatest(F.lit(0), F.col("item_pos") - (span - 1)), F.least(F.col("item_pos"), F.size("item_words") - span))
+    shift = F.col("pos") - F.col("item_pos")
+
+    def held(start: Column) -> Column:
+        low = F.greatest(F.lit(0), start + shift - slack)
+        near = F.slice("doc_words", low + 1, F.greatest(F.lit(0), start + shift + span + slack - low))
+        return F.size(F.filter(F.slice("item_words", start + 1, span), lambda w: F.array_contains(near, w)))
+
+    both = d.join(candidates, "doc_id").join(i, "item_id").where(F.size("item_words") >= span)
+    matched = both.withColumn("matched", F.array_max(F.transform(starts, held)))
+    return matched.where(F.col("matched") >= F.lit(share) * span).groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
