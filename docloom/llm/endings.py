@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.session import cut_lineage
+
 #: What may follow a cut (omission marks, a broken character, blanks).
 OMISSION = r"(?:\s|\x{FFFD}|\x{2026}|\.{3,}|\[\s*(?:\x{2026}|\.{3})\s*\]|\(\s*(?:\x{2026}|\.{3})\s*\))+$"
 _CLOSERS = "[\"'\\u201D\\u2019\\u00BB)\\]]*"
@@ -75,10 +77,16 @@ def line_statistics(texts: DataFrame, text: str, least: int = 3) -> tuple[DataFr
     split = texts.where(F.length(text) > 0).select(F.split(F.regexp_replace(F.col(text), r"([.!?])\s+(?=\p{Lu}|\x{BF})", "$1\n"), "\n").alias("ls"))
     lines = split.select(F.size("ls").alias("n"), F.posexplode("ls").alias("pos", "line")).where(F.length("line") > 0)
     lines = lines.select((F.col("pos") < F.col("n") - 1).alias("inner"), _line_kind(F.col("line")).alias("kind"), _shape(F.col("line")).alias("w")).where(F.size("w") > 0)
-    plain = lines.where(F.col("kind").isin("terminal", "fragment") & (F.col("inner") | (F.col("kind") == "terminal") | (F.size("w") <= 4)))
-    keys = F.array_distinct(F.array(F.get("w", F.lit(0)), F.array_join(F.slice("w", 1, 2), " ")))
-    starts = plain.select(F.explode(keys).alias("key"), (F.col("kind") == "terminal").cast("long").alias("e")).groupBy("key").agg(F.sum("e").alias("ended"), F.sum(1 - F.col("e")).alias("open"))
-    starts = starts.where(F.col("ended") + F.col("open") >= least)
+    plain = F.col("kind").isin("terminal", "fragment") & (F.col("inner") | (F.col("kind") == "terminal") | (F.size("w") <= 4))
+    ended = (F.col("kind") == "terminal").cast("long")
+    entry = lambda role, key, e, o: F.struct(F.lit(role).alias("role"), key.alias("key"), e.alias("ended"), o.alias("open"))
+    openings = F.when(plain, F.transform(F.array_distinct(F.array(F.get("w", F.lit(0)), F.array_join(F.slice("w", 1, 2), " "))), lambda k: entry("opening", k, ended, 1 - ended)))
+    followed = F.when(F.col("inner") | (F.col("kind") == "terminal"), F.col("w")).otherwise(F.slice("w", 1, F.size("w") - 1))
+    words = F.transform(F.filter(F.array_distinct(followed), lambda w: ~w.contains("0")), lambda w: entry("word", w, F.lit(0).cast("long"), F.lit(1).cast("long")))
+    # one scan and one shuffle for all of it, stored since each part is small beside the lines
+    counted = lines.select(F.inline(F.concat(F.coalesce(openings, F.array().cast("array<struct<role:string,key:string,ended:bigint,open:bigint>>")), words))).groupBy("role", "key").agg(F.sum("ended").alias("ended"), F.sum("open").alias("open"))
+    counted = cut_lineage(counted.where(F.col("ended") + F.col("open") >= 2))
+    starts = counted.where((F.col("role") == "opening") & (F.col("ended") + F.col("open") >= least)).select("key", "ended", "open")
     single = starts.where(~F.col("key").contains(" ") & (F.col("ended") > F.col("open")))
     prefixes = single.where(F.length("key") > 1).select("ended", F.explode(F.expr("transform(sequence(1, length(key) - 1), i -> substring(key, 1, i))")).alias("key")).groupBy("key").agg(F.sum("ended").alias("ep"))
     is_pair = F.col("key").contains(" ")
@@ -86,8 +94,7 @@ def line_statistics(texts: DataFrame, text: str, least: int = 3) -> tuple[DataFr
     ones = starts.where(~is_pair).select("key", F.col("ended").alias("e1"), F.col("open").alias("o1"), F.lit(None).cast("long").alias("ep"))
     null = F.lit(None).cast("long")
     firsts = ones.union(prefixes.select("key", null, null, "ep")).groupBy(F.col("key").alias("first1")).agg(*[F.max(c).alias(c) for c in ("e1", "o1", "ep")])
-    followed = lines.select(F.explode(F.array_distinct(F.when(F.col("inner") | (F.col("kind") == "terminal"), F.col("w")).otherwise(F.slice("w", 1, F.size("w") - 1)))).alias("last_word"))
-    whole = followed.where(~F.col("last_word").contains("0")).groupBy("last_word").agg(F.count(F.lit(1)).alias("n_end")).where(F.col("n_end") >= 2)
+    whole = counted.where("role = 'word'").select(F.col("key").alias("last_word"), F.col("open").alias("n_end"))
     return pairs, firsts, whole
 
 
