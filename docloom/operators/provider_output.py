@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.text import strip
+from docloom.functions.text import is_blank, strip
 
 EVIDENCE = "array<struct<source_ref:string,quote:string>>"
 RECORD = f"struct<instruction:string,context:string,input:string,expected_output:string,output:string,category:string,difficulty:string,source_refs:array<string>,evidence:{EVIDENCE},metadata:map<string,string>>"
@@ -29,7 +29,11 @@ def unfenced(text: Column) -> Column:
 def assistant_content(output: Column) -> Column:
     """The text an assistant gave, out of a provider result; never its reasoning. Null where a choice has no text."""
     single = F.when(output.rlike(r'^\s*\[\s*\{\s*"choices"'), F.get_json_object(output, "$[0]")).otherwise(output)
-    first = lambda path: F.nullif(F.get_json_object(single, f"$.choices[0].{path}"), F.lit(""))
+
+    def first(path: str) -> Column:
+        text = F.get_json_object(single, f"$.choices[0].{path}")
+        return F.when(~is_blank(text), text)
+
     chosen = F.coalesce(first("message.content"), first("text"), first("output"))
     return F.when(F.get_json_object(single, "$.choices").isNotNull(), chosen).otherwise(single)
 

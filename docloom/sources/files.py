@@ -27,6 +27,9 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     name = safe_filename(F.col("path"))
     code = F.when(~extension(name).isin(*ALLOWED), "UNSUPPORTED_DOCUMENT").when(F.col("length") == 0, "EMPTY_FILE").when(F.col("length") > MAX_BYTES, "FILE_TOO_LARGE")
+    # a scan has no split, and so no row, for an empty file; the listing that the reader holds has it
+    listed = spark.createDataFrame([(p,) for p in raw.inputFiles()], "path string").join(raw.select("path"), "path", "left_anti")
+    raw = raw.select("path", "length", "content").unionByName(listed.select("path", F.lit(0).cast("long").alias("length"), F.lit(None).cast("binary").alias("content")))
     return raw.select(F.substring(F.sha2("path", 256), 1, 32).alias("doc_id"), name.alias("source_filename"), extension(name).alias("extension"), F.when(code.isNull(), F.col("content")).alias("content"), code.alias("code"))
 
 
@@ -114,6 +117,8 @@ def extract_files(files: DataFrame, converter: Callable[[bytes, str], Iterator[d
     columns = ["doc_id", "element_type", "text", "ord"]
     elements = extract_text_files(files).select(*columns, F.lit(None).cast("int").alias("page_number"), F.lit(None).cast("array<array<string>>").alias("table_rows"))
     failures = files.where(F.col("code").isNotNull()).select("doc_id", "code")
+    unread = files.where((F.col("extension") == ".txt") & F.col("content").isNotNull()).where(decode_text(F.col("content")).isNull())
+    failures = failures.unionByName(unread.select("doc_id", F.lit("EXTRACTION_FAILED").alias("code")))
     converter = converter or default_converter()
     if converter is None:
         missing = files.where(F.col("extension").isin(".pdf", ".docx") & F.col("content").isNotNull()).select("doc_id", F.lit("EXTRACTOR_UNAVAILABLE").alias("code"))
