@@ -28,7 +28,9 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     name = safe_filename(F.col("path"))
     code = F.when(~extension(name).isin(*ALLOWED), "UNSUPPORTED_DOCUMENT").when(F.col("length") == 0, "EMPTY_FILE").when(F.col("length") > MAX_BYTES, "FILE_TOO_LARGE")
     # a scan has no split, and so no row, for an empty file; the listing that the reader holds has it
-    listed = spark.createDataFrame([(p,) for p in raw.inputFiles()], "path string").join(raw.select("path"), "path", "left_anti")
+    same = lambda p: F.regexp_replace(p, "^file:/+", "file:/")
+    raw = raw.withColumn("path", same(F.col("path")))
+    listed = spark.createDataFrame([(p,) for p in raw.inputFiles()], "path string").select(same(F.col("path")).alias("path")).join(raw.select("path"), "path", "left_anti")
     raw = raw.select("path", "length", "content").unionByName(listed.select("path", F.lit(0).cast("long").alias("length"), F.lit(None).cast("binary").alias("content")))
     return raw.select(F.substring(F.sha2("path", 256), 1, 32).alias("doc_id"), name.alias("source_filename"), extension(name).alias("extension"), F.when(code.isNull(), F.col("content")).alias("content"), code.alias("code"))
 
