@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.llm.lookalikes import TO_LATIN
 from docloom.session import broadcast_checked, cut_lineage, read_table
 
 LOST = "�"
@@ -36,6 +37,7 @@ VALID_UTF8, REMAPPED, SWITCH = 3.0, -1.5, -2.0
 #: Weight of a shape's count beside a word's own.
 SHAPE_WEIGHT = 0.01
 
+_LOOK_ALIKES = frozenset(TO_LATIN)
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _SEQUENCE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 _LOST_SEQUENCE = re.compile(rb"[\xc3\xc4\xc5\xd0\xd1]\x1a")
@@ -103,7 +105,9 @@ def candidates(token: str, levels: int = 3) -> list[tuple[str, str]]:
             if changed == now:
                 break
             out[f"utf-8 as {charset} x{level}"] = now = changed
-    for true, seen in ONE_BYTE:
+    # look-alike letters among ASCII ones were put there, not decoded
+    swapped = any("a" <= c.lower() <= "z" for c in token) and not _LOOK_ALIKES.isdisjoint(token)
+    for true, seen in () if swapped else ONE_BYTE:
         table, chars = _TABLES[seen], _CHARS[true]
         inside = "".join(_RUN.findall(token))
         if all(c in table and not c.isspace() for c in inside):

@@ -92,7 +92,7 @@ def find_furniture(elements: DataFrame) -> DataFrame:
     fits = (F.col("roman") == F.col("page")) | (F.col("shift") == 0) | ((F.col("shift") > 0) & (F.col("shift") <= 12) & (F.col("arabic") > 0)) | ((F.col("support") >= 3) & (F.col("arabic") > 0))
     numbers = known.where(fits).select("element_id", "edge")
     # running lines: the title, or a heading that stood before, or a line that tops other pages too
-    lines = split.where((F.length("key") >= 4) & ~F.col("line").rlike(r":\s*$") & (F.length("body") <= 90))
+    lines = split.where(F.col("element_type").isin("text", "paragraph", "heading") & (F.length("key") >= 4) & ~F.col("line").rlike(r":\s*$") & (F.length("body") <= 90))
     heads = elements.where((F.col("element_type") == "heading") & F.col("page_number").isNotNull() & ~F.col("text").contains("\n")).select("doc_id", "ord", F.trim(F.col("text")).alias("t")).withColumn("head", ocr_key(F.col("t")))
     heads = heads.where(F.length("head") >= 4).groupBy("doc_id", "head").agg(F.min("ord").alias("first"), F.length(F.min("t")).alias("head_chars"))
     near = lambda a, b: F.levenshtein(F.col(a), F.col(b)) <= F.greatest(F.lit(1), F.floor(F.length(b) / 8))
