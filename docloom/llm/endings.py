@@ -19,6 +19,7 @@ _CLOSERS = "[\"'\\u201D\\u2019\\u00BB)\\]]*"
 TERMINAL = f"[.!?\\u3002]{_CLOSERS}$"
 _INNER_STOP = f"[\\p{{L}}\\p{{N}})\\u201D\\u2019\"%\\u00B0][.!?]{_CLOSERS}\\s+\\S"
 _LIST = r"^\s*(?:[-*\x{2022}\x{2013}\x{25E6}]|\d{1,2}[.)]|[a-z]\))\s"
+_VALUE = r"^\s*(?=\S*\d)[\p{Lu}\d][\p{Lu}\d.\-/]*[\p{Lu}\d]\s*$"
 _CODE = r"^\s*[\w.]+\([^\n]*$|[;{}]\s*$"
 
 
@@ -28,6 +29,7 @@ def _line_kind(line: Column) -> Column:
         .when(line.rlike(_LIST), "list")
         .when(line.contains("|"), "table")
         .when(line.rlike(_CODE), "code")
+        .when(line.rlike(_VALUE), "value")
         .when(line.rlike(TERMINAL), "terminal")
         .when(line.rlike(r"^(?:\S+\s+){3,}?[^\n]*?" + _INNER_STOP), "tail")
         .otherwise("fragment")
@@ -104,12 +106,13 @@ def incomplete(features: DataFrame, statistics: tuple[DataFrame, DataFrame, Data
     joined = features.join(pairs, "first2", "left").join(firsts, "first1", "left").join(whole, "last_word", "left")
     ratio = lambda e, o: F.col(e) / (F.col(e) + F.col(o))
     fragment = (
-        F.when(F.col("e2").isNotNull() & (F.col("n_words") > 1), ratio("e2", "o2"))
+        # a pair that is never followed through may be the same cut met again, if its first word begins sentences only
+        F.when(F.col("e2").isNotNull() & (F.col("n_words") > 1) & ~((F.col("e2") == 0) & (ratio("e1", "o1") >= 0.9)), ratio("e2", "o2"))
         .when(F.col("e1").isNotNull(), ratio("e1", "o1"))
         .when((F.col("n_words") == 1) & F.col("ep").isNotNull(), 0.8)
         .otherwise(F.when((F.col("n_words") >= 6) & (F.col("line_chars") >= 40), 0.8).otherwise(0.0))
     )
-    item = F.when(F.col("last_word").rlike("0"), 0.2).when(F.col("n_end").isNotNull(), 0.0).otherwise(0.8)
+    item = F.when(F.col("last_word").rlike("0"), 0.1).when(F.col("n_end").isNotNull(), 0.0).otherwise(0.8)
     score = (
         F.when(F.col("kind") == "tail", 1.0)
         .when(F.col("kind") == "fragment", fragment)
