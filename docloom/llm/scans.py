@@ -4,6 +4,10 @@ Running headers and footers are lines at page edges that repeat, fuzzily, the ti
 heading or other edge lines of the upload; page numbers follow the upload's own sequence. Divided
 words are told from hyphenated ones by the corpus vocabulary, and misread words are rare words that
 one recognition error separates from a far more frequent, or far more word-like, one.
+
+In all of these, elements without an id or a page number and null, empty or blank texts have no noise;
+a repeated element counts once; an empty table gives an empty result; columns other than doc_id,
+element_id, element_type, text, ord and page_number are ignored.
 """
 
 from __future__ import annotations
@@ -63,7 +67,7 @@ def page_edges(elements: DataFrame) -> DataFrame:
 
     By partial aggregation over (upload, page), so a large upload is no hot group.
     """
-    rows = elements.where(F.col("page_number").isNotNull() & (F.length(F.trim("text")) > 0)).withColumn("ls", F.split(F.regexp_replace("text", r"^\s+|\s+$", ""), r"\s*\n\s*"))
+    rows = elements.where(F.col("element_id").isNotNull() & F.col("page_number").isNotNull() & (F.length(F.trim("text")) > 0)).withColumn("ls", F.split(F.regexp_replace("text", r"^\s+|\s+$", ""), r"\s*\n\s*"))
     end = lambda line: F.struct("ord", "element_id", "element_type", line.alias("line"), F.size("ls").alias("lines"))
     pages = rows.groupBy("doc_id", F.col("page_number").alias("page")).agg(F.min_by(end(F.get("ls", F.lit(0))), "ord").alias("top"), F.max_by(end(F.element_at("ls", -1)), "ord").alias("bottom"))
     return pages.select("doc_id", "page", F.inline(F.array(F.struct(F.lit("top").alias("edge"), F.col("top").alias("x")), F.struct(F.lit("bottom").alias("edge"), F.col("bottom").alias("x"))))).select("doc_id", "page", "edge", "x.*")
@@ -272,7 +276,7 @@ def find_misread(elements: DataFrame, counts: DataFrame, furniture: DataFrame) -
     are no body text.
     """
     wrong = cut_lineage(misread_words(counts).select("word", "correction"))
-    paged = elements.where(F.col("page_number").isNotNull() & (F.length("text") > 0) & ~F.col("element_type").isin("table", "code_block"))
+    paged = elements.where(F.col("element_id").isNotNull() & F.col("page_number").isNotNull() & (F.length("text") > 0) & ~F.col("element_type").isin("table", "code_block"))
     hits = _misread_hits(paged, wrong)
     marked = furniture.groupBy("element_id").agg(F.bool_or(F.col("edge") == "top").alias("at_top"), F.bool_or(F.col("edge") == "bottom").alias("at_bottom"))
     kept = hits.join(marked, "element_id", "left").fillna(False, ["at_top", "at_bottom"])
@@ -287,7 +291,7 @@ def find_divided(elements: DataFrame, counts: DataFrame) -> DataFrame:
     lines; unknown ones are divided unless both parts are words of their own or the second is a
     number or capitalised.
     """
-    rows = elements.where(F.col("page_number").isNotNull() & F.col("text").rlike(rf"\p{{L}}[{HYPHENS}][^\S\n]*(?:\n|$)"))
+    rows = elements.where(F.col("element_id").isNotNull() & F.col("page_number").isNotNull() & F.col("text").rlike(rf"\p{{L}}[{HYPHENS}][^\S\n]*(?:\n|$)"))
     pattern = rf"(\p{{L}}+)([{HYPHENS}])[^\S\n]*(?:\n[^\p{{L}}\p{{N}}]*([\p{{L}}\p{{N}}]+)|\s*$)"
     group = lambda k: F.regexp_extract_all("text", F.lit(pattern), F.lit(k))
     pairs = rows.select("element_id", F.inline(F.arrays_zip(group(1).alias("left"), group(2).alias("mark"), group(3).alias("right")))).distinct()
