@@ -67,6 +67,23 @@ def manifest(jobs: DataFrame, created_at: Column, versions: dict[str, str]) -> D
     return jobs.select("job_id", F.to_json(fields, {"ignoreNullFields": "false"}).alias("manifest"))
 
 
+#: Keys of a provider's metrics that a diagnosis may show.
+DIAGNOSTICS = ("submitted", "created", "completed", "polls", "retries", "cancels", "repairs")
+
+
+def diagnostics(metrics: Column) -> Column:
+    """Those metrics of a map that may be shown, as whole numbers."""
+    return F.transform_values(F.map_filter(metrics, lambda k, v: k.isin(*DIAGNOSTICS)), lambda k, v: v.cast("int"))
+
+
+def package_metadata(manifests: DataFrame, summary: DataFrame, reviews: DataFrame) -> DataFrame:
+    """(job_id, metadata): one JSON document a job from its manifest, quality summary and review; without a review its fields are null."""
+    quality = F.struct(*[c for c in summary.columns if c != "job_id"])
+    review = F.struct(*[c for c in reviews.columns if c != "job_id"])
+    joined = manifests.join(summary.select("job_id", quality.alias("quality")), "job_id", "left").join(reviews.select("job_id", review.alias("review")), "job_id", "left")
+    return joined.select("job_id", F.to_json(F.struct(F.parse_json("manifest").alias("manifest"), "quality", "review"), {"ignoreNullFields": "false"}).alias("metadata"))
+
+
 def package(dataset: Path, destination: Path, manifest_json: str, metadata_json: str, report_json: str | None = None, review_json: str | None = None) -> Path:
     """A ZIP file of one dataset with its manifest, metadata and read-me, and the report and review where given."""
     with zipfile.ZipFile(destination, "w", zipfile.ZIP_DEFLATED) as out:

@@ -35,6 +35,22 @@ def quality_summary(records: DataFrame, grounding: DataFrame, issues: DataFrame,
     return out.withColumn("invalid", F.greatest(F.lit(0), F.col("final") - F.col("valid"))).withColumn("schema_valid", F.col("errors") == 0).withColumn("status", status)
 
 
+def record_summaries(grounding: DataFrame, issues: DataFrame, kept: DataFrame) -> DataFrame:
+    """(job_id, rec_pos, grounding_status, source_refs, evidence_items, verified, issue_codes) of each kept record, codes in report order.
+
+    ``grounding`` is by record, ``issues`` is numbered, ``kept`` has the records that stay.
+    """
+    codes = issues.where(F.col("rec_pos").isNotNull()).groupBy("job_id", "rec_pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("issue_pos", "code"))), lambda i: i.code).alias("issue_codes"))
+    joined = grounding.join(kept.select("job_id", "rec_pos"), ["job_id", "rec_pos"], "left_semi").join(codes, ["job_id", "rec_pos"], "left")
+    passed = (F.col("verified") > 0) & (F.col("errors") == 0)
+    return joined.select("job_id", "rec_pos", F.when(passed, "passed").otherwise("failed").alias("grounding_status"), F.col("refs").alias("source_refs"), "evidence_items", "verified", F.coalesce("issue_codes", F.array().cast("array<string>")).alias("issue_codes"))
+
+
+def validation_overview(summary: DataFrame) -> DataFrame:
+    """The part of a quality summary that a caller of a job sees."""
+    return summary.select("job_id", "status", "schema_valid", "generated", "final", "valid", "invalid", "exact_duplicates_removed", "near_duplicate_pairs", "warnings")
+
+
 def report_document(summary: DataFrame, grounding: DataFrame, issues: DataFrame) -> DataFrame:
     """(job_id, report): the validation report of each job as JSON; absent values stay as nulls."""
     listed = issues.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("issue_pos", "code", "severity", "rec_pos", "field"))).alias("issues"))

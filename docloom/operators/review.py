@@ -98,6 +98,11 @@ def affected_records(records: DataFrame, issues: DataFrame) -> DataFrame:
     return records.withColumn("__id", F.try_element_at("metadata", F.lit("record_id"))).join(named.withColumnRenamed("record_id", "__id"), ["job_id", "__id"], "left_semi").drop("__id")
 
 
+def issues_of(issues: DataFrame, record_ids: Column) -> DataFrame:
+    """The issues that name any of the given records."""
+    return issues.where(F.arrays_overlap("record_ids", record_ids))
+
+
 def pair_replacements(affected: DataFrame, replacements: DataFrame) -> DataFrame:
     """(job_id, rec_pos, new_pos, error): affected records with their replacements by position.
 

@@ -82,6 +82,9 @@ s AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(base, '[^A-Za-
 
 _CODES = "['REPETITIVE_RECORDS', 'LOW_INSTRUCTION_DIVERSITY', 'WEAK_CONTEXT', 'WEAK_EXPECTED_OUTPUT', 'AMBIGUOUS_INSTRUCTION', 'DIFFICULTY_MISMATCH', 'CATEGORY_INCONSISTENCY', 'REDUNDANT_TEST_CASE', 'SOURCE_SUPPORT_CONCERN', 'OVERLY_BROAD_ANSWER', 'OVERLY_TRIVIAL_RECORD', 'POOR_DATASET_COVERAGE', 'OTHER_BOUNDED_QUALITY_ISSUE']"
 
+_CELLS = {"instruction": "instruction", "input": "input_text", "output": "output_text", "context": "context", "expected_output": "expected_output"}
+_GUARDED = ", ".join(f"CASE WHEN regexp_matches(coalesce({c}, ''), '^[=+@-]') THEN '''' || {c} ELSE coalesce({c}, '') END AS {n}" for n, c in _CELLS.items())
+
 ORACLE_SQL: dict[str, str] = {
     "document_statistics": f"WITH {_STATS} SELECT *, CASE WHEN character_count < 20 THEN 'suspicious' ELSE 'valid' END AS quality FROM st",
     "structure_analysis": f"WITH {_STATS} SELECT doc_id, heading_count AS section_count, heading_count, table_count, page_count AS available_page_count, character_count AS content_volume, CASE WHEN heading_count > 0 OR table_count > 0 THEN 'Structured content detected' ELSE 'Linear text content' END AS structure_summary FROM st",
@@ -109,6 +112,8 @@ r AS (SELECT rec.job_id, rec.rec_pos, coalesce(len(list_distinct(source_refs)),
 g AS (SELECT r.*, is_duplicate, n = v AND n > 0 AND bad = 0 AND refs > 0 AS grounded FROM r JOIN dup USING (job_id, rec_pos)),
 j AS (SELECT job_id, count(*) AS generated_records, CAST(count_if(NOT is_duplicate) AS BIGINT) AS total_records, CAST(count_if(grounded) AS BIGINT) AS grounded_records, CAST(sum(n) AS BIGINT) AS total_evidence, CAST(sum(v) AS BIGINT) AS verified_evidence FROM g GROUP BY job_id)
 SELECT *, greatest(0, total_records - grounded_records) AS ungrounded_records, greatest(0, total_evidence - verified_evidence) AS failed_evidence, CASE WHEN total_records > 0 AND grounded_records = total_records AND verified_evidence = total_evidence THEN 'passed' ELSE 'failed' END AS status FROM j""",
+    "csv_projection": f"""WITH {_RECORDS} SELECT {_GUARDED}, CAST(to_json(map_from_entries(list_sort(map_entries(metadata)))) AS VARCHAR) AS metadata, coalesce(category, '') AS category, coalesce(difficulty, '') AS difficulty,
+ CAST(to_json(coalesce(source_refs, [])) AS VARCHAR) AS source_refs, CAST(to_json(list_transform(coalesce(evidence, []), lambda e: {{'quote': e.quote, 'source_ref': e.source_ref}})) AS VARCHAR) AS evidence FROM rec""",
     "provider_parse": f"WITH {_RECORDS} SELECT record_id, coalesce(instruction, '') AS instruction, coalesce(context, '') AS context, coalesce(expected_output, '') AS expected_output, coalesce(category, 'general') AS category, coalesce(difficulty, 'medium') AS difficulty, CAST(coalesce(len(source_refs), 0) AS INTEGER) AS refs, CAST(coalesce(len(evidence), 0) AS INTEGER) AS evidence_items FROM rec",
     "assembled_records": f"""WITH {_RECORDS}, a AS (SELECT job_id, max(least(CASE WHEN regexp_extract(prompt, '{RECORD_COUNT}', 1) = '' THEN 4 ELSE CAST(regexp_extract(prompt, '{RECORD_COUNT}', 1) AS INTEGER) END, 20)) AS target FROM jobs GROUP BY job_id),
 n AS (SELECT record_id, job_id, CAST(row_number() OVER (PARTITION BY job_id ORDER BY rec_pos) - 1 AS INTEGER) AS rec_pos, target FROM rec JOIN a USING (job_id))

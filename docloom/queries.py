@@ -129,6 +129,18 @@ def quality_summary(spark: SparkSession, sf: str) -> DataFrame:
     return _report_parts(spark, sf)[0]
 
 
+def record_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    records, grounding = _grounding(spark, sf)
+    near = cut_lineage(validation.near_duplicates(records))
+    issues = validation.issue_order(validation.all_issues(records, _evidence(records), _sources(spark, sf), near))
+    kept = validation.exact_duplicates(records).where(~F.col("is_duplicate"))
+    return quality.record_summaries(grounding, issues, kept).withColumn("issue_codes", F.array_join("issue_codes", ","))
+
+
+def validation_overview(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.validation_overview(_report_parts(spark, sf)[0])
+
+
 def validation_issues(spark: SparkSession, sf: str) -> DataFrame:
     return _report_parts(spark, sf)[2].select("job_id", "issue_pos", "rec_pos", "code", "severity", "field")
 
@@ -206,7 +218,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         document_statistics, structure_analysis, extract_elements, section_paths, batch_plan, context_batches, requested_counts, alias_units, normalize_text, structural_errors, field_issues, reference_issues,
-        evidence_checks, evidence_checks_native, exact_duplicates, near_duplicates, grounding_summary, grounding_summary_native, grounding_after_dedup, quality_summary, validation_issues, validation_reports,
+        evidence_checks, evidence_checks_native, exact_duplicates, near_duplicates, grounding_summary, grounding_summary_native, grounding_after_dedup, quality_summary, record_summaries, validation_overview, validation_issues, validation_reports,
         csv_projection, provider_parse, assembled_records, category_frequencies, review_batches, review_summary, revised_records, safe_names, semantic_texts, manifests,
     )
 }

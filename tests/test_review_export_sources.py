@@ -87,6 +87,18 @@ def test_csv_and_package(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "lines")).count() == 2
 
 
+def test_metadata_and_diagnostics(spark):
+    manifests = spark.createDataFrame([("j", '{"format": "csv"}'), ("k", "{}")], "job_id string, manifest string")
+    summary = spark.createDataFrame([("j", "passed", 3)], "job_id string, status string, final int")
+    reviews = spark.createDataFrame([("k", 2)], "job_id string, issues_found int")
+    out = {r.job_id: json.loads(r.metadata) for r in export.package_metadata(manifests, summary, reviews).collect()}
+    assert out["j"] == {"manifest": {"format": "csv"}, "quality": {"status": "passed", "final": 3}, "review": None} and out["k"]["review"] == {"issues_found": 2}
+    row = spark.sql("SELECT map('polls', '3', 'secret', 'x') AS m").select(export.diagnostics(F.col("m")).alias("d")).first()
+    assert row.d == {"polls": 3}
+    issues = spark.createDataFrame([(1, ["a", "b"]), (2, ["c"])], "n int, record_ids array<string>")
+    assert [r.n for r in review.issues_of(issues, F.array(F.lit("b"))).collect()] == [1]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"\xef\xbb\xbfTITLE\nline \xc3\xa9")
     (tmp_path / "b.txt").write_bytes(b"caf\xe9 \x80")

@@ -8,7 +8,7 @@ import pytest
 
 from docloom.functions.text import _normal
 from docloom.operators import validation as V
-from docloom.operators.quality import quality_summary, report_document
+from docloom.operators.quality import quality_summary, record_summaries, report_document
 
 SCHEMA = "job_id string, rec_pos int, instruction string, input_text string, output_text string, context string, expected_output string, category string, difficulty string, source_refs array<string>, evidence array<struct<source_ref:string,quote:string>>, metadata map<string,string>"
 
@@ -112,6 +112,15 @@ def test_status(spark, sources, rows, status):
     assert set(report["quality"]["difficulty_distribution"]) == {"easy", "medium", "hard"}
 
 
+def test_record_summaries(spark, sources):
+    records, _, near, issues = parts(spark, sources, [record(0), record(1, quotes=(("s1", "absent words"), ("s1", "x"))), record(2, instruction="EXPLAIN point 0", context="Context of 0", expected_output="Answer 0 in words")])
+    per_record = V.record_grounding(records, evidence_of(records), sources)
+    kept = V.exact_duplicates(records).where("NOT is_duplicate")
+    out = {r.rec_pos: r for r in record_summaries(per_record, issues, kept).collect()}
+    assert set(out) == {0, 1} and out[0].grounding_status == "passed" and out[0].issue_codes == []
+    assert (out[1].grounding_status, out[1].evidence_items, out[1].verified, out[1].issue_codes) == ("failed", 2, 0, ["EVIDENCE_NOT_FOUND", "EVIDENCE_TOO_SHORT"])
+
+
 def test_empty(spark, sources):
     records, grounding, near, issues = parts(spark, sources, [])
     assert grounding.count() == near.count() == issues.count() == quality_summary(records, grounding, issues, near).count() == 0
