@@ -180,10 +180,15 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elements.unionByName(evidence)
 
 
+def changed_forms(texts: DataFrame, keys: list[str], model: np.ndarray) -> DataFrame:
+    """``keys`` and form of each row whose text differs from its consistent form, whatever it held."""
+    return unify(texts, [*keys, "text"], "text", model).where("form <> text").select(*keys, "form")
+
+
 def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, row_key, form) of every text that is not in the consistent form."""
     texts = _texts(spark, sf_dir)
-    return unify(texts, ["src", "row_key"], "text", bigram_model(texts, "text")).where(F.size("kinds") > 0).select("src", "row_key", "form").distinct()
+    return changed_forms(texts, ["src", "row_key"], bigram_model(texts, "text")).distinct()
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import pytest
 
-from docloom.llm.lookalikes import SUSPECT, bigram_model, one_form, restore, unify
+from docloom.llm.lookalikes import SUSPECT, bigram_model, changed_forms, one_form, p6_forms, p6_found, restore, unify
 from pyspark.sql import functions as F
 
 
@@ -37,3 +37,16 @@ def test_rows(spark, model):
     out = unify(df, ["k"], "text", model, only=F.col("text").rlike(SUSPECT)).collect()
     assert sorted((r.k or "", r.kinds) for r in out) == [("", ["zero_width"]), ("d", ["space"]), ("d", ["space"]), ("e", ["mixed"])]
     assert unify(df.limit(0), ["k"], "text", model).count() == 0
+
+
+def test_every_changed_text_has_a_form(spark, model):
+    rows = [("a", "wait… x² ½"), ("b", "soft\u00adhyphen"), ("c", "x\u00a0y…"), ("d", "plain"), ("e", "für датчик"), ("f", None)]
+    out = changed_forms(spark.createDataFrame(rows, "k string, text string"), ["k"], model).collect()
+    assert {r.k: r.form for r in out} == {"a": "wait... x2 1⁄2", "b": "softhyphen", "c": "x y..."}
+
+
+def test_p6_forms_returns_them(spark, tmp_path):
+    spark.createDataFrame([("e1", "wait…"), ("e2", "plain")], "element_id string, text string").write.parquet(f"{tmp_path}/elements.parquet")
+    spark.createDataFrame([(1, "wait…"), (2, "x\u00a0y")], "evidence_id long, quote string").write.parquet(f"{tmp_path}/evidence.parquet")
+    assert {tuple(r) for r in p6_forms(spark, str(tmp_path)).collect()} == {("elements", "e1", "wait..."), ("evidence", "1", "wait..."), ("evidence", "2", "x y")}
+    assert {tuple(r) for r in p6_found(spark, str(tmp_path)).collect()} == {("evidence", "2")}
