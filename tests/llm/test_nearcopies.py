@@ -73,3 +73,17 @@ def test_signature_estimates_probability_jaccard():
     signature = prob_minhash([a, b], 4096)
     assert abs((signature[0] == signature[1]).mean() - exact) < 0.03
     assert not prob_minhash([(np.array([], dtype=np.uint64), np.array([]))], 8).any()
+
+
+def test_pairs_at_the_threshold_that_a_narrower_search_loses(spark):
+    # 48 of 64 words shared: exactly 0.75; 48 bands with 99 of 128 bits lose each of these
+    expected, data = set(), []
+    for seed in (55, 67, 650, 690, 854, 1091):
+        rng = random.Random(seed)
+        words = [f"w{rng.randrange(10**6)}" for _ in range(56)]
+        other = words[:48] + [f"w{rng.randrange(10**6)}" for _ in range(8)]
+        assert similarity(" ".join(words), " ".join(other)) == 0.75
+        data += [(2 * seed, " ".join(words)), (2 * seed + 1, " ".join(other))]
+        expected.add((2 * seed, 2 * seed + 1))
+    pairs, _ = near_pairs(spark.createDataFrame(data, "record_id long, text string"), "record_id", F.col("text"))
+    assert {(r.rep_a, r.rep_b) for r in pairs.collect()} == expected
