@@ -1,7 +1,8 @@
 """Problem 1: noise in text from scanned pages.
 
 Running headers and footers are lines at page edges that repeat, fuzzily, the title, an earlier
-heading or other edge lines of the upload; page numbers follow the upload's own sequence. Divided
+heading or other edge lines of the upload; page numbers follow the upload's own sequence. Both are
+also looked for on lines inside elements, since a page end may lie there. Divided
 words are told from hyphenated ones by the corpus vocabulary, and misread words are rare words that
 one recognition error separates from a far more frequent, or far more word-like, one.
 
@@ -62,17 +63,41 @@ def _number_of(raw: Column) -> tuple[Column, Column]:
     return arabic, F.when(roman > 0, roman.cast("int"))
 
 
+def _lines(text: Column) -> Column:
+    """The lines of a text without the blanks around them; blank lines are none."""
+    return F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\s*\n\s*")
+
+
+def _split(text: str) -> list[str]:
+    """The same lines as :func:`_lines` in Python."""
+    return re.split(r"\s*\n\s*", text.strip(" \t\n\x0b\f\r"), flags=re.ASCII)
+
+
+def _filled(elements: DataFrame) -> DataFrame:
+    return elements.where(F.col("element_id").isNotNull() & F.col("page_number").isNotNull() & (F.length(F.trim("text")) > 0))
+
+
 def page_edges(elements: DataFrame) -> DataFrame:
-    """The first line of each page's first element and the last line of its last: doc_id, page, edge, ord, element_id, element_type, line, lines.
+    """The first line of each page's first element and the last line of its last: doc_id, page, edge, ord, element_id, element_type, line, lines, at.
 
-    By partial aggregation over (upload, page), so a large upload is no hot group.
+    By partial aggregation over (upload, page), so a large upload is no hot group. ``at`` is the place of the line in its element, from 0.
     """
-    rows = elements.where(F.col("element_id").isNotNull() & F.col("page_number").isNotNull() & (F.length(F.trim("text")) > 0)).withColumn("ls", F.split(F.regexp_replace("text", r"^\s+|\s+$", ""), r"\s*\n\s*"))
-    end = lambda line: F.struct("ord", "element_id", "element_type", line.alias("line"), F.size("ls").alias("lines"))
-    pages = rows.groupBy("doc_id", F.col("page_number").alias("page")).agg(F.min_by(end(F.get("ls", F.lit(0))), "ord").alias("top"), F.max_by(end(F.element_at("ls", -1)), "ord").alias("bottom"))
+    rows = _filled(elements).withColumn("ls", _lines(F.col("text")))
+    end = lambda line, at: F.struct("ord", "element_id", "element_type", line.alias("line"), F.size("ls").alias("lines"), at.alias("at"))
+    pages = rows.groupBy("doc_id", F.col("page_number").alias("page")).agg(F.min_by(end(F.get("ls", F.lit(0)), F.lit(0)), "ord").alias("top"), F.max_by(end(F.element_at("ls", -1), F.size("ls") - 1), "ord").alias("bottom"))
     return pages.select("doc_id", "page", F.inline(F.array(F.struct(F.lit("top").alias("edge"), F.col("top").alias("x")), F.struct(F.lit("bottom").alias("edge"), F.col("bottom").alias("x"))))).select("doc_id", "page", "edge", "x.*")
 
 
+def inner_lines(elements: DataFrame) -> DataFrame:
+    """Every line of the running text of paged elements, in the columns of :func:`page_edges` with the edge 'inside'.
+
+    A page end may lie inside an element. Lines that end a sentence are no furniture there.
+    """
+    rows = _filled(elements).where(F.col("element_type").isin("text", "paragraph"))
+    lines = rows.withColumn("ls", _lines(F.col("text"))).select("doc_id", F.col("page_number").alias("page"), F.lit("inside").alias("edge"), "ord", "element_id", "element_type", F.size("ls").alias("lines"), F.posexplode("ls").alias("at", "line"))
+    return lines.where((F.length("line") <= 90) & ~F.col("line").rlike(r"[.!?:]\s*$")).select("doc_id", "page", "edge", "ord", "element_id", "element_type", "line", "lines", "at")
+
+
 def _halves(key: str) -> Column:
     """Two keys, of which one survives any damage to the other half of a line."""
     half = F.greatest(F.lit(1), F.floor(F.length(key) / 2).cast("int"))
@@ -80,7 +105,11 @@ def _halves(key: str) -> Column:
 
 
 def find_furniture(elements: DataFrame) -> DataFrame:
-    """(element_id, edge): elements whose first (top) or last (bottom) line is a running header, footer or page number."""
+    """(element_id, edge, at): lines that are a running header, footer or page number, by their place in the element.
+
+    ``edge`` is top or bottom of a page, or inside for lines that stand alone elsewhere. Those are
+    held against the sequence of page numbers and the running lines of the upload's page edges.
+    """
     edges = page_edges(elements)
     # a page number may stand beside the running text, several blanks apart
     beside = rf"(?i)^{_NUMBER}\s{{3,}}(?=\S)|(?<=\S)\s{{3,}}{_NUMBER}$"
@@ -94,23 +123,32 @@ def find_furniture(elements: DataFrame) -> DataFrame:
     offsets = numbered.where(F.col("arabic").isNotNull()).groupBy("doc_id", (F.col("page") - F.col("arabic")).alias("shift")).agg(F.countDistinct("page").alias("support"))
     known = numbered.withColumn("shift", F.col("page") - F.col("arabic")).join(offsets, ["doc_id", "shift"], "left")
     fits = (F.col("roman") == F.col("page")) | (F.col("shift") == 0) | ((F.col("shift") > 0) & (F.col("shift") <= 12) & (F.col("arabic") > 0)) | ((F.col("support") >= 3) & (F.col("arabic") > 0))
-    numbers = known.where(fits).select("element_id", "edge")
+    numbers = known.where(fits).select("element_id", "edge", "at")
+    inner = inner_lines(elements)
+    alone = inner.withColumn("raw", F.regexp_extract(F.trim("line"), f"(?i)^{_NUMBER}$", 1)).where("raw <> ''")
+    arabic, roman = _number_of(F.col("raw"))
+    alone = alone.withColumn("arabic", arabic).withColumn("roman", roman).withColumn("shift", F.col("page") - F.col("arabic"))
+    numbers = numbers.union(alone.join(offsets, ["doc_id", "shift"], "left").where(fits).select("element_id", "edge", "at"))
     # running lines: the title, or a heading that stood before, or a line that tops other pages too
     lines = split.where(F.col("element_type").isin("text", "paragraph", "heading") & (F.length("key") >= 4) & ~F.col("line").rlike(r":\s*$") & (F.length("body") <= 90))
     heads = elements.where((F.col("element_type") == "heading") & F.col("page_number").isNotNull() & ~F.col("text").contains("\n")).select("doc_id", "ord", F.trim(F.col("text")).alias("t")).withColumn("head", ocr_key(F.col("t")))
     heads = heads.where(F.length("head") >= 4).groupBy("doc_id", "head").agg(F.min("ord").alias("first"), F.length(F.min("t")).alias("head_chars"))
     near = lambda a, b: F.levenshtein(F.col(a), F.col(b)) <= F.greatest(F.lit(1), F.floor(F.length(b) / 8))
-    left = lines.where("page > 1 or edge = 'bottom'").select("doc_id", "element_id", "edge", "ord", "key", "attached", F.explode(_halves("key")).alias("half"))
+    left = lines.where("page > 1 or edge = 'bottom'").select("doc_id", "element_id", "edge", "at", "ord", "key", F.explode(_halves("key")).alias("half"))
     right = heads.select("doc_id", "head", "first", F.explode(_halves("head")).alias("half"))
-    repeats = left.join(right, ["doc_id", "half"]).where((F.col("first") < F.col("ord")) & near("key", "head")).select("element_id", "edge")
+    repeats = left.join(right, ["doc_id", "half"]).where((F.col("first") < F.col("ord")) & near("key", "head")).select("element_id", "edge", "at")
     # "office — title": the part after a dash repeats the title
     tail = lines.where(F.col("body").rlike(r"\s[\x{2014}\x{2013}]\s")).withColumn("tail", ocr_key(F.regexp_replace("body", r"^.*\s[\x{2014}\x{2013}]\s", "")))
-    dashed = tail.select("doc_id", "element_id", "edge", "ord", "tail", F.explode(_halves("tail")).alias("half")).join(right, ["doc_id", "half"]).where((F.col("first") < F.col("ord")) & near("tail", "head")).select("element_id", "edge")
+    dashed = tail.select("doc_id", "element_id", "edge", "at", "ord", "tail", F.explode(_halves("tail")).alias("half")).join(right, ["doc_id", "half"]).where((F.col("first") < F.col("ord")) & near("tail", "head")).select("element_id", "edge", "at")
     # lines that repeat among themselves on three pages or more, in the same place, and are no headings with their own text below
     plain = lines.where(F.col("element_type").isin("text", "paragraph") & (F.col("page") > 1))
     again = plain.where((F.col("lines") == 1) & (F.length("key") >= 6) & ~F.col("line").rlike(r"[.!?]\s*$")).groupBy("doc_id", "edge", "key").agg(F.countDistinct("page").alias("pages")).where("pages >= 3")
-    running = plain.join(again, ["doc_id", "edge", "key"], "left_semi").select("element_id", "edge")
-    return numbers.union(repeats).union(dashed).union(running).distinct()
+    running = plain.join(again, ["doc_id", "edge", "key"], "left_semi").select("element_id", "edge", "at")
+    out = cut_lineage(numbers.union(repeats).union(dashed).union(running).distinct())
+    # inside elements: lines that repeat a running line of the upload
+    runs = split.where("length(key) >= 6").join(out.where("edge <> 'inside'"), ["element_id", "edge", "at"], "left_semi").groupBy("doc_id", F.col("key").alias("run")).agg(F.countDistinct("page").alias("pages")).where("pages >= 2")
+    again = inner.where("lines > 1").withColumn("key", ocr_key(F.col("line"))).where("length(key) >= 6").join(runs, (inner["doc_id"] == runs["doc_id"]) & (F.col("key") == F.col("run")), "left_semi")
+    return out.union(again.select("element_id", "edge", "at")).distinct()
 
 
 def word_counts(elements: DataFrame) -> DataFrame:
@@ -237,7 +275,7 @@ def misread_words(counts: DataFrame, score: float = 3.0) -> DataFrame:
 
 
 def _misread_hits(paged: DataFrame, wrong: DataFrame) -> DataFrame:
-    """(element_id, first, last, word, correction): where misread words stand, by first and last line.
+    """(element_id, at, word, correction): where misread words stand, by line.
 
     Up to BROADCAST_ROWS misread words go out as one table, and each text is matched as a set of
     words where it lies; a longer list is joined by shuffle. Both give the same rows.
@@ -251,22 +289,22 @@ def _misread_hits(paged: DataFrame, wrong: DataFrame) -> DataFrame:
             for batch in batches:
                 rows = []
                 for element, text in zip(batch["element_id"], batch["text"]):
-                    clean = _ZERO.sub("", text.strip(" "))
+                    clean = _ZERO.sub("", text)
                     if known.keys().isdisjoint(_WORD.findall(clean)):
                         continue
+                    clean = "\n".join(_split(clean))
                     if _BREAKS.search(clean):
                         clean = _DIVIDED.sub("\n", clean)
-                    lines = clean.split("\n")
-                    for at, line in enumerate(lines):
-                        rows += [(element, at == 0, at == len(lines) - 1, w, known[w]) for w in _WORD.findall(line) if w in known]
-                yield pd.DataFrame(rows, columns=["element_id", "first", "last", "word", "correction"])
+                    for at, line in enumerate(clean.split("\n")):
+                        rows += [(element, at, w, known[w]) for w in _WORD.findall(line) if w in known]
+                yield pd.DataFrame(rows, columns=["element_id", "at", "word", "correction"])
 
-        return paged.select("element_id", "text").mapInPandas(match, f"element_id {kind}, first boolean, last boolean, word string, correction string")
-    text = F.regexp_replace(F.trim(F.col("text")), r"[\x{200B}-\x{200D}\x{2060}\x{FEFF}]", "")
+        return paged.select("element_id", "text").mapInPandas(match, f"element_id {kind}, at int, word string, correction string")
+    text = F.array_join(_lines(F.regexp_replace("text", r"[\x{200B}-\x{200D}\x{2060}\x{FEFF}]", "")), "\n")
     whole = F.when(text.rlike(_BREAKS.pattern), F.regexp_replace(text, _DIVIDED.pattern, "\n")).otherwise(text)
-    lines = paged.select("element_id", F.split(whole, r"\n").alias("ls")).select("element_id", F.size("ls").alias("n"), F.posexplode("ls").alias("pos", "line"))
-    tokens = lines.select("element_id", (F.col("pos") == 0).alias("first"), (F.col("pos") == F.col("n") - 1).alias("last"), F.explode(F.regexp_extract_all("line", F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))).alias("word"))
-    return tokens.join(wrong, "word").select("element_id", "first", "last", "word", "correction")
+    lines = paged.select("element_id", F.posexplode(F.split(whole, r"\n")).alias("at", "line"))
+    tokens = lines.select("element_id", "at", F.explode(F.regexp_extract_all("line", F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))).alias("word"))
+    return tokens.join(wrong, "word").select("element_id", "at", "word", "correction")
 
 
 def find_misread(elements: DataFrame, counts: DataFrame, furniture: DataFrame) -> DataFrame:
@@ -278,20 +316,22 @@ def find_misread(elements: DataFrame, counts: DataFrame, furniture: DataFrame) -
     wrong = cut_lineage(misread_words(counts).select("word", "correction"))
     paged = elements.where(F.col("element_id").isNotNull() & F.col("page_number").isNotNull() & (F.length("text") > 0) & ~F.col("element_type").isin("table", "code_block"))
     hits = _misread_hits(paged, wrong)
-    marked = furniture.groupBy("element_id").agg(F.bool_or(F.col("edge") == "top").alias("at_top"), F.bool_or(F.col("edge") == "bottom").alias("at_bottom"))
-    kept = hits.join(marked, "element_id", "left").fillna(False, ["at_top", "at_bottom"])
-    inside = (F.col("first") & F.col("at_top")) | (F.col("last") & F.col("at_bottom"))
-    return kept.where(~inside).select("element_id", "word", "correction").distinct()
+    kept = hits.join(furniture.select("element_id", "at").distinct(), ["element_id", "at"], "left_anti")
+    return kept.select("element_id", "word", "correction").distinct()
 
 
-def find_divided(elements: DataFrame, counts: DataFrame) -> DataFrame:
+def find_divided(elements: DataFrame, counts: DataFrame, furniture: DataFrame | None = None) -> DataFrame:
     """(element_id, left, mark, right): words divided at a line end or at the end of the element (right is empty).
 
     The corpus decides: the joined word against the hyphenated compound, each by its count inside
     lines; unknown ones are divided unless both parts are words of their own or the second is a
-    number or capitalised.
+    number or capitalised. Lines of ``furniture`` are taken out first, as a word may be divided over them.
     """
     rows = elements.where(F.col("element_id").isNotNull() & F.col("page_number").isNotNull() & F.col("text").rlike(rf"\p{{L}}[{HYPHENS}][^\S\n]*(?:\n|$)"))
+    if furniture is not None:
+        gone = furniture.groupBy("element_id").agg(F.collect_set("at").alias("gone"))
+        body = F.array_join(F.filter(_lines(F.col("text")), lambda line, at: ~F.array_contains("gone", at)), "\n")
+        rows = rows.join(gone, "element_id", "left").withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(body))
     pattern = rf"(\p{{L}}+)([{HYPHENS}])[^\S\n]*(?:\n[^\p{{L}}\p{{N}}]*([\p{{L}}\p{{N}}]+)|\s*$)"
     group = lambda k: F.regexp_extract_all("text", F.lit(pattern), F.lit(k))
     pairs = rows.select("element_id", F.inline(F.arrays_zip(group(1).alias("left"), group(2).alias("mark"), group(3).alias("right")))).distinct()
@@ -325,7 +365,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     elements = _elements(spark, sf_dir)
     counts = cut_lineage(word_counts(elements))
     furniture = cut_lineage(find_furniture(elements))
-    kinds = (("furniture", furniture), ("hyphen", find_divided(elements, counts)), ("misread", find_misread(elements, counts, furniture)))
+    kinds = (("furniture", furniture), ("hyphen", find_divided(elements, counts, furniture)), ("misread", find_misread(elements, counts, furniture)))
     out = None
     for noise, found in kinds:
         part = found.select("element_id", F.lit(noise).alias("noise")).distinct()
@@ -334,14 +374,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @F.pandas_udf(T.StringType())
-def _clean(text: pd.Series, top: pd.Series, bottom: pd.Series, fixes: pd.Series, divided: pd.Series) -> pd.Series:
+def _clean(text: pd.Series, gone: pd.Series, fixes: pd.Series, divided: pd.Series) -> pd.Series:
     """Body text of an element: without furniture, misread words corrected, divided words and lines joined."""
     out = []
-    for t, t_top, t_bottom, words, marks in zip(text, top, bottom, fixes, divided):
-        lines = re.split(r"\s*\n\s*", (t or "").strip())
-        lines = lines[1:] if t_top else lines
-        lines = lines[:-1] if t_bottom and lines else lines
-        body = "\n".join(lines)
+    for t, places, words, marks in zip(text, gone, fixes, divided):
+        drop = set(places) if places is not None else ()
+        body = "\n".join(line for at, line in enumerate(_split(t or "")) if at not in drop)
         for f in words if words is not None else ():
             body = re.sub(rf"(?<![^\W_]){re.escape(f['word'])}(?![^\W_])", f["correction"].replace("\\", ""), body)
         for d in marks if marks is not None else ():
@@ -364,11 +402,11 @@ def repair_pages(elements: DataFrame) -> DataFrame:
     counts = cut_lineage(word_counts(elements))
     furniture = cut_lineage(find_furniture(elements))
     fixes = find_misread(elements, counts, furniture).groupBy("element_id").agg(F.collect_set(F.struct("word", "correction")).alias("fixes"))
-    marks = find_divided(elements, counts)
+    marks = find_divided(elements, counts, furniture)
     parted = marks.groupBy("element_id").agg(F.collect_set(F.struct("left", "mark", "right")).alias("divided"), F.max(F.when(F.col("right") == "", F.concat("left", "mark"))).alias("open_mark"))
-    edge = furniture.groupBy("element_id").agg(F.bool_or(F.col("edge") == "top").alias("top"), F.bool_or(F.col("edge") == "bottom").alias("bottom"))
-    rows = elements.where(F.col("page_number").isNotNull()).join(edge, "element_id", "left").join(fixes, "element_id", "left").join(parted, "element_id", "left").fillna(False, ["top", "bottom"])
-    body = rows.withColumn("body", _clean("text", "top", "bottom", "fixes", "divided")).where(F.length("body") > 0).select("doc_id", F.col("page_number").alias("page"), "ord", "element_id", "element_type", F.col("body").alias("text"), "open_mark")
+    edge = furniture.groupBy("element_id").agg(F.collect_set("at").alias("gone"))
+    rows = elements.where(F.col("page_number").isNotNull()).join(edge, "element_id", "left").join(fixes, "element_id", "left").join(parted, "element_id", "left")
+    body = rows.withColumn("body", _clean("text", "gone", "fixes", "divided")).where(F.length("body") > 0).select("doc_id", F.col("page_number").alias("page"), "ord", "element_id", "element_type", F.col("body").alias("text"), "open_mark")
     body = cut_lineage(body)
     last = body.groupBy("doc_id", "page").agg(F.max_by(F.struct("element_id", "element_type", "text", "open_mark"), "ord").alias("l"))
     first = body.groupBy("doc_id", "page").agg(F.min_by(F.struct("element_id", "element_type", "text"), "ord").alias("f"))

@@ -80,3 +80,18 @@ def test_paragraph_over_a_page_end(spark):
     rows = [("d", "a", "paragraph", "The clerk moves the cabinet and the", 0, 1), ("d", "b", "text", "- 1 -", 1, 1), ("d", "c", "paragraph", "valve before noon.", 2, 2), ("d", "e", "text", "- 2 -", 3, 2)]
     out = [(r.element_id, r.text) for r in repair_pages(spark.createDataFrame(rows, SCHEMA)).collect()]
     assert out == [("a", "The clerk moves the cabinet and the valve before noon.")]
+
+
+def test_furniture_on_a_line_inside_an_element(spark):
+    title = "Shared Checklist Procedure"
+    rows = [("d", "h", "heading", title, 0, 1)]
+    for page in range(2, 7):
+        rows += [("d", f"r{page}", "text", title, 10 * page, page), ("d", f"b{page}", "paragraph", f"The clerk moves the cabinet and\n– {page} –\nthe valve, says page\n{page}.", 10 * page + 1, page), ("d", f"c{page}", "paragraph", "All is well.", 10 * page + 2, page)]
+    rows += [("d", "x", "paragraph", "The external mani-\n7\nfold is closed and\nShared Checklist Procedure\nlocked.", 71, 7), ("d", "y", "paragraph", "On that day 587 minutes were\n404\nlogged.", 72, 7), ("d", "z", "paragraph", "The manifold is shut.", 73, 7), ("d", "r7", "text", title, 70, 7)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = {(r.element_id, r.at) for r in find_furniture(df).collect()}
+    assert found == {(f"r{p}", 0) for p in range(2, 8)} | {(f"b{p}", 1) for p in range(2, 7)} | {("x", 1), ("x", 3)}
+    assert {(r.element_id, r.left, r.right) for r in find_divided(df, word_counts(df), find_furniture(df)).collect()} == {("x", "mani", "fold")}
+    out = {r.element_id: r.text for r in repair_pages(df).collect()}
+    assert out["b3"] == "The clerk moves the cabinet and the valve, says page 3." and out["x"] == "The external manifold is closed and locked."
+    assert out["y"] == "On that day 587 minutes were 404 logged."
