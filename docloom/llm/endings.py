@@ -8,20 +8,37 @@ that something follows elsewhere are whole.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.session import cut_lineage
 
-#: What may follow a cut (omission marks, a broken character, blanks).
-OMISSION = r"(?:\s|\x{FFFD}|\x{2026}|\.{3,}|\[\s*(?:\x{2026}|\.{3})\s*\]|\(\s*(?:\x{2026}|\.{3})\s*\))+$"
+#: What may follow a cut (omission marks, a broken character, blanks), as read from the end of the text.
+OMISSION_REVERSED = r"^(?:\s|\x{FFFD}|\x{2026}|\.{3,}|\]\s*(?:\x{2026}|\.{3})\s*\[|\)\s*(?:\x{2026}|\.{3})\s*\()+"
+_CLOSING = "\"'\u201D\u2019\u00BB)]"
 _CLOSERS = "[\"'\\u201D\\u2019\\u00BB)\\]]*"
+_STOPS = ".!?\u3002"
 TERMINAL = f"[.!?\\u3002]{_CLOSERS}$"
 _INNER_STOP = f"[\\p{{L}}\\p{{N}})\\u201D\\u2019\"%\\u00B0][.!?]{_CLOSERS}\\s+\\S"
 _LIST = r"^\s*(?:[-*\x{2022}\x{2013}\x{25E6}]|\d{1,2}[.)]|[a-z]\))\s"
 _VALUE = r"^\s*(?=\S*\d)[\p{Lu}\d][\p{Lu}\d.\-/]*[\p{Lu}\d]\s*$"
 _CODE = r"^\s*[\w.]+\([^\n]*$|[;{}]\s*$"
 
+# the same kinds of line in Python, for the statistics over all lines
+_PY_LIST = re.compile("\\s*(?:[-*\u2022\u2013\u25E6]|\\d{1,2}[.)]|[a-z]\\))\\s", re.ASCII)
+_PY_CALL = re.compile(r"\s*[\w.]+\(", re.ASCII)
+_PY_INNER = re.compile("(?:[^\\W_]|[)\u201D\u2019\"%\u00B0])[.!?][\"'\u201D\u2019\u00BB)\\]]*\\s+\\S")
+_PY_HEAD = re.compile(r"(?:\S+\s+){3}")
+_SENTENCE = re.compile(r"(?<=[.!?])[ \t\r\x0b\f]+")
+_OPENING = re.compile(r"[\W_]*([^\W_]+)(?:[\W_]+([^\W_]+))?")
+_WORD = re.compile(r"[^\W_]+")
+_DIGIT = re.compile(r"\d")
+
 
 def _line_kind(line: Column) -> Column:
     return (
@@ -48,13 +65,14 @@ def ending_features(df: DataFrame, id_col: str, text: str, keep: tuple[str, ...]
     words are those of its last line. Null texts count as empty.
     """
     base = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"), *keep)
-    body = base.withColumn("body", F.regexp_replace("t", OMISSION, ""))
-    body = body.withColumn("line", F.element_at(F.split("body", "\n"), -1)).withColumn("w", _shape(F.col("line")))
-    mark = F.substring("t", F.length("body") + 1, 1000)
+    # read from the end, the pattern stops at the first character that is no omission
+    marks = base.withColumn("mark", F.regexp_extract(F.reverse("t"), OMISSION_REVERSED, 0))
+    body = marks.withColumn("body", F.left("t", F.length("t") - F.length("mark")))
+    body = body.withColumn("line", F.substring_index("body", "\n", -1)).withColumn("w", _shape(F.col("line")))
     return body.select(
         "id",
         *keep,
-        mark.rlike(r"[\x{FFFD}\x{2026}]|\.{3}").alias("marked"),
+        F.col("mark").rlike(r"[\x{FFFD}\x{2026}]|\.{3}").alias("marked"),
         F.length("body").alias("body_chars"),
         F.octet_length("body").alias("body_bytes"),
         _line_kind(F.col("line")).alias("kind"),
@@ -68,25 +86,84 @@ def ending_features(df: DataFrame, id_col: str, text: str, keep: tuple[str, ...]
     )
 
 
+def plain_line(line: str) -> bool | None:
+    """True for a line that ends like a sentence, False for one that could but does not, None for lists, tables, code, values and the like."""
+    if not (bare := line.strip()) or "|" in line or _PY_LIST.match(line) or bare[-1] in ";{}" or "(" in line and _PY_CALL.match(line):
+        return None
+    if " " not in bare and any(c.isdigit() for c in bare) and len(bare) > 1 and bare[0].isalnum() and bare[-1].isalnum() and all(c.isdigit() or c.isupper() or c in ".-/" for c in bare):
+        return None
+    if line.rstrip(_CLOSING)[-1:] in _STOPS and line[-1] in _STOPS + _CLOSING:
+        return True
+    head = _PY_HEAD.match(line)
+    return None if head and _PY_INNER.search(line, head.end()) else False
+
+
+def count_lines(texts: list[str], openings: tuple[Counter, Counter], words: Counter) -> None:
+    """Adds the lines and sentences of ``texts`` to the counters: openings that end with a full stop and without one, and words that something follows."""
+    ended, open_ = openings
+    for text in texts:
+        pieces: list[str] = []
+        for line in text.split("\n"):
+            parts = _SENTENCE.split(line)
+            own = parts[:1]
+            for part in parts[1:]:
+                if part[:1].isupper() or part[:1] == "\u00BF":
+                    own.append(part)
+                else:
+                    own[-1] += " " + part
+            pieces += own
+        low = _DIGIT.sub("0", text.lower())
+        said = _WORD.findall(low)
+        last = len(pieces) - 1
+        closed = False
+        for at, piece in enumerate(pieces):
+            ends = plain_line(piece)
+            if at == last:
+                closed = ends is True
+            if ends is None or not (m := _OPENING.match(piece)):
+                continue
+            if at < last or ends or len(_WORD.findall(piece)) <= 4:
+                one, two = m.groups()
+                into = ended if ends else open_
+                one = _DIGIT.sub("0", one.lower())
+                into[one] += 1
+                if two:
+                    into[f"{one} {_DIGIT.sub('0', two.lower())}"] += 1
+        words.update(said if closed else said[:-1])
+
+
 def line_statistics(texts: DataFrame, text: str, least: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pairs, firsts, whole) counted over all lines of all texts.
 
     pairs (first2, e2, o2): lines that begin with the two words and end with a full stop, or without
     one. firsts (first1, e1, o1, ep): the same for the first word, and as ep how often such lines begin
     with a word that has first1 as a proper prefix. whole (last_word, n_end): words that something
-    follows, so that no cut made them. Keys seen fewer than ``least`` times say nothing and are left out.
+    follows, so that no cut made them. Openings seen fewer than ``least`` times and words seen once
+    are no evidence and are left out. Lines are counted inside each task first, so one shuffle of
+    about the distinct keys of a task is all that leaves it.
     """
-    split = texts.where(F.length(text) > 0).select(F.split(F.regexp_replace(F.col(text), r"([.!?])\s+(?=\p{Lu}|\x{BF})", "$1\n"), "\n").alias("ls"))
-    lines = split.select(F.size("ls").alias("n"), F.posexplode("ls").alias("pos", "line")).where(F.length("line") > 0)
-    lines = lines.select((F.col("pos") < F.col("n") - 1).alias("inner"), _line_kind(F.col("line")).alias("kind"), _shape(F.col("line")).alias("w")).where(F.size("w") > 0)
-    plain = F.col("kind").isin("terminal", "fragment") & (F.col("inner") | (F.col("kind") == "terminal") | (F.size("w") <= 4))
-    ended = (F.col("kind") == "terminal").cast("long")
-    entry = lambda role, key, e, o: F.struct(F.lit(role).alias("role"), key.alias("key"), e.alias("ended"), o.alias("open"))
-    openings = F.when(plain, F.transform(F.array_distinct(F.array(F.get("w", F.lit(0)), F.array_join(F.slice("w", 1, 2), " "))), lambda k: entry("opening", k, ended, 1 - ended)))
-    followed = F.when(F.col("inner") | (F.col("kind") == "terminal"), F.col("w")).otherwise(F.slice("w", 1, F.size("w") - 1))
-    words = F.transform(F.filter(F.array_distinct(followed), lambda w: ~w.contains("0")), lambda w: entry("word", w, F.lit(0).cast("long"), F.lit(1).cast("long")))
-    # one scan and one shuffle for all of it, stored since each part is small beside the lines
-    counted = lines.select(F.inline(F.concat(F.coalesce(openings, F.array().cast("array<struct<role:string,key:string,ended:bigint,open:bigint>>")), words))).groupBy("role", "key").agg(F.sum("ended").alias("ended"), F.sum("open").alias("open"))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        openings, words = (Counter(), Counter()), Counter()
+
+        def out() -> Iterator[pd.DataFrame]:
+            ended, open_ = openings
+            keys = list({*ended, *open_})
+            yield pd.DataFrame({"role": "opening", "key": pd.Series(keys, dtype=object), "ended": [ended[k] for k in keys], "open": [open_[k] for k in keys]})
+            keys = [k for k in words if "0" not in k]
+            yield pd.DataFrame({"role": "word", "key": pd.Series(keys, dtype=object), "ended": 0, "open": [words[k] for k in keys]})
+
+        for batch in batches:
+            count_lines(batch["t"].tolist(), openings, words)
+            if sum(map(len, (*openings, words))) > 400_000:  # a bound of memory: counts are summed below
+                yield from out()
+                for counter in (*openings, words):
+                    counter.clear()
+        yield from out()
+
+    # stored since each part is read more than once and small beside the lines
+    rows = texts.where(F.length(text) > 0).select(F.col(text).alias("t")).mapInPandas(count, "role string, key string, ended long, open long")
+    counted = rows.groupBy("role", "key").agg(F.sum("ended").alias("ended"), F.sum("open").alias("open"))
     counted = cut_lineage(counted.where(F.col("ended") + F.col("open") >= 2))
     starts = counted.where((F.col("role") == "opening") & (F.col("ended") + F.col("open") >= least)).select("key", "ended", "open")
     single = starts.where(~F.col("key").contains(" ") & (F.col("ended") > F.col("open")))
@@ -121,4 +198,6 @@ def incomplete(features: DataFrame, statistics: tuple[DataFrame, DataFrame, Data
         .when(F.col("kind") == "table", F.when(F.col("stray"), 0.9).otherwise(0.1))
         .otherwise(0.0)
     )
-    return joined.withColumn("score", score)
+    # an omission mark or a broken character after an ending that is open anyway makes it surer
+    surer = F.when(F.col("marked") & (score >= 0.5), 1 - (1 - score) / 4).otherwise(score)
+    return joined.withColumn("score", surer)
