@@ -52,7 +52,7 @@ def test_significant_lengths(spark):
 def test_rows_that_only_the_hazard_finds(spark):
     """Openings that are labels as often as sentences: alone they say little, at a significant length enough."""
     rng = random.Random(9)
-    rows, limit, elsewhere = [], set(), set()
+    rows, limit, elsewhere, cut = [], set(), set(), set()
     for i in range(3000):
         words = " ".join(rng.choice(["north", "hall", "spring", "crew", "locker", "archive"]) for _ in range(rng.randint(4, 40)))
         subject = rng.choice(["The pump", "The valve", "The boiler"])
@@ -66,6 +66,7 @@ def test_rows_that_only_the_hazard_finds(spark):
         source = "ab"[i % 2]
         if source == "a" and len(text) > 120:
             text = text[:120]
+            cut.add(i)
             if not text.endswith(".") and "\n" not in text:
                 limit.add(i)
         elif source == "b" and i % 200 == 1 and "\n" not in text:
@@ -77,7 +78,7 @@ def test_rows_that_only_the_hazard_finds(spark):
     assert len(limit) > 100 and sum(by_id[i].posterior >= 0.5 for i in limit) >= 0.97 * len(limit)
     assert all(by_id[i].posterior < 0.5 for i in elsewhere)
     found = {r.id for r in find_truncated(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert len(found - limit) <= 0.05 * len(found)
+    assert len(found - cut) <= 0.05 * len(found)
 
 
 def test_mixture_without_a_significant_length_keeps_the_scores():
