@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from docloom.session import cut_lineage
 
-#: What may follow a cut (omission marks, a broken character, blanks), as read from the end of the text.
-OMISSION_REVERSED = r"^(?:\s|\x{FFFD}|\x{2026}|\.{3,}|\]\s*(?:\x{2026}|\.{3})\s*\[|\)\s*(?:\x{2026}|\.{3})\s*\()+"
+# What may follow a cut (blanks, a broken character, omission marks, also in brackets).
+_BLANKS = " \t\n\x0b\f\r"
+_AFTER = _BLANKS + "\uFFFD\u2026."
+_BRACKETED = r"^[\s\x{FFFD}\x{2026}]*+(?:\]\s*+(?:\x{2026}|\.{3})\s*+\[|\)\s*+(?:\x{2026}|\.{3})\s*+\()"
 _CLOSING = "\"'\u201D\u2019\u00BB)]"
 _CLOSERS = "[\"'\\u201D\\u2019\\u00BB)\\]]*"
 _STOPS = ".!?\u3002"
@@ -65,14 +67,17 @@ def ending_features(df: DataFrame, id_col: str, text: str, keep: tuple[str, ...]
     words are those of its last line. Null texts count as empty.
     """
     base = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"), *keep)
-    # read from the end, the pattern stops at the first character that is no omission
-    marks = base.withColumn("mark", F.regexp_extract(F.reverse("t"), OMISSION_REVERSED, 0))
-    body = marks.withColumn("body", F.left("t", F.length("t") - F.length("mark")))
+    # read from the end, so that only what follows the body is looked at; one or two dots belong to it
+    marks = base.withColumn("bracket", F.regexp_extract(F.reverse("t"), _BRACKETED, 0)).withColumn("rest", F.left("t", F.length("t") - F.length("bracket")))
+    marks = marks.withColumn("core", F.rtrim("rest", F.lit(_AFTER)))
+    dots = F.regexp_extract(F.substring("rest", F.length("core") + 1, F.lit(3)), r"^\.{1,2}(?!\.)", 0)
+    body = marks.withColumn("body", F.concat("core", dots))
+    after = F.concat(F.substring("rest", F.length("body") + 1, F.length("rest")), F.col("bracket"))
     body = body.withColumn("line", F.substring_index("body", "\n", -1)).withColumn("w", _shape(F.col("line")))
     return body.select(
         "id",
         *keep,
-        F.col("mark").rlike(r"[\x{FFFD}\x{2026}]|\.{3}").alias("marked"),
+        after.rlike(r"[\x{FFFD}\x{2026}]|\.{3}").alias("marked"),
         F.length("body").alias("body_chars"),
         F.octet_length("body").alias("body_bytes"),
         _line_kind(F.col("line")).alias("kind"),
