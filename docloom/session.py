@@ -6,11 +6,12 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Most rows that :func:`broadcast_checked` puts into a broadcast.
-BROADCAST_ROWS = 200_000
+#: Most rows and bytes that go into a broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,9 +46,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` hinted for broadcast if it has at most ``rows`` rows, else unhinted (a shuffle join).
+def _size(dtype: T.DataType, value: Column) -> Column:
+    """About the bytes of a value in a broadcast; strings and nested values by what they hold."""
+    if isinstance(dtype, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(dtype, T.ArrayType):
+        each = F.aggregate(value, F.lit(0), lambda total, x: total + _size(dtype.elementType, x).cast("int"))
+        return F.coalesce(each, F.lit(0)) + 16
+    if isinstance(dtype, T.StructType):
+        return sum((_size(f.dataType, value.getField(f.name)) for f in dtype.fields), F.lit(8))
+    if isinstance(dtype, T.MapType):
+        return _size(T.ArrayType(dtype.keyType), F.map_keys(value)) + _size(T.ArrayType(dtype.valueType), F.map_values(value))
+    return F.lit(8)
 
-    The count stops after ``rows + 1`` rows, so pass a ``df`` that is cheap to compute.
+
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``rows`` rows of at most ``size`` bytes together.
+
+    Counting stops after ``rows + 1`` rows, so pass a ``df`` that is cheap to compute.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    total = sum((_size(f.dataType, F.col(f"`{f.name}`")) for f in df.schema.fields), F.lit(8)).cast("long")
+    n, held = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(total), F.lit(0))).first()
+    return n <= rows and held <= size
+
+
+def broadcast_checked(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` hinted for broadcast if it is small enough by :func:`fits_broadcast`, else unhinted (a shuffle join)."""
+    return F.broadcast(df) if fits_broadcast(df, rows, size) else df
