@@ -1,8 +1,8 @@
 """Problem 1: noise in text from scanned pages.
 
 Running headers and footers are lines at page edges that repeat, fuzzily, the title, an earlier
-heading or other edge lines of the upload; page numbers follow the upload's own sequence. Both are
-also looked for on lines inside elements, since a page end may lie there. Divided
+heading or other edge lines of the upload; page numbers are the page's own or of a sequence of the
+upload. Both are also looked for on lines inside elements, since a page end may lie there. Divided
 words are told from hyphenated ones by the corpus vocabulary, and misread words are rare words that
 one recognition error separates from a far more frequent, or far more word-like, one.
 
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.session import BROADCAST_ROWS, cut_lineage, read_table
+from docloom.session import cut_lineage, fits_broadcast, read_table
 
 # What was printed and what recognition makes of it.
 CONFUSIONS = {
@@ -78,13 +78,14 @@ def _filled(elements: DataFrame) -> DataFrame:
 
 
 def page_edges(elements: DataFrame) -> DataFrame:
-    """The first line of each page's first element and the last line of its last: doc_id, page, edge, ord, element_id, element_type, line, lines, at.
+    """The first line of each page's first element and the last line of its last: doc_id, page, edge, ord, element_id, element_type, line, lines, at, beside.
 
-    By partial aggregation over (upload, page), so a large upload is no hot group. ``at`` is the place of the line in its element, from 0.
+    By partial aggregation over (upload, page), so a large upload is no hot group. ``at`` is the place
+    of the line in its element, from 0; ``beside`` is the line above a last one.
     """
     rows = _filled(elements).withColumn("ls", _lines(F.col("text")))
-    end = lambda line, at: F.struct("ord", "element_id", "element_type", line.alias("line"), F.size("ls").alias("lines"), at.alias("at"))
-    pages = rows.groupBy("doc_id", F.col("page_number").alias("page")).agg(F.min_by(end(F.get("ls", F.lit(0)), F.lit(0)), "ord").alias("top"), F.max_by(end(F.element_at("ls", -1), F.size("ls") - 1), "ord").alias("bottom"))
+    end = lambda line, at, by: F.struct("ord", "element_id", "element_type", line.alias("line"), F.size("ls").alias("lines"), at.alias("at"), by.alias("beside"))
+    pages = rows.groupBy("doc_id", F.col("page_number").alias("page")).agg(F.min_by(end(F.get("ls", F.lit(0)), F.lit(0), F.lit(None).cast("string")), "ord").alias("top"), F.max_by(end(F.element_at("ls", -1), F.size("ls") - 1, F.get("ls", F.size("ls") - 2)), "ord").alias("bottom"))
     return pages.select("doc_id", "page", F.inline(F.array(F.struct(F.lit("top").alias("edge"), F.col("top").alias("x")), F.struct(F.lit("bottom").alias("edge"), F.col("bottom").alias("x"))))).select("doc_id", "page", "edge", "x.*")
 
 
@@ -115,20 +116,24 @@ def find_furniture(elements: DataFrame) -> DataFrame:
     beside = rf"(?i)^{_NUMBER}\s{{3,}}(?=\S)|(?<=\S)\s{{3,}}{_NUMBER}$"
     split = edges.withColumn("body", F.trim(F.regexp_replace("line", beside, "")))
     aside = F.trim(F.when(F.col("body") == F.trim("line"), F.col("line")).otherwise(F.replace("line", "body", F.lit(""))))
-    split = split.withColumn("raw", F.regexp_extract(aside, f"(?i)^{_NUMBER}$", 1))
+    split = split.withColumn("aside", aside).withColumn("raw", F.regexp_extract("aside", f"(?i)^{_NUMBER}$", 1))
     arabic, roman = _number_of(F.col("raw"))
-    split = cut_lineage(split.withColumn("arabic", arabic).withColumn("roman", roman).withColumn("attached", F.col("body") != F.trim("line")).withColumn("key", ocr_key(F.col("body"))))
-    # page numbers: at the page's own number, or at an offset that other pages of the upload share
+    split = cut_lineage(split.withColumn("arabic", arabic).withColumn("roman", roman).withColumn("apart", (F.col("lines") == 1) | F.coalesce(F.col("beside").rlike(r"[.!?:]$"), F.lit(False))).withColumn("key", ocr_key(F.col("body"))))
+    # page numbers: at the page's own number, or in a sequence that other pages of the upload carry on
     numbered = split.where(F.col("raw") != "")
     offsets = numbered.where(F.col("arabic").isNotNull()).groupBy("doc_id", (F.col("page") - F.col("arabic")).alias("shift")).agg(F.countDistinct("page").alias("support"))
-    known = numbered.withColumn("shift", F.col("page") - F.col("arabic")).join(offsets, ["doc_id", "shift"], "left")
-    fits = (F.col("roman") == F.col("page")) | (F.col("shift") == 0) | ((F.col("shift") > 0) & (F.col("shift") <= 12) & (F.col("arabic") > 0)) | ((F.col("support") >= 3) & (F.col("arabic") > 0))
-    numbers = known.where(fits).select("element_id", "edge", "at")
+    front = numbered.where(F.col("roman") == F.col("page")).select("doc_id", (F.col("page") + 1).alias("page"), F.lit(True).alias("after_front")).distinct()
     inner = inner_lines(elements)
-    alone = inner.withColumn("raw", F.regexp_extract(F.trim("line"), f"(?i)^{_NUMBER}$", 1)).where("raw <> ''")
+    alone = inner.withColumn("raw", F.regexp_extract(F.trim("line"), f"(?i)^{_NUMBER}$", 1)).where("raw <> ''").withColumn("aside", F.trim("line"))
     arabic, roman = _number_of(F.col("raw"))
-    alone = alone.withColumn("arabic", arabic).withColumn("roman", roman).withColumn("shift", F.col("page") - F.col("arabic"))
-    numbers = numbers.union(alone.join(offsets, ["doc_id", "shift"], "left").where(fits).select("element_id", "edge", "at"))
+    alone = alone.withColumn("arabic", arabic).withColumn("roman", roman).withColumn("apart", F.lit(False))
+    columns = ["doc_id", "page", "element_id", "edge", "at", "raw", "aside", "arabic", "roman", "apart"]
+    both = numbered.select(*columns).union(alone.select(*columns)).withColumn("shift", F.col("page") - F.col("arabic"))
+    known = both.join(offsets, ["doc_id", "shift"], "left").join(front, ["doc_id", "page"], "left")
+    # a bare number needs a second page of its sequence, the end of roman front matter before it, or a place of its own where no sentence goes on
+    early = F.col("shift").between(1, 12) & ((F.col("support") >= 2) | (F.col("aside") != F.col("raw")) | (F.col("after_front") & (F.col("arabic") == 1)) | F.col("apart"))
+    fits = (F.col("roman") == F.col("page")) | (F.col("arabic") > 0) & ((F.col("shift") == 0) | early | (F.col("support") >= 3))
+    numbers = known.where(fits).select("element_id", "edge", "at")
     # running lines: the title, or a heading that stood before, or a line that tops other pages too
     lines = split.where(F.col("element_type").isin("text", "paragraph", "heading") & (F.length("key") >= 4) & ~F.col("line").rlike(r":\s*$") & (F.length("body") <= 90))
     heads = elements.where((F.col("element_type") == "heading") & F.col("page_number").isNotNull() & ~F.col("text").contains("\n")).select("doc_id", "ord", F.trim(F.col("text")).alias("t")).withColumn("head", ocr_key(F.col("t")))
@@ -140,9 +145,13 @@ def find_furniture(elements: DataFrame) -> DataFrame:
     # "office — title": the part after a dash repeats the title
     tail = lines.where(F.col("body").rlike(r"\s[\x{2014}\x{2013}]\s")).withColumn("tail", ocr_key(F.regexp_replace("body", r"^.*\s[\x{2014}\x{2013}]\s", "")))
     dashed = tail.select("doc_id", "element_id", "edge", "at", "ord", "tail", F.explode(_halves("tail")).alias("half")).join(right, ["doc_id", "half"]).where((F.col("first") < F.col("ord")) & near("tail", "head")).select("element_id", "edge", "at")
-    # lines that repeat among themselves on three pages or more, in the same place, and are no headings with their own text below
-    plain = lines.where(F.col("element_type").isin("text", "paragraph") & (F.col("page") > 1))
-    again = plain.where((F.col("lines") == 1) & (F.length("key") >= 6) & ~F.col("line").rlike(r"[.!?]\s*$")).groupBy("doc_id", "edge", "key").agg(F.countDistinct("page").alias("pages")).where("pages >= 3")
+    # lines that repeat among themselves, misread or not, on three pages or more in the same place; each reading counts its pages first, so many pages are no hot group
+    plain = lines.where(F.col("element_type").isin("text", "paragraph") & (F.col("page") > 1) & (F.length("key") >= 6) & ~F.col("line").rlike(r"[.!?]\s*$"))
+    readings = plain.groupBy("doc_id", "edge", "key").agg(F.countDistinct("page").alias("pages"))
+    halved = readings.select("doc_id", "edge", "key", "pages", F.explode(_halves("key")).alias("half"))
+    like = halved.alias("a").join(halved.select("doc_id", "edge", "half", F.col("key").alias("other"), F.col("pages").alias("more")).alias("b"), ["doc_id", "edge", "half"]).where((F.col("key") != F.col("other")) & near("key", "other"))
+    like = like.select("doc_id", "edge", "key", "other", "more").distinct().groupBy("doc_id", "edge", "key").agg(F.sum("more").alias("more"))
+    again = readings.join(like, ["doc_id", "edge", "key"], "left").where(F.col("pages") + F.coalesce("more", F.lit(0)) >= 3)
     running = plain.join(again, ["doc_id", "edge", "key"], "left_semi").select("element_id", "edge", "at")
     out = cut_lineage(numbers.union(repeats).union(dashed).union(running).distinct())
     # inside elements: lines that repeat a running line of the upload
@@ -213,13 +222,13 @@ def _trigrams(word: Column) -> Column:
 
 
 def letter_model(counts: DataFrame) -> dict[str, float]:
-    """Log probability of each letter given the two before it, over the distinct words seen without page numbers.
+    """Log probability of each letter given the two before it, over the words seen without page numbers.
 
-    Words count once each, by the letters of the fixed Latin alphabet, so the table is bounded by
-    that alphabet's trigrams.
+    Words count as often as they stand there. The table is bounded by the trigrams of the fixed Latin
+    alphabet.
     """
     words = counts.where((F.col("other") > 0) & F.col("word").rlike(r"^[A-Za-z\x{00C0}-\x{017F}]{3,}$"))
-    tri = words.select(F.explode(_trigrams(F.col("word"))).alias("t"), F.least(F.col("other"), F.lit(20)).alias("w")).groupBy("t").agg(F.sum("w").alias("n")).toPandas()
+    tri = words.select(F.explode(_trigrams(F.col("word"))).alias("t"), F.col("other").alias("w")).groupBy("t").agg(F.sum("w").alias("n")).toPandas()
     total: Counter[str] = Counter()
     for t, n in zip(tri["t"], tri["n"]):
         total[t[:2]] += n
@@ -277,34 +286,33 @@ def misread_words(counts: DataFrame, score: float = 3.0) -> DataFrame:
 def _misread_hits(paged: DataFrame, wrong: DataFrame) -> DataFrame:
     """(element_id, at, word, correction): where misread words stand, by line.
 
-    Up to BROADCAST_ROWS misread words go out as one table, and each text is matched as a set of
-    words where it lies; a longer list is joined by shuffle. Both give the same rows.
+    One function reads the words of every line. While the misread words fit into a broadcast of
+    bounded size, it gives only those; else it gives the distinct words of each line that could be
+    any, and a shuffle join finds the misread ones among them.
     """
     kind = paged.schema["element_id"].dataType.simpleString()
-    if wrong.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        table = paged.sparkSession.sparkContext.broadcast({r.word: r.correction for r in wrong.collect()})
-
-        def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            known = table.value
-            for batch in batches:
-                rows = []
-                for element, text in zip(batch["element_id"], batch["text"]):
-                    clean = _ZERO.sub("", text)
-                    if known.keys().isdisjoint(_WORD.findall(clean)):
-                        continue
-                    clean = "\n".join(_split(clean))
-                    if _BREAKS.search(clean):
-                        clean = _DIVIDED.sub("\n", clean)
-                    for at, line in enumerate(clean.split("\n")):
-                        rows += [(element, at, w, known[w]) for w in _WORD.findall(line) if w in known]
-                yield pd.DataFrame(rows, columns=["element_id", "at", "word", "correction"])
-
-        return paged.select("element_id", "text").mapInPandas(match, f"element_id {kind}, at int, word string, correction string")
-    text = F.array_join(_lines(F.regexp_replace("text", r"[\x{200B}-\x{200D}\x{2060}\x{FEFF}]", "")), "\n")
-    whole = F.when(text.rlike(_BREAKS.pattern), F.regexp_replace(text, _DIVIDED.pattern, "\n")).otherwise(text)
-    lines = paged.select("element_id", F.posexplode(F.split(whole, r"\n")).alias("at", "line"))
-    tokens = lines.select("element_id", "at", F.explode(F.regexp_extract_all("line", F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))).alias("word"))
-    return tokens.join(wrong, "word").select("element_id", "at", "word", "correction")
+    shared = None
+    if fits_broadcast(wrong):
+        shared = paged.sparkSession.sparkContext.broadcast({r.word for r in wrong.select("word").toLocalIterator()})
+
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value if shared is not None else None
+        for batch in batches:
+            rows = []
+            for element, text in zip(batch["element_id"], batch["text"]):
+                clean = _ZERO.sub("", text)
+                if known is not None and known.isdisjoint(_WORD.findall(clean)):
+                    continue
+                clean = "\n".join(_split(clean))
+                if _BREAKS.search(clean):
+                    clean = _DIVIDED.sub("\n", clean)
+                for at, line in enumerate(clean.split("\n")):
+                    own = set(_WORD.findall(line))
+                    rows += [(element, at, w) for w in (own if known is None else own & known)]
+            yield pd.DataFrame(rows, columns=["element_id", "at", "word"])
+
+    hits = paged.select("element_id", "text").mapInPandas(match, f"element_id {kind}, at int, word string")
+    return hits.join(wrong if shared is None else F.broadcast(wrong), "word").select("element_id", "at", "word", "correction")
 
 
 def find_misread(elements: DataFrame, counts: DataFrame, furniture: DataFrame) -> DataFrame:
@@ -394,9 +402,10 @@ def repair_pages(elements: DataFrame) -> DataFrame:
     """(doc_id, page, ord, element_id, element_type, text): the paged elements as continuous readable paragraphs.
 
     Furniture is gone, misread words are corrected, divided words and wrapped lines are joined, and
-    a paragraph that runs over a page end has its rest appended. Each page end is an equi-join of one
-    page's last body element with the next page's first, so no upload is gathered in one task.
-    Elements without a page number have no row; repeated rows of an element count once.
+    a paragraph that runs over one page end or more is put together under its first part. Each page end
+    is an equi-join of one page's last body element with the next page's first, and only the parts of
+    one paragraph meet, so no upload is gathered in one task. Elements without a page number or
+    without text have no row; repeated rows of an element count once.
     """
     elements = elements.where(F.col("element_id").isNotNull()).groupBy("element_id").agg(F.min_by(F.struct("doc_id", "element_type", "text", "ord", "page_number"), F.struct("ord", "text")).alias("e")).select("element_id", "e.*")
     counts = cut_lineage(word_counts(elements))
@@ -412,12 +421,23 @@ def repair_pages(elements: DataFrame) -> DataFrame:
     first = body.groupBy("doc_id", "page").agg(F.min_by(F.struct("element_id", "element_type", "text"), "ord").alias("f"))
     runs_on = (F.col("l.element_type") == "paragraph") & (F.col("f.element_type") == "paragraph") & ~F.col("l.text").rlike(r"[.!?:][\"'\x{201D}\x{00BB})]*$") & F.col("f.text").rlike(r"^[\p{Ll}\p{N}]")
     links = last.join(first.select("doc_id", (F.col("page") - 1).alias("page"), "f"), ["doc_id", "page"]).where(runs_on & (F.col("l.element_id") != F.col("f.element_id")))
-    links = links.select(F.col("l.element_id").alias("head"), F.col("f.element_id").alias("rest"), F.col("f.text").alias("more"))
-    # the rest of a paragraph that itself runs on keeps its own place, and is not appended twice
-    links = links.join(links.select(F.col("rest").alias("head")), "head", "left_anti")
-    glue = F.when(F.col("open_mark").isNotNull() & F.col("text").endswith(F.col("open_mark")), F.concat(F.expr("substring(text, 1, length(text) - 1)"), "more")).when(F.col("text").rlike(r"\p{L}-$"), F.concat("text", "more")).otherwise(F.concat_ws(" ", "text", "more"))
-    joined = body.join(links.select(F.col("head").alias("element_id"), "more"), "element_id", "left").join(links.select(F.col("rest").alias("element_id")), "element_id", "left_anti")
-    return joined.select("doc_id", "page", "ord", "element_id", "element_type", F.when(F.col("more").isNull(), F.col("text")).otherwise(glue).alias("text"))
+    links = cut_lineage(links.select(F.col("f.element_id").alias("element_id"), F.col("l.element_id").alias("head")))
+    # a paragraph may run on over several pages: each link is followed to the paragraph's first part
+    while True:
+        further = links.join(links.select(F.col("element_id").alias("head"), F.col("head").alias("before")), "head", "left")
+        jumped = cut_lineage(further.select("element_id", F.coalesce("before", "head").alias("head"), F.col("before").isNotNull().alias("moved")))
+        links = jumped.select("element_id", "head")
+        if not jumped.where("moved").limit(1).count():
+            break
+    rests = links.union(links.select("head", "head").distinct())
+    # every part but the last without its dividing mark, and with a blank unless a word goes on
+    divided = F.col("open_mark").isNotNull() & F.col("text").endswith(F.col("open_mark"))
+    stem = F.when(divided, F.expr("substring(text, 1, length(text) - 1)")).when(F.col("text").rlike(r"\p{L}-$"), F.col("text")).otherwise(F.concat("text", F.lit(" ")))
+    parts = body.join(rests, "element_id").groupBy(F.col("head").alias("element_id")).agg(F.array_sort(F.collect_list(F.struct("page", "ord", "element_id", stem.alias("stem"), "text"))).alias("p"))
+    whole = F.concat(F.array_join(F.transform(F.slice("p", 1, F.size("p") - 1), lambda x: x.stem), ""), F.element_at("p", -1).text)
+    heads = parts.select("element_id", whole.alias("whole"))
+    joined = body.join(heads, "element_id", "left").join(links.select("element_id"), "element_id", "left_anti")
+    return joined.select("doc_id", "page", "ord", "element_id", "element_type", F.coalesce("whole", "text").alias("text"))
 
 
 def p1_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import pytest
 
+from docloom.llm import scans
 from docloom.llm.scans import corrections, find_divided, find_furniture, find_misread, misread_words, repair_pages, word_counts
 
 SCHEMA = "doc_id string, element_id string, element_type string, text string, ord int, page_number int"
@@ -95,3 +96,34 @@ def test_furniture_on_a_line_inside_an_element(spark):
     out = {r.element_id: r.text for r in repair_pages(df).collect()}
     assert out["b3"] == "The clerk moves the cabinet and the valve, says page 3." and out["x"] == "The external manifold is closed and locked."
     assert out["y"] == "On that day 587 minutes were 404 logged."
+
+
+def test_misread_words_by_broadcast_and_by_shuffle(spark, monkeypatch):
+    rows = [("d", "a", "paragraph", "A high- \nrccords clerk", 0, 1), ("d", "b", "paragraph", "the rccords rnanifold and rccords", 1, 1), ("d", "c", "paragraph", "man-\n rccords of it", 2, 1), ("d", "e", "paragraph", "x\x1crccords", 3, 1)]
+    paged = spark.createDataFrame(rows, SCHEMA)
+    wrong = spark.createDataFrame([("rccords", "records"), ("rnanifold", "manifold")], "word string, correction string")
+    small = sorted(scans._misread_hits(paged, wrong).collect())
+    monkeypatch.setattr(scans, "fits_broadcast", lambda df: False)
+    assert small == sorted(scans._misread_hits(paged, wrong).collect())
+    assert {(r.element_id, r.word) for r in small} == {("b", "rccords"), ("b", "rnanifold"), ("e", "rccords")}
+
+
+def test_a_paragraph_over_four_pages(spark):
+    texts = ["The clerk moves the cabi-", "net and the second valve of the", "old boiler to the high-pressure", "hall before noon."]
+    rows = [("d", f"p{i}", "paragraph", t, 2 * i, i + 1) for i, t in enumerate(texts)] + [("d", f"n{i}", "text", f"- {i + 1} -", 2 * i + 1, i + 1) for i in range(4)]
+    rows += [("w", f"w{i}", "paragraph", "The cabinet of the clerk.", i, None) for i in range(30)]
+    out = [(r.element_id, r.text) for r in repair_pages(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert out == [("p0", "The clerk moves the cabinet and the second valve of the old boiler to the high-pressure hall before noon.")]
+
+
+def test_a_lone_number_is_no_page_number(spark):
+    rows = [("d", "a", "paragraph", "The count of that day was\n4", 0, 7), ("d", "b", "paragraph", "On the next one it was\n4", 1, 9), ("d", "c", "paragraph", "All is well.", 2, 9)]
+    assert find_furniture(spark.createDataFrame(rows, SCHEMA)).count() == 0
+    two = [("d", f"p{i}", "paragraph", f"The count of that day was\n{i - 3}", i, i) for i in (7, 8)]
+    assert {r.element_id for r in find_furniture(spark.createDataFrame(two, SCHEMA)).collect()} == {"p7", "p8"}
+
+
+def test_running_lines_repeat_fuzzily(spark):
+    lines = {2: "Harbour Office Quarterly Notes", 3: "Harbour 0ffice Quartcrly Notes", 4: "Harbour Offixe Quarterly Notes", 5: "Plain words of the fifth page", 6: "Other words of the sixth page"}
+    rows = [("d", f"t{p}", "text", line, 10 * p, p) for p, line in lines.items()] + [("d", f"b{p}", "paragraph", "All is well.", 10 * p + 1, p) for p in lines]
+    assert {r.element_id for r in find_furniture(spark.createDataFrame(rows, SCHEMA)).collect()} == {"t2", "t3", "t4"}
