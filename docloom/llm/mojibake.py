@@ -2,10 +2,11 @@
 
 A noisy channel: text was encoded in one charset and decoded in another, wholly or for a span, once
 or twice, sometimes losing bytes. Every distinct word with characters beyond ASCII gets a byte
-lattice for each channel, in which a lost byte (U+FFFD) is a wildcard; wildcards are filled by the
-corpus words of the same pattern. Words are scored by their corpus frequency, with the frequency of
+lattice for each channel, in which a lost byte (U+FFFD) is a wildcard: a lead byte that is left, or
+the bytes that a charset has no character for, still bound what it can have been. Corpus words that
+fit the lattice fill the wildcards. Words are scored by their corpus frequency, with the frequency of
 their shape behind it, and Viterbi search over a row's words picks the channel of each, where a
-change of channel costs extra.
+change of channel costs extra. Forms that are garbled themselves are no evidence of a word.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import product
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -32,17 +34,16 @@ ONE_BYTE = (
     ("cp1251", "cp1252"), ("koi8_r", "cp1252"), ("cp866", "cp1252"), ("koi8_r", "cp1251"), ("cp1251", "koi8_r"), ("cp866", "cp1251"), ("cp1251", "cp866"), ("cp1251", "mac_roman"), ("mac_cyrillic", "cp1251"), ("cp1251", "mac_cyrillic"), ("iso8859_5", "cp1252"), ("cp1251", "cp1250"),
 )
 
-#: Log scores: of a channel that yields valid UTF-8 sequences, of one-byte channels, of a change of channel.
-VALID_UTF8, REMAPPED, SWITCH = 3.0, -1.5, -2.0
+#: Log scores: of a channel that yields valid UTF-8 sequences, of one-byte channels, of a change of channel, of a broken rule of spelling.
+VALID_UTF8, REMAPPED, SWITCH, ODD = 3.0, -1.5, -2.0, 5.0
 #: Weight of a shape's count beside a word's own.
 SHAPE_WEIGHT = 0.01
 
 _LOOK_ALIKES = frozenset(TO_LATIN)
 _RUN = re.compile(r"[^\x00-\x7f]+")
-_SEQUENCE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
-_LOST_SEQUENCE = re.compile(rb"[\xc3\xc4\xc5\xd0\xd1]\x1a")
 #: Java pattern of words with a character beyond ASCII, between ASCII blanks.
 TOKEN = r"[^ \t\r\n\x0b\f]*[^\x00-\x7F][^ \t\r\n\x0b\f]*"
+_ASCII_MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum())
 _EDGES = r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$"
 
 
@@ -60,51 +61,89 @@ def _table(charset: str) -> dict[str, int]:
     return out
 
 
+def _is_undefined(byte: int, charset: str) -> bool:
+    try:
+        bytes([byte]).decode(charset)
+    except UnicodeDecodeError:
+        return True
+    return False
+
+
 _TABLES = {c: _table(c) for c in {*TAKEN_FOR, *(seen for _, seen in ONE_BYTE)}}
-_CHARS = {c: {b: ch for ch, b in _table(c).items()} for c in {true for true, _ in ONE_BYTE}}
-
-
-def _as_utf8(run: str, table: dict[str, int]) -> str | None:
-    """``run`` with its valid UTF-8 sequences decoded, or None if it has none; U+FFFD stays a wildcard."""
-    data = bytearray()
-    for c in run:
-        b = 0x1A if c == LOST else table.get(c)
-        if b is None:
-            return None
-        data.append(b)
-    out, at, hit = [], 0, False
-    raw = bytes(data)
-    while at < len(raw):
-        if m := _SEQUENCE.match(raw, at):
-            try:
-                out.append(m.group().decode())
-                hit, at = True, m.end()
-                continue
-            except UnicodeDecodeError:
-                pass
-        elif m := _LOST_SEQUENCE.match(raw, at):
+_CHARS = {c: {b: ch for ch, b in reversed(_table(c).items())} for c in {true for true, _ in ONE_BYTE}}  # a byte's own character, not its control character
+
+
+#: Bytes that a charset has no character for, and the no-break space, which is lost where blanks are tidied.
+_UNDEFINED = {c: frozenset({b for b in range(0x80, 0xC0) if _is_undefined(b, c)} | {0xA0}) for c in TAKEN_FOR}
+
+#: A restored word: its characters, U+FFFD where bytes were lost, and the characters each of those can be ("" for any).
+Lattice = tuple[str, list[str]]
+
+
+def _as_utf8(run: str, charset: str) -> tuple[str, list[str], bool]:
+    """``run`` with its UTF-8 sequences decoded, what its lost characters can be, and whether there was any sequence."""
+    table = _TABLES[charset]
+    data = [None if c == LOST else table.get(c, 0x1A) for c in run]
+    if 0x1A in data:
+        return run, [""] * run.count(LOST), False
+    out, allowed, hit, at = [], [], False, 0
+    while at < len(data):
+        lead = data[at]
+        size = 0 if lead is None else 2 if 0xC2 <= lead <= 0xDF else 3 if 0xE0 <= lead <= 0xEF else 4 if 0xF0 <= lead <= 0xF4 else 0
+        rest = data[at + 1 : at + size] if size else []
+        if size and len(rest) == size - 1 and all(b is None or 0x80 <= b <= 0xBF for b in rest):
+            choices = [[b] if b is not None else range(0x80, 0xC0) for b in rest]
+            if rest.count(None) > 1:
+                out.append(LOST)
+                allowed.append("")
+            else:
+                chars = []
+                for tail in product(*choices):
+                    try:
+                        chars.append(bytes([lead, *tail]).decode())
+                    except UnicodeDecodeError:
+                        continue
+                out.append(chars[0] if None not in rest and chars else LOST)
+                if None in rest or not chars:
+                    allowed.append("".join(chars))
+            hit = True
+            at += size
+        elif lead is None and at + 1 < len(data) and data[at + 1] is not None and 0x80 <= data[at + 1] <= 0xBF:
             out.append(LOST)
-            hit, at = True, m.end()
-            continue
-        if run == "Ã" and raw == b"\xc3":  # a bare lead byte: its no-break space became a blank
-            out.append("à")
+            allowed.append("".join(chr((b & 0x1F) << 6 | data[at + 1] & 0x3F) for b in range(0xC2, 0xE0)))
             hit = True
+            at += 2
+        elif run == "\u00C3" and lead == 0xC3:  # a bare lead byte: its no-break space became a blank
+            return "\u00E0", [], True
         else:
             out.append(run[at])
-        at += 1
-    return "".join(out) if hit else None
+            if lead is None:
+                allowed.append("")
+            at += 1
+    return "".join(out), allowed, hit
 
 
-def candidates(token: str, levels: int = 3) -> list[tuple[str, str]]:
-    """(channel, restored) for every channel that changes ``token``; restored may keep wildcards."""
-    out: dict[str, str] = {}
+def candidates(token: str, levels: int = 3) -> list[tuple[str, str, list[str]]]:
+    """(channel, word, allowed) for every channel that changes ``token``; allowed has the characters that each wildcard of the word can be."""
+    out: dict[str, Lattice] = {}
     for charset in TAKEN_FOR:
         now = token
         for level in range(1, levels + 1):
-            changed = _RUN.sub(lambda m: _as_utf8(m.group(), _TABLES[charset]) or m.group(), now)
-            if changed == now:
+            allowed: list[str] = []
+            hits = False
+
+            def decode(m: re.Match[str], charset: str = charset, allowed: list[str] = allowed) -> str:
+                nonlocal hits
+                text, own, hit = _as_utf8(m.group(), charset)
+                hits |= hit
+                allowed += own
+                return text
+
+            changed = _RUN.sub(decode, now)
+            if not hits or changed == now:
                 break
-            out[f"utf-8 as {charset} x{level}"] = now = changed
+            now = changed
+            out[f"utf-8 as {charset} x{level}"] = (now, allowed)
     # look-alike letters among ASCII ones were put there, not decoded
     swapped = any("a" <= c.lower() <= "z" for c in token) and not _LOOK_ALIKES.isdisjoint(token)
     for true, seen in () if swapped else ONE_BYTE:
@@ -113,10 +152,70 @@ def candidates(token: str, levels: int = 3) -> list[tuple[str, str]]:
         if all(c in table and not c.isspace() for c in inside):
             mapped = _RUN.sub(lambda m: "".join(chars.get(table[c], LOST) for c in m.group()), token)
             if mapped != token and LOST not in mapped:
-                out[f"{true} as {seen}"] = mapped
+                out[f"{true} as {seen}"] = (mapped, [])
     if LOST in token:
-        out["lost bytes"] = token
-    return list(out.items())
+        out["lost bytes"] = (token, [""] * token.count(LOST))
+    return [(channel, word, allowed) for channel, (word, allowed) in out.items()]
+
+
+_LATIN_RUN = re.compile("[\u00C0-\u024F]{3,}")
+_CASE = re.compile("[^\\W\\d_]+")
+
+
+def oddness(word: str) -> int:
+    """How many rules of spelling a word breaks: a capital after a small letter, a mark between letters, accents only, two scripts."""
+    letters = _CASE.findall(word)
+    inner = word.strip("\u201C\u201D\u2018\u2019\u00AB\u00BB\u201E\u201A\u2026")
+    odd = any(a.islower() and b.isupper() for part in letters for a, b in zip(part, part[1:]))
+    mark = any(a.isalpha() and b.isalpha() and not m.isalpha() and ord(m) > 0x7F and m not in "\u2019\u2010\u2011\u00AD" for a, m, b in zip(inner, inner[1:], inner[2:]))
+    accents = bool(_LATIN_RUN.search(word)) and not re.search("[A-Za-z]", word)
+    scripts = len({"C" if "\u0400" <= c <= "\u052F" else "L" for part in letters for c in part}) > 1
+    return odd + mark + accents + scripts
+
+
+def fits(word: str, allowed: list[str], fill: str) -> bool:
+    """Whether a corpus word is a path of the lattice."""
+    if len(word) != len(fill):
+        return False
+    lost = iter(allowed)
+    for c, f in zip(word, fill):
+        if c == LOST:
+            own = next(lost, "")
+            if f <= "\x7f" or (own and f not in own):
+                return False
+        elif c != f:
+            return False
+    return True
+
+
+#: Weight of a fill whose lost bytes are those that the charset has no character for.
+LIKELY = 10
+
+
+def lost_there(channel: str, word: str, fill: str) -> bool:
+    """Whether every wildcard of a UTF-8 channel is filled by a character that loses a byte in its charset."""
+    found = re.fullmatch(r"utf-8 as (\w+) x\d", channel)
+    return bool(found) and all(not _UNDEFINED[found[1]].isdisjoint(f.encode()[1:]) for c, f in zip(word, fill) if c == LOST)
+
+
+_BEYOND = re.compile(r"[^\x00-\x7f]")
+
+
+def fill_keys(word: str, lost: bool) -> list[str]:
+    """Keys by which a word with lost characters (``lost``) and the corpus words that can fill it meet.
+
+    Words with ASCII letters meet by those and by where others stand. Words without any are looked up
+    by all but one or two of their characters, as whole alphabets would meet under one key otherwise.
+    A word of which nothing is left has no key.
+    """
+    wild = "w" + _BEYOND.sub(LOST, word)
+    at = [i for i, c in enumerate(word) if c > "\x7f"]
+    if any("a" <= c.lower() <= "z" for c in word) or not 2 <= len(at) <= 16:
+        return [wild] if not lost or len(word) == 1 or set(word) != {LOST} else []
+    if lost:
+        return [] if set(word) == {LOST} else ["s" + word] if word.count(LOST) <= 2 else [wild]
+    blank = lambda *gone: "s" + "".join(LOST if i in gone else c for i, c in enumerate(word))
+    return [wild, *(blank(i) for i in at), *(blank(i, j) for n, i in enumerate(at) for j in at[n + 1 :])]
 
 
 def shape(column: F.Column) -> F.Column:
@@ -130,39 +229,87 @@ def _tokens(df: DataFrame) -> DataFrame:
     return found.withColumn("token", F.regexp_replace("token", _EDGES, "")).where(F.col("token") != "")
 
 
+@F.pandas_udf(T.StringType())
+def _transplanted(word: pd.Series, model: pd.Series) -> pd.Series:
+    """Words with their lost characters taken from the model's characters beyond ASCII, in order; null without a model."""
+    out = []
+    for w, m in zip(word, model):
+        marks = None if m is None else iter(_BEYOND.findall(m))
+        out.append(None if marks is None else _BEYOND.sub(lambda c: next(marks, c.group()), w))
+    return pd.Series(out, dtype=object)
+
+
 def token_repairs(tokens: DataFrame) -> DataFrame:
     """(token, own, options): words that some channel explains about as well as they explain themselves.
 
     ``tokens`` has a row an occurrence; it is aggregated first, so everything here is on the scale of
-    the distinct words. ``options`` is an array of (channel, word, score).
+    the distinct words. ``options`` is an array of (channel, word, score). Words that hold UTF-8
+    sequences or lost bytes do not count as evidence, neither for themselves nor as another's
+    repair, however many rows were garbled alike.
     """
     counts = cut_lineage(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")))
-    shapes = counts.groupBy(shape(F.col("token")).alias("shape")).agg(F.sum("n").alias("sn"))
-    known = counts.join(shapes, shape(F.col("token")) == F.col("shape")).select("token", "n", "sn", (F.log(F.col("n") + SHAPE_WEIGHT * F.col("sn"))).alias("own"))
-    schema = "token string, channel string, word string"
+    schema = "token string, channel string, word string, allowed array<string>, odd int, token_odd int"
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(t, c, w) for t in batch["token"] for c, w in candidates(t)]
-            yield pd.DataFrame(rows, columns=["token", "channel", "word"])
-
-    options = counts.select("token").mapInPandas(spread, schema).withColumn("bare", F.regexp_replace("word", _EDGES, ""))
+            rows = [(t, c, w, a, oddness(w), own) for t in batch["token"] for own in (oddness(t),) for c, w, a in candidates(t)]
+            yield pd.DataFrame(rows, columns=["token", "channel", "word", "allowed", "odd", "token_odd"])
+
+    options = cut_lineage(counts.select("token").mapInPandas(spread, schema).withColumn("bare", F.regexp_replace("word", _EDGES, "")))
+    is_utf8 = F.col("channel").startswith("utf-8")
+    # a sequence by chance gives letters that the corpus has in no such place; of real ones it has the word or its shape
+    every = broadcast_checked(cut_lineage(counts.select(shape(F.col("token")).alias("shape")).distinct()))
+    decoded = options.where(is_utf8 & ~F.col("word").contains(LOST)).select("token", "bare")
+    seen = decoded.join(counts.select(F.col("token").alias("bare")), "bare", "left_semi").select("token")
+    alike = decoded.join(every, shape(F.col("bare")) == F.col("shape"), "left_semi").select("token")
+    garbled = seen.union(alike).union(options.where(F.col("token").contains(LOST)).select("token")).distinct()
+    clean = cut_lineage(counts.join(garbled, "token", "left_anti"))
+    shapes = broadcast_checked(cut_lineage(clean.groupBy(shape(F.col("token")).alias("shape")).agg(F.sum("n").alias("sn"))))
+    known = counts.join(clean.select("token", F.col("n").alias("cn")), "token", "left").join(shapes, shape(F.col("token")) == F.col("shape"), "left")
+    known = known.select("token", "n", F.log(F.coalesce("cn", F.lit(0)) + SHAPE_WEIGHT * F.coalesce("sn", F.lit(0)) + F.lit(1e-3)).alias("own"))
     whole = options.where(~F.col("word").contains(LOST))
-    word_counts = counts.select(F.col("token").alias("bare"), F.col("n").alias("wn"))
-    by_word = whole.join(word_counts, "bare", "left").join(shapes.withColumnRenamed("sn", "wsn"), shape(F.col("bare")) == F.col("shape"), "left").drop("shape")
-    # a remapped letter proves nothing unless it makes a word that the corpus has more often
-    letters = F.regexp_replace("word", r"[\x00-\x7F]", "").rlike(r"\p{L}") & ~F.col("channel").startswith("utf-8")
-    by_word = by_word.join(counts.withColumnRenamed("n", "tn"), "token").where(~letters | (F.coalesce("wn", F.lit(0)) > F.greatest(F.col("tn"), F.lit(1)))).drop("tn")
-    scored = by_word.withColumn("p", F.coalesce("wn", F.lit(0)) + SHAPE_WEIGHT * F.coalesce("wsn", F.lit(0)) + F.lit(1e-3))
-    # wildcards: the most frequent corpus word whose characters beyond ASCII stand where bytes were lost
+    by_word = whole.join(clean.select(F.col("token").alias("bare"), F.col("n").alias("wn")), "bare", "left").join(shapes.withColumnRenamed("sn", "wsn"), shape(F.col("bare")) == F.col("shape"), "left").drop("shape")
+    by_word = by_word.fillna(0, ["wn", "wsn"])
+    ascii_left = ~F.col("bare").rlike(r"[^\x00-\x7F]")
+    # UTF-8 sequences must give something that the corpus knows, and a remapped letter a word that it knows
+    letters = F.regexp_replace("word", r"[\x00-\x7F]", "").rlike(r"\p{L}")
+    supported = F.when(is_utf8, (F.col("wn") + F.col("wsn") > 0) | ascii_left).otherwise(~letters | (F.col("wn") > 0))
+    scored = by_word.where(supported).withColumn("p", F.col("wn") + SHAPE_WEIGHT * F.col("wsn") + F.lit(1e-3)).select("token", "channel", "word", "p", "odd", "token_odd")
+    # wildcards: the most frequent corpus word that is a path of the lattice
+    kind = "key string, fill string, wn long"
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(k, t, n) for t, n in zip(batch["token"], batch["n"]) for k in fill_keys(t, False)]
+            yield pd.DataFrame(rows, columns=["key", "fill", "wn"])
+
+    def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(k, *row) for row in batch.itertuples(index=False) for k in fill_keys(row.bare, True)]
+            yield pd.DataFrame(rows, columns=["key", *batch.columns])
+
+    def checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            own = batch[[fits(w, list(a), f) for w, a, f in zip(batch["bare"], batch["allowed"], batch["fill"])]]
+            likely = [lost_there(c, w, f) for c, w, f in zip(own["channel"], own["bare"], own["fill"])]
+            yield own[["token", "channel", "fill", "wn"]].assign(weight=own["wn"] * [LIKELY if x else 1 for x in likely])
+
+    open_ = options.where(F.col("word").contains(LOST)).select("token", "channel", "bare", "allowed")
+    asked = open_.mapInPandas(opened, "key string, token string, channel string, bare string, allowed array<string>")
+    fillers = clean.select("token", "n").mapInPandas(keyed, kind).join(asked.select("key").distinct(), "key", "left_semi")
+    filled = asked.join(fillers, "key").select("token", "channel", "bare", "allowed", "fill", "wn").mapInPandas(checked, "token string, channel string, fill string, wn long, weight long")
+    filled = filled.groupBy("token", "channel").agg(F.max_by(F.struct("fill", "wn"), F.struct("weight", "fill")).alias("x")).select("token", "channel", "x.*")
+    # a word that the corpus does not have: by the marks of its shape, where these are nearly always the same
     pattern = lambda c: F.regexp_replace(c, r"[^\x00-\x7F]", LOST)
-    fill = counts.where(~F.col("token").contains(LOST)).groupBy(pattern(F.col("token")).alias("bare")).agg(F.max_by("token", F.struct("n", "token")).alias("fill"), F.max("n").alias("wn"))
-    open_ = options.where(F.col("word").contains(LOST)).withColumn("bare", pattern(F.col("bare")))
-    filled = open_.join(fill, "bare", "left").select("token", "channel", F.coalesce("fill", "word").alias("word"), (F.coalesce("wn", F.lit(0)) + F.lit(1e-3)).alias("p"))
-    everything = scored.select("token", "channel", "word", "p").union(filled)
-    bonus = F.when(F.col("channel").startswith("utf-8"), VALID_UTF8).when(F.col("channel") == "lost bytes", VALID_UTF8).otherwise(REMAPPED)
+    marked = shapes.groupBy(pattern(F.col("shape")).alias("pattern")).agg(F.max_by("shape", F.struct("sn", "shape")).alias("model"), F.max("sn").alias("most"), F.sum("sn").alias("all")).where((F.col("most") >= 0.8 * F.col("all")) & ~F.col("model").rlike(r"\p{L}.*[^\x00-\x7F].*\p{L}"))
+    lost = options.where(F.col("word").contains(LOST)).join(filled, ["token", "channel"], "left").join(marked, pattern(shape(F.col("bare"))) == F.col("pattern"), "left")
+    word = F.coalesce("fill", F.when(F.col("channel") == "lost bytes", _transplanted("word", "model")), "word")
+    rest = lost.select("token", "channel", word.alias("word"), (F.coalesce("wn", F.lit(0)) + F.lit(1e-3)).alias("p"), F.lit(0).alias("odd"), F.lit(0).alias("token_odd"))
+    everything = scored.union(rest)
+    bonus = F.when(is_utf8 | (F.col("channel") == "lost bytes"), VALID_UTF8).otherwise(REMAPPED + ODD * (F.col("token_odd") - F.col("odd")))
     rated = everything.withColumn("score", F.log("p") + bonus).join(known.select("token", "own"), "token")
-    rated = rated.where((F.col("score") > F.col("own") - 1.0) | F.col("token").contains(LOST))
+    # an option somewhat less likely than the word itself can still follow from the words beside it
+    rated = rated.where((F.col("score") > F.col("own") + 2 * SWITCH) | F.col("token").contains(LOST))
     # at most one option a channel, of a fixed list of channels
     return rated.groupBy("token").agg(F.first("own").alias("own"), F.collect_list(F.struct("channel", "word", "score")).alias("options"))
 
@@ -201,18 +348,20 @@ def _decoded(rows: pd.Series) -> pd.Series:
 
 
 def find_garbled(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """``keys`` and repairs (pos, token, word, channel) of the rows whose text holds a garbled word.
+    """``keys``, version and repairs (pos, token, word, channel) of the rows whose text holds a garbled word.
 
-    Lost bytes that no corpus word fits leave the word as it is, with its wildcards. Null, empty and
-    ASCII texts are never garbled; repeated rows of a key count once (the text that sorts first);
-    rows with a null key are skipped; an empty table gives an empty result; other columns are ignored.
+    ``pos`` numbers the words with characters beyond ASCII in the text, ``version`` is a hash of the
+    text, so that a key delivered with several texts keeps them apart; repeated rows count once. Lost
+    bytes that nothing fits leave the word as it is, with its wildcards. Null, empty and ASCII texts
+    are never garbled; rows with a null key are skipped; an empty table gives an empty result; other
+    columns are ignored.
     """
-    rows = df.select(*keys, F.col(text).alias("text")).dropna(subset=keys)
+    rows = df.select(*keys, F.xxhash64(text).alias("version"), F.col(text).alias("text")).dropna(subset=keys)
     tokens = _tokens(rows)
     repairs = cut_lineage(token_repairs(tokens.select("token")))
     joined = tokens.join(broadcast_checked(repairs), "token")
-    per_row = joined.groupBy(*keys).agg(F.collect_set(F.struct("pos", "token", "own", "options")).alias("words"))
-    return per_row.select(*keys, _decoded("words").alias("repairs")).where(F.size("repairs") > 0)
+    per_row = joined.groupBy(*keys, "version").agg(F.collect_set(F.struct("pos", "token", "own", "options")).alias("words"))
+    return per_row.select(*keys, "version", _decoded("words").alias("repairs")).where(F.size("repairs") > 0)
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,23 +370,44 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elements.unionByName(normalized)
 
 
+_PY_TOKEN = re.compile(TOKEN)
+
+
+def put_in_place(text: str, repairs: dict[int, str]) -> str:
+    """``text`` with the words at the given numbers replaced; the punctuation around them stays."""
+    number = -1
+
+    def put(m: re.Match[str]) -> str:
+        nonlocal number
+        number += 1
+        if number not in repairs:
+            return m.group()
+        left = m.group()[: len(m.group()) - len(m.group().lstrip(_ASCII_MARKS))]
+        right = m.group()[len(m.group().rstrip(_ASCII_MARKS)) :]
+        return left + repairs[number] + right
+
+    return _PY_TOKEN.sub(put, text)
+
+
 @F.pandas_udf(T.StringType())
 def _replaced(text: pd.Series, repairs: pd.Series) -> pd.Series:
-    out = []
-    for t, fixes in zip(text, repairs):
-        for token, word in sorted({(f["token"], f["word"]) for f in fixes}, key=lambda x: (-len(x[0]), x)):
-            t = t.replace(token, word)
-        out.append(t)
-    return pd.Series(out)
+    return pd.Series([put_in_place(t, {int(f["pos"]): f["word"] for f in fixes}) for t, fixes in zip(text, repairs)], dtype=object)
+
+
+def restored_texts(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """``keys`` and restored, one row a garbled key: its garbled text (of several, that of the smallest hash) with every repaired word in its place."""
+    found = find_garbled(df, keys, text)
+    chosen = found.groupBy(*keys).agg(F.min_by(F.struct("version", "repairs"), "version").alias("x")).select(*keys, "x.*")
+    texts = df.select(*keys, F.xxhash64(text).alias("version"), F.col(text).alias("__text"))
+    joined = chosen.join(texts, [*keys, "version"]).groupBy(*keys).agg(F.first("__text").alias("__text"), F.first("repairs").alias("repairs"))
+    return joined.select(*keys, _replaced("__text", "repairs").alias("restored"))
 
 
 def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, row_key, restored) of the garbled rows, with every repaired word in place."""
-    texts = _texts(spark, sf_dir)
-    found = find_garbled(texts, ["src", "row_key"], "text")
-    return found.join(texts, ["src", "row_key"]).select("src", "row_key", _replaced("text", "repairs").alias("restored")).dropDuplicates(["src", "row_key"])
+    return restored_texts(_texts(spark, sf_dir), ["src", "row_key"], "text")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, row_key) of the rows whose text holds a garbled sequence."""
-    return find_garbled(_texts(spark, sf_dir), ["src", "row_key"], "text").select("src", "row_key")
+    return find_garbled(_texts(spark, sf_dir), ["src", "row_key"], "text").select("src", "row_key").distinct()

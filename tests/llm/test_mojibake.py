@@ -2,7 +2,7 @@
 
 import pytest
 
-from docloom.llm.mojibake import best_path, candidates, find_garbled
+from docloom.llm.mojibake import best_path, candidates, fill_keys, find_garbled, fits, put_in_place, restored_texts
 
 CLEAN = ["Die Prüfung der Anlage für den Gerätebuch", "La sección superó los 40 grados", "Le numéro désigne la clé d’accès", "Датчик и отчёт после смены", "The mark √ on form 5 and Â beside", "über dem Gerätebuch für Prüfung", "The ledger’s range is 30–98 °C"]
 
@@ -13,12 +13,12 @@ def garble(text, true, seen):
 
 @pytest.mark.parametrize("true, seen, word", [("utf-8", "cp1252", "Prüfung"), ("utf-8", "mac_roman", "sección"), ("utf-8", "cp1250", "numéro"), ("cp1252", "cp850", "sección"), ("cp1251", "cp1252", "отчёт"), ("utf-8", "cp1251", "смены")])
 def test_candidates_contain_the_original(true, seen, word):
-    assert word in [w for _, w in candidates(garble(word, true, seen))]
+    assert word in [w for _, w, _ in candidates(garble(word, true, seen))]
 
 
 def test_two_levels():
     twice = garble(garble("é", "utf-8", "cp1252"), "utf-8", "cp1252")
-    assert "é" in [w for _, w in candidates(twice)]
+    assert "é" in [w for _, w, _ in candidates(twice)]
 
 
 def test_path_keeps_to_one_channel():
@@ -40,3 +40,37 @@ def test_rows(spark):
     assert set(out) == {"g1", "g2", "g3", "g4"}
     assert "Prüfung" in out["g1"].values() and "für" in out["g2"].values() and "sección" in out["g3"].values()
     assert find_garbled(df.limit(0), ["k"], "text").count() == 0
+
+
+def test_what_is_left_of_a_sequence_bounds_what_was_lost():
+    found = {c: (w, a) for c, w, a in candidates("ma\u00c5\ufffdy")}
+    word, allowed = found["utf-8 as cp1252 x1"]
+    assert word == "ma\ufffdy" and fits(word, allowed, "mały") and not fits(word, allowed, "maóy")
+    keys = set(fill_keys("расписание", False))
+    assert set(fill_keys("ра\ufffdпи\ufffdание", True)) <= keys and fill_keys("\ufffd\ufffd\ufffd", True) == []
+
+
+def test_a_left_lead_byte_decides(spark):
+    rows = [(f"a{i}", "Ten dom jest mały i nowy") for i in range(5)] + [(f"b{i}", "Ten dom jest maóy i nowy") for i in range(50)] + [("g", "Ten dom jest ma\u00c5\ufffdy i nowy")]
+    out = {r.k: r.restored for r in restored_texts(spark.createDataFrame(rows, "k string, t string"), ["k"], "t").collect()}
+    assert out == {"g": "Ten dom jest mały i nowy"}
+
+
+def test_words_are_replaced_in_their_places():
+    assert put_in_place("(é) «x» día, día! é", {2: "DÍA", 4: "e"}) == "(é) «x» DÍA, día! e"
+
+
+def test_texts_of_one_key_stay_apart(spark):
+    rows = [(f"c{i}", t) for i in range(30) for t in CLEAN] + [("g", "Ohne PrÃ¼fung weiter"), ("g", "Ganz ohne"), ("g", "Ohne PrÃ¼fung weiter")]
+    df = spark.createDataFrame(rows, "k string, t string")
+    assert [tuple(r) for r in restored_texts(df, ["k"], "t").collect()] == [("g", "Ohne Prüfung weiter")]
+
+
+@pytest.mark.parametrize("true, seen, copies", [("utf-8", "cp1252", 20), ("utf-8", "mac_roman", 20), ("cp1252", "cp850", 5), ("cp1251", "cp1252", 20)])
+def test_planted_texts_come_back_though_a_third_or_most_rows_are_garbled(spark, true, seen, copies):
+    texts = ["Датчик и отчёт после смены", "Отчёт после смены и датчик"] if true == "cp1251" else CLEAN[:3] + CLEAN[5:6]
+    rows = [(f"c{i}", t) for i in range(10) for t in texts]
+    bad = {f"g{i}": t for i, t in enumerate(texts * copies)}
+    df = spark.createDataFrame(rows + [(k, garble(t, true, seen)) for k, t in bad.items()], "k string, t string")
+    out = {r.k: r.restored for r in restored_texts(df, ["k"], "t").collect()}
+    assert out == bad
