@@ -34,7 +34,7 @@ ONE_BYTE = (
     ("cp1251", "cp1252"), ("koi8_r", "cp1252"), ("cp866", "cp1252"), ("koi8_r", "cp1251"), ("cp1251", "koi8_r"), ("cp866", "cp1251"), ("cp1251", "cp866"), ("cp1251", "mac_roman"), ("mac_cyrillic", "cp1251"), ("cp1251", "mac_cyrillic"), ("iso8859_5", "cp1252"), ("cp1251", "cp1250"),
 )
 
-#: Log scores: of a channel that yields valid UTF-8 sequences, of one-byte channels, of a change of channel, of a broken rule of spelling.
+#: Log scores: of a channel that yields valid UTF-8 sequences, of a change to a one-byte channel beside that of any change, of a broken rule of spelling.
 VALID_UTF8, REMAPPED, SWITCH, ODD = 3.0, -1.5, -2.0, 5.0
 #: Weight of a shape's count beside a word's own.
 SHAPE_WEIGHT = 0.01
@@ -306,7 +306,7 @@ def token_repairs(tokens: DataFrame) -> DataFrame:
     word = F.coalesce("fill", F.when(F.col("channel") == "lost bytes", _transplanted("word", "model")), "word")
     rest = lost.select("token", "channel", word.alias("word"), (F.coalesce("wn", F.lit(0)) + F.lit(1e-3)).alias("p"), F.lit(0).alias("odd"), F.lit(0).alias("token_odd"))
     everything = scored.union(rest)
-    bonus = F.when(is_utf8 | (F.col("channel") == "lost bytes"), VALID_UTF8).otherwise(REMAPPED + ODD * (F.col("token_odd") - F.col("odd")))
+    bonus = F.when(is_utf8 | (F.col("channel") == "lost bytes"), VALID_UTF8).otherwise(ODD * (F.col("token_odd") - F.col("odd")))
     rated = everything.withColumn("score", F.log("p") + bonus).join(known.select("token", "own"), "token")
     # an option somewhat less likely than the word itself can still follow from the words beside it
     rated = rated.where((F.col("score") > F.col("own") + 2 * SWITCH) | F.col("token").contains(LOST))
@@ -327,7 +327,8 @@ def best_path(words: list[tuple[int, str, float, list[tuple[str, str, float]]]])
         step: dict[str, tuple[float, tuple]] = {}
         top = max(scores.items(), key=lambda x: x[1][0])
         for channel, (score, word) in emitted.items():
-            before = max((s + (0.0 if c == channel else SWITCH), c) for c, (s, _) in ((channel, scores.get(channel, (-math.inf, ()))), (top[0], top[1])))
+            change = SWITCH + (0.0 if not channel or channel.startswith(("utf-8", "lost")) else REMAPPED)
+            before = max((s + (0.0 if c == channel else change), c) for c, (s, _) in ((channel, scores.get(channel, (-math.inf, ()))), (top[0], top[1])))
             path = scores[before[1]][1]
             step[channel] = (before[0] + score, (path, (pos, token, word, channel)) if channel else path)
         scores = step
