@@ -306,7 +306,9 @@ def token_repairs(tokens: DataFrame) -> DataFrame:
     word = F.coalesce("fill", F.when(F.col("channel") == "lost bytes", _transplanted("word", "model")), "word")
     rest = lost.select("token", "channel", word.alias("word"), (F.coalesce("wn", F.lit(0)) + F.lit(1e-3)).alias("p"), F.lit(0).alias("odd"), F.lit(0).alias("token_odd"))
     everything = scored.union(rest)
-    bonus = F.when(is_utf8 | (F.col("channel") == "lost bytes"), VALID_UTF8).otherwise(ODD * (F.col("token_odd") - F.col("odd")))
+    # a sign that could be another sign says less than a word does
+    plain = ~F.regexp_replace(F.concat("token", "word"), r"[\x00-\x7F]", "").rlike(r"\p{L}")
+    bonus = F.when(is_utf8 | (F.col("channel") == "lost bytes"), VALID_UTF8).otherwise(ODD * (F.col("token_odd") - F.col("odd")) + F.when(plain, REMAPPED).otherwise(0.0))
     rated = everything.withColumn("score", F.log("p") + bonus).join(known.select("token", "own"), "token")
     # an option somewhat less likely than the word itself can still follow from the words beside it
     rated = rated.where((F.col("score") > F.col("own") + 2 * SWITCH) | F.col("token").contains(LOST))
