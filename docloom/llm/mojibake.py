@@ -273,7 +273,9 @@ def token_repairs(tokens: DataFrame) -> DataFrame:
     ascii_left = ~F.col("bare").rlike(r"[^\x00-\x7F]")
     # UTF-8 sequences must give something that the corpus knows, and a remapped letter a word that it knows
     letters = F.regexp_replace("word", r"[\x00-\x7F]", "").rlike(r"\p{L}")
-    supported = F.when(is_utf8, (F.col("wn") + F.col("wsn") > 0) | ascii_left).otherwise(~letters | (F.col("wn") > 0))
+    script = F.col("bare").rlike(r"^[\x{0400}-\x{04FF}]{3,}$|^[\x{0370}-\x{03FF}]{3,}$")  # three sequences by chance are not of one script
+    drawn = F.col("word").rlike(r"[\x{0080}-\x{009F}\x{2500}-\x{259F}]")
+    supported = F.when(is_utf8, (F.col("wn") + F.col("wsn") > 0) | ascii_left | script).otherwise((~letters & ~drawn) | (F.col("wn") > 0))
     scored = by_word.where(supported).withColumn("p", F.col("wn") + SHAPE_WEIGHT * F.col("wsn") + F.lit(1e-3)).select("token", "channel", "word", "p", "odd", "token_odd")
     # wildcards: the most frequent corpus word that is a path of the lattice
     kind = "key string, fill string, wn long"
