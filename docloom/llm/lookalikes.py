@@ -48,8 +48,8 @@ _LOOKS = frozenset(LOOKS_LATIN)
 #: Letters of the bigram model: Latin up to U+024F, then Greek and Cyrillic.
 _BASE, _SIZE = 0x250, 0x250 + 0x1C0
 
-#: Log scores: of a script change inside a token, a changed letter, a letter outside the text's main script.
-SWITCH, CHANGE, FOREIGN = -8.0, -1.0, -1.5
+#: Log scores: of a script change inside a token, a changed letter, a letter outside the text's main script, the first such letter.
+SWITCH, CHANGE, FOREIGN, ENTER = -8.0, -1.0, -1.5, -4.0
 
 _ALSO: dict[str, tuple[str, ...]] = {}
 for _table in (CYRILLIC, GREEK):
@@ -109,9 +109,10 @@ def restore(token: str, main: str, model: np.ndarray) -> str:
         fresh: dict[str, tuple[float, str, str, int]] = {}
         for c in layer:
             script, at = _script(c), _index(c)
-            emit = CHANGE * (c != own) + FOREIGN * (script not in ("", main))
+            foreign = script not in ("", main)
+            emit = CHANGE * (c != own) + FOREIGN * foreign
             best = max(
-                ((score + emit + float(model[last, at]) + SWITCH * (script != "" and before not in ("", script)), text + c, script or before, at) for score, text, before, last in paths),
+                ((score + emit + float(model[last, at]) + (0.0 if script in ("", before) else SWITCH if before else ENTER * foreign), text + c, script or before, at) for score, text, before, last in paths),
                 key=lambda p: p[0],
             )
             if c not in fresh or fresh[c][0] < best[0]:
@@ -121,7 +122,7 @@ def restore(token: str, main: str, model: np.ndarray) -> str:
 
 
 def one_form(text: str, model: np.ndarray) -> tuple[str, list[str]]:
-    """(form, kinds): the consistent form of ``text`` and what it held."""
+    """(form, kinds): the consistent form of ``text`` and what it held; of words, what the search over their lattices made of them."""
     kinds = []
     if _WIDE.search(text):
         kinds.append("full_width")
@@ -136,21 +137,22 @@ def one_form(text: str, model: np.ndarray) -> tuple[str, list[str]]:
         return form, kinds
     latin, other = len(_LATIN.findall(text)), len(_OTHER.findall(text))
     main = "L" if latin > other else ("C" if len(re.findall("[Ѐ-ԯ]", text)) * 2 >= other else "G")
-    # words as they stand, before anything was joined or composed
-    for word in set(_WORD.findall(text)):
-        if _OTHER.search(word):
-            letters = [c for c in word if c.isalpha()]
-            if _LATIN.search(word):
-                kinds.append("mixed")
-            elif main == "L" and all(c in _LOOKS for c in letters):
-                kinds.append("look_alike")
+    # a word that can hold look-alikes is inconsistent if the lattice has a better path than the word, or none within one script
+    paths: dict[str, str] = {}
 
     def fix(m: re.Match[str]) -> str:
         word = m.group()
-        if not _OTHER.search(word) or not (_LATIN.search(word) or main == "L" and all(c in _LOOKS for c in word if c.isalpha())):
-            return word
-        return restore(word, main, model)
+        if word not in paths:
+            mixed = _OTHER.search(word) and _LATIN.search(word)
+            alike = main == "L" and _OTHER.search(word) and all(c in _LOOKS for c in word if c.isalpha())
+            paths[word] = restore(word, main, model) if mixed or alike else word
+        return paths[word]
 
+    # as they stand, before anything was joined or composed
+    for word in set(_WORD.findall(text)):
+        path = fix(_WORD.fullmatch(word))
+        if path != word or (_OTHER.search(path) and _LATIN.search(path)):
+            kinds.append("mixed" if _LATIN.search(word) else "look_alike")
     return _WORD.sub(fix, form), sorted(set(kinds))
 
 
@@ -192,7 +194,7 @@ def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, row_key) of the rows that hold look-alikes of any kind."""
+    """(src, row_key) of the rows that hold look-alikes of any kind, by what the consistent form did to them."""
     texts = _texts(spark, sf_dir)
     found = unify(texts, ["src", "row_key"], "text", bigram_model(texts, "text"), only=F.col("text").rlike(SUSPECT))
     return found.where(F.size("kinds") > 0).select("src", "row_key").distinct()

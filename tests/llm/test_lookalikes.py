@@ -50,3 +50,28 @@ def test_p6_forms_returns_them(spark, tmp_path):
     spark.createDataFrame([(1, "wait…"), (2, "x\u00a0y")], "evidence_id long, quote string").write.parquet(f"{tmp_path}/evidence.parquet")
     assert {tuple(r) for r in p6_forms(spark, str(tmp_path)).collect()} == {("elements", "e1", "wait..."), ("evidence", "1", "wait..."), ("evidence", "2", "x y")}
     assert {tuple(r) for r in p6_found(spark, str(tmp_path)).collect()} == {("evidence", "2")}
+
+
+def test_planted_look_alikes_come_back(spark):
+    import random
+
+    from docloom.llm.lookalikes import TO_LATIN
+
+    rng = random.Random(2)
+    latin = ["the section heading covers every excess voltage of the copper pipe", "a second copy is kept in the archive beside the press", "sixteen people proposed an exact scope"]
+    cyrillic = ["датчик и отчёт после смены", "проверка прибора перед сменой", "состав комиссии и расписание"]
+    model = bigram_model(spark.createDataFrame([(t,) for t in (latin + cyrillic) * 20], "t string"), "t")
+    other = {v: k for k, v in TO_LATIN.items() if "Ѐ" <= k}
+    right = total = 0
+    for text in (latin + cyrillic) * 20:
+        table = other if text in latin else {k: v for k, v in TO_LATIN.items() if "Ѐ" <= k}
+        planted = "".join(table[c] if c in table and rng.random() < 0.3 else c for c in text)
+        if planted != text:
+            total += 1
+            right += one_form(planted, model)[0] == text
+    assert total > 80 and right >= 0.97 * total
+
+
+def test_words_of_look_alikes_only_follow_the_text(model):
+    assert one_form("see the ехсеѕѕ now", model) == ("see the excess now", ["look_alike"])
+    assert one_form("датчик и отчёт, а ехсеѕѕ", model)[1] == []
