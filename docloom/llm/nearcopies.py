@@ -37,17 +37,23 @@ class _Codes(dict):
 class Bands:
     """``bands`` keys of ``rows`` components each, and a sketch of one bit from each of ``bits`` more.
 
-    A pair of probability Jaccard similarity p shares a key with probability 1 - (1 - p^rows)^bands;
-    at p = 0.75 the default misses 0.002, at 0.8 less than 2e-5. A pair's probability Jaccard is mostly
-    about its weighted Jaccard similarity or more. Of the sketch bits a share of (1 + p) / 2 agrees;
-    ``least_bits`` lies 4 standard deviations below that for p = 0.75.
+    A pair of probability Jaccard similarity p shares a key with probability 1 - (1 - p^rows)^bands; the
+    default misses 0.0009 at p = 0.75 and 2e-5 at 0.8. A pair's probability Jaccard is mostly about
+    its weighted Jaccard similarity or more. Of the sketch bits a share of (1 + p) / 2 agrees;
+    ``least_bits`` lies 4 standard deviations below that for p = 0.75. Fewer components a key mean
+    fewer keys to shuffle and more pairs to compare; a pair is compared where it meets, by the sketches
+    that travel with the keys, so only likely pairs leave the join.
     """
 
-    rows: int = 8
-    bands: int = 60
+    rows: int = 6
+    bands: int = 36
     bits: int = 128
     least_bits: int = 97
 
+    def __post_init__(self) -> None:
+        if self.bands > 64 or self.bits != 128:
+            raise ValueError("at most 64 bands, and a sketch of 128 bits")
+
     @property
     def size(self) -> int:
         return self.rows * self.bands + self.bits
@@ -146,8 +152,7 @@ def _signed(rows: DataFrame, bands: Bands) -> DataFrame:
     return rows.mapInPandas(sign, f"id {kind}, version long, n int, bag long, s0 long, s1 long, keys array<int>")
 
 
-@F.pandas_udf(T.DoubleType())
-def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+def _shared_words(a: pd.Series, b: pd.Series) -> pd.Series:
     """Sum over words of the smaller count by the sum of the larger."""
     out = []
     counted = lru_cache(4096)(lambda t: Counter(WORDS.findall(t.lower())))
@@ -158,6 +163,10 @@ def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
+# said to be nondeterministic so that a filter on its result does not compute it a second time
+_similarity = F.pandas_udf(_shared_words, T.DoubleType()).asNondeterministic()
+
+
 def near_pairs(df: DataFrame, id_col: str, text: Column, threshold: float = 0.75, bands: Bands = Bands()) -> tuple[DataFrame, DataFrame]:
     """(pairs, members) of the texts whose multiset Jaccard similarity of words is at least ``threshold``.
 
@@ -174,18 +183,21 @@ def near_pairs(df: DataFrame, id_col: str, text: Column, threshold: float = 0.75
     smallest = chosen.groupBy("bag").agg(F.min_by(F.struct("id", "version"), "id").alias("r")).select("bag", F.col("r.id").alias("rep"), "r.version")
     members = chosen.select("id", "bag").join(smallest.select("bag", "rep"), "bag").select("id", "rep")
     # one row a bag; the links are found between bags, which have the ids of their representatives later
-    bags = signed.groupBy("bag").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-    keyed = bags.select("bag", "n", F.posexplode("keys").alias("band", "key")).select("bag", "n", (F.shiftleft(F.col("band").cast("long"), 32) + F.col("key")).alias("key"))
-    # similar texts are of similar size, which bars most chance hits before any further shuffle
-    sized = F.least("a.n", "b.n") >= F.lit(threshold) * F.greatest("a.n", "b.n")
-    candidates = keyed.alias("a").join(keyed.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.bag") < F.col("b.bag")) & sized).select(F.col("a.bag").alias("bag_a"), F.col("b.bag").alias("bag_b")).distinct()
-    small = signed.groupBy("bag").agg(F.first("s0").alias("s0"), F.first("s1").alias("s1")).join(smallest, "bag")
-    side = lambda x: small.select(*[F.col(c).alias(f"{c}_{x}") for c in small.columns])
+    bags = signed.groupBy("bag").agg(F.first("n").alias("n"), F.first("s0").alias("s0"), F.first("s1").alias("s1"), F.first("keys").alias("keys"))
+    # band, key and number of words share a long: rows of 32 bytes are shuffled; a key with many bags is one that AQE splits
+    size = F.least("n", F.lit((1 << 26) - 1)).cast("long")
+    packed = F.shiftleft(F.col("band").cast("long"), 58).bitwiseOR(F.shiftleft(F.col("key").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)), 26)).bitwiseOR(size)
+    keyed = bags.select("bag", "n", "s0", "s1", F.posexplode("keys").alias("band", "key")).select(packed.alias("packed"), "bag", "s0", "s1")
+    words = lambda x: F.col(f"{x}.packed").bitwiseAND(F.lit((1 << 26) - 1))
+    sized = F.least(words("a"), words("b")) >= F.lit(threshold) * F.greatest(words("a"), words("b"))
+    agree = F.lit(bands.bits) - F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))) - F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1")))
+    met = (F.shiftright("a.packed", 26) == F.shiftright("b.packed", 26)) & (F.col("a.bag") < F.col("b.bag")) & sized & (agree >= bands.least_bits)
+    candidates = keyed.alias("a").join(keyed.alias("b"), met).select(F.col("a.bag").alias("bag_a"), F.col("b.bag").alias("bag_b")).distinct()
+    side = lambda x: smallest.select(*[F.col(c).alias(f"{c}_{x}") for c in smallest.columns])
     both = candidates.join(side("a"), "bag_a").join(side("b"), "bag_b")
-    agree = F.lit(bands.bits) - F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))) - F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b")))
     swap = F.col("rep_a") > F.col("rep_b")
     ordered = [F.when(swap, F.col(f"{c}_{y}")).otherwise(F.col(f"{c}_{x}")).alias(f"{c}_{x}") for x, y in ("ab", "ba") for c in ("rep", "version")]
-    likely = cut_lineage(both.where(agree >= bands.least_bits).select(*ordered))
+    likely = cut_lineage(both.select(*ordered))
     wanted = likely.select(F.col("rep_a").alias("id"), F.col("version_a").alias("version")).union(likely.select("rep_b", "version_b")).distinct()
     texts = rows.join(broadcast_checked(wanted), ["id", "version"], "left_semi").dropDuplicates(["id"]).select("id", "text")
     verified = likely.join(texts.select(F.col("id").alias("rep_a"), F.col("text").alias("text_a")), "rep_a").join(texts.select(F.col("id").alias("rep_b"), F.col("text").alias("text_b")), "rep_b")
