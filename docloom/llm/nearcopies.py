@@ -20,7 +20,7 @@ from docloom.session import broadcast_checked, cut_lineage, read_table
 WORDS = re.compile(r"[^\W_]+")
 
 #: Arrivals of one element that are drawn at a time.
-_CHUNK = 24
+_CHUNK = 16
 
 
 class _Codes(dict):
@@ -42,17 +42,20 @@ class Bands:
     its weighted Jaccard similarity or more. Of the sketch bits a share of (1 + p) / 2 agrees;
     ``least_bits`` lies 4 standard deviations below that for p = 0.75. Fewer components a key mean
     fewer keys to shuffle and more pairs to compare; a pair is compared where it meets, by the sketches
-    that travel with the keys, so only likely pairs leave the join.
+    that travel with the keys, so only likely pairs leave the join. Those are compared once more, with
+    a bit of each of the first ``bits`` components of the keys besides: ``least_both`` of twice as many
+    bits lie 4 standard deviations below the share for p = 0.75 as well.
     """
 
     rows: int = 6
     bands: int = 36
     bits: int = 128
     least_bits: int = 97
+    least_both: int = 202
 
     def __post_init__(self) -> None:
-        if self.bands > 64 or self.bits != 128:
-            raise ValueError("at most 64 bands, and a sketch of 128 bits")
+        if self.bands > 64 or self.bits != 128 or self.rows * self.bands < self.bits:
+            raise ValueError("at most 64 bands, a sketch of 128 bits, and as many components of keys")
 
     @property
     def size(self) -> int:
@@ -116,7 +119,7 @@ def prob_minhash(docs: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.nda
 
 
 def _signed(rows: DataFrame, bands: Bands) -> DataFrame:
-    """id, version, n (words), bag (64-bit hash of the word multiset), sketch halves s0 and s1, and band keys of each row."""
+    """id, version, n (words), bag (64-bit hash of the word multiset), sketch halves s0 and s1, further bits f0 and f1, and band keys of each row."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes = _Codes()
@@ -134,8 +137,9 @@ def _signed(rows: DataFrame, bands: Bands) -> DataFrame:
                 mixed = np.zeros((len(docs), bands.bands), dtype=np.uint64)
                 for r in range(bands.rows):
                     mixed = _mix(mixed ^ grouped[:, :, r])
-                bits = (_mix(signature[:, bands.rows * bands.bands :]) & np.uint64(1)).astype(np.uint8)
-                sketch = np.packbits(bits, axis=1).view(np.int64)
+                one_bit = (_mix(signature) & np.uint64(1)).astype(np.uint8)
+                sketch = np.packbits(one_bit[:, bands.rows * bands.bands :], axis=1).view(np.int64)
+                further = np.packbits(one_bit[:, : bands.bits], axis=1).view(np.int64)
                 yield pd.DataFrame(
                     {
                         "id": part["id"].to_numpy(),
@@ -144,12 +148,14 @@ def _signed(rows: DataFrame, bands: Bands) -> DataFrame:
                         "bag": np.array(bags, dtype=np.uint64).view(np.int64),
                         "s0": sketch[:, 0],
                         "s1": sketch[:, 1],
+                        "f0": further[:, 0],
+                        "f1": further[:, 1],
                         "keys": list((mixed >> np.uint64(32)).astype(np.uint32).view(np.int32)),
                     }
                 )
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(sign, f"id {kind}, version long, n int, bag long, s0 long, s1 long, keys array<int>")
+    return rows.mapInPandas(sign, f"id {kind}, version long, n int, bag long, s0 long, s1 long, f0 long, f1 long, keys array<int>")
 
 
 def _shared_words(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -178,9 +184,10 @@ def near_pairs(df: DataFrame, id_col: str, text: Column, threshold: float = 0.75
     """
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(text, F.lit("")).alias("text")).where(F.col("id").isNotNull()).withColumn("version", F.xxhash64("text"))
     signed = cut_lineage(_signed(rows, bands).where("n > 0"))
-    chosen = signed.groupBy("id").agg(F.min_by(F.struct("version", "bag"), "version").alias("c")).select("id", "c.*")
+    bits = F.struct("s0", "s1", "f0", "f1").alias("bits")
+    chosen = signed.groupBy("id").agg(F.min_by(F.struct("version", "bag", bits), "version").alias("c")).select("id", "c.*")
     # the smallest id of each bag by partial aggregation, so a bag with a third of all rows is no hot group
-    smallest = chosen.groupBy("bag").agg(F.min_by(F.struct("id", "version"), "id").alias("r")).select("bag", F.col("r.id").alias("rep"), "r.version")
+    smallest = chosen.groupBy("bag").agg(F.min_by(F.struct("id", "version", "bits"), "id").alias("r")).select("bag", F.col("r.id").alias("rep"), "r.version", "r.bits")
     members = chosen.select("id", "bag").join(smallest.select("bag", "rep"), "bag").select("id", "rep")
     # one row a bag; the links are found between bags, which have the ids of their representatives later
     bags = signed.groupBy("bag").agg(F.first("n").alias("n"), F.first("s0").alias("s0"), F.first("s1").alias("s1"), F.first("keys").alias("keys"))
@@ -190,14 +197,15 @@ def near_pairs(df: DataFrame, id_col: str, text: Column, threshold: float = 0.75
     keyed = bags.select("bag", "n", "s0", "s1", F.posexplode("keys").alias("band", "key")).select(packed.alias("packed"), "bag", "s0", "s1")
     words = lambda x: F.col(f"{x}.packed").bitwiseAND(F.lit((1 << 26) - 1))
     sized = F.least(words("a"), words("b")) >= F.lit(threshold) * F.greatest(words("a"), words("b"))
-    agree = F.lit(bands.bits) - F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))) - F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1")))
+    agree = F.lit(bands.bits) - sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in ("s0", "s1")), F.lit(0))
     met = (F.shiftright("a.packed", 26) == F.shiftright("b.packed", 26)) & (F.col("a.bag") < F.col("b.bag")) & sized & (agree >= bands.least_bits)
     candidates = keyed.alias("a").join(keyed.alias("b"), met).select(F.col("a.bag").alias("bag_a"), F.col("b.bag").alias("bag_b")).distinct()
     side = lambda x: smallest.select(*[F.col(c).alias(f"{c}_{x}") for c in smallest.columns])
     both = candidates.join(side("a"), "bag_a").join(side("b"), "bag_b")
+    apart = sum((F.bit_count(F.col(f"bits_a.{c}").bitwiseXOR(F.col(f"bits_b.{c}"))) for c in ("s0", "s1", "f0", "f1")), F.lit(0))
     swap = F.col("rep_a") > F.col("rep_b")
     ordered = [F.when(swap, F.col(f"{c}_{y}")).otherwise(F.col(f"{c}_{x}")).alias(f"{c}_{x}") for x, y in ("ab", "ba") for c in ("rep", "version")]
-    likely = cut_lineage(both.select(*ordered))
+    likely = cut_lineage(both.where(2 * bands.bits - apart >= bands.least_both).select(*ordered))
     wanted = likely.select(F.col("rep_a").alias("id"), F.col("version_a").alias("version")).union(likely.select("rep_b", "version_b")).distinct()
     texts = rows.join(broadcast_checked(wanted), ["id", "version"], "left_semi").dropDuplicates(["id"]).select("id", "text")
     verified = likely.join(texts.select(F.col("id").alias("rep_a"), F.col("text").alias("text_a")), "rep_a").join(texts.select(F.col("id").alias("rep_b"), F.col("text").alias("text_b")), "rep_b")
