@@ -46,6 +46,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread_out(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as a shuffle has: for work that takes long for its few bytes, where partitions were merged by size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _size(dtype: T.DataType, value: Column) -> Column:
     """About the bytes of a value in a broadcast; strings and nested values by what they hold."""
     if isinstance(dtype, (T.StringType, T.BinaryType)):
