@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm.lookalikes import TO_LATIN
-from docloom.session import broadcast_checked, cut_lineage, read_table
+from docloom.session import broadcast_checked, cut_lineage, read_table, spread_out
 
 LOST = "�"
 
@@ -255,7 +255,7 @@ def token_repairs(tokens: DataFrame) -> DataFrame:
             rows = [(t, c, w, a, oddness(w), own) for t in batch["token"] for own in (oddness(t),) for c, w, a in candidates(t)]
             yield pd.DataFrame(rows, columns=["token", "channel", "word", "allowed", "odd", "token_odd"])
 
-    options = cut_lineage(counts.select("token").mapInPandas(spread, schema).withColumn("bare", F.regexp_replace("word", _EDGES, "")))
+    options = cut_lineage(spread_out(counts.select("token")).mapInPandas(spread, schema).withColumn("bare", F.regexp_replace("word", _EDGES, "")))
     is_utf8 = F.col("channel").startswith("utf-8")
     # a sequence by chance gives letters that the corpus has in no such place; of real ones it has the word or its shape
     every = broadcast_checked(cut_lineage(counts.select(shape(F.col("token")).alias("shape")).distinct()))

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.session import cut_lineage, fits_broadcast, read_table
+from docloom.session import broadcast_checked, cut_lineage, fits_broadcast, read_table
 
 # What was printed and what recognition makes of it.
 CONFUSIONS = {
@@ -65,16 +65,16 @@ def _number_of(raw: Column) -> tuple[Column, Column]:
 
 def _lines(text: Column) -> Column:
     """The lines of a text without the blanks around them; blank lines are none."""
-    return F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\s*\n\s*")
+    return F.filter(F.transform(F.split(text, "\n"), lambda line: F.trim(line, F.lit(" \t\n\x0b\f\r"))), lambda line: line != "")
 
 
 def _split(text: str) -> list[str]:
     """The same lines as :func:`_lines` in Python."""
-    return re.split(r"\s*\n\s*", text.strip(" \t\n\x0b\f\r"), flags=re.ASCII)
+    return [line for part in text.split("\n") if (line := part.strip(" \t\n\x0b\f\r"))]
 
 
 def _filled(elements: DataFrame) -> DataFrame:
-    return elements.where(F.col("element_id").isNotNull() & F.col("page_number").isNotNull() & (F.length(F.trim("text")) > 0))
+    return elements.where(F.col("element_id").isNotNull() & F.col("page_number").isNotNull() & (F.length(F.trim("text", F.lit(" \t\n\x0b\f\r"))) > 0))
 
 
 def page_edges(elements: DataFrame) -> DataFrame:
@@ -85,18 +85,20 @@ def page_edges(elements: DataFrame) -> DataFrame:
     """
     rows = _filled(elements).withColumn("ls", _lines(F.col("text")))
     end = lambda line, at, by: F.struct("ord", "element_id", "element_type", line.alias("line"), F.size("ls").alias("lines"), at.alias("at"), by.alias("beside"))
-    pages = rows.groupBy("doc_id", F.col("page_number").alias("page")).agg(F.min_by(end(F.get("ls", F.lit(0)), F.lit(0), F.lit(None).cast("string")), "ord").alias("top"), F.max_by(end(F.element_at("ls", -1), F.size("ls") - 1, F.get("ls", F.size("ls") - 2)), "ord").alias("bottom"))
+    pages = rows.groupBy("doc_id", F.col("page_number").alias("page")).agg(F.min_by(end(F.get("ls", F.lit(0)), F.lit(0), F.lit(None).cast("string")), "ord").alias("top"), F.max_by(end(F.try_element_at("ls", F.lit(-1)), F.size("ls") - 1, F.get("ls", F.size("ls") - 2)), "ord").alias("bottom"))
     return pages.select("doc_id", "page", F.inline(F.array(F.struct(F.lit("top").alias("edge"), F.col("top").alias("x")), F.struct(F.lit("bottom").alias("edge"), F.col("bottom").alias("x"))))).select("doc_id", "page", "edge", "x.*")
 
 
-def inner_lines(elements: DataFrame) -> DataFrame:
-    """Every line of the running text of paged elements, in the columns of :func:`page_edges` with the edge 'inside'.
+def inner_lines(elements: DataFrame, chosen: Callable[[Column], Column], least: int = 1) -> DataFrame:
+    """The chosen lines of the running text of paged elements, in the columns of :func:`page_edges` with the edge 'inside'.
 
-    A page end may lie inside an element. Lines that end a sentence are no furniture there.
+    A page end may lie inside an element. Lines that end a sentence are no furniture there. Lines are
+    chosen inside the row, so only those become rows; ``least`` is the number of lines an element has.
     """
-    rows = _filled(elements).where(F.col("element_type").isin("text", "paragraph"))
-    lines = rows.withColumn("ls", _lines(F.col("text"))).select("doc_id", F.col("page_number").alias("page"), F.lit("inside").alias("edge"), "ord", "element_id", "element_type", F.size("ls").alias("lines"), F.posexplode("ls").alias("at", "line"))
-    return lines.where((F.length("line") <= 90) & ~F.col("line").rlike(r"[.!?:]\s*$")).select("doc_id", "page", "edge", "ord", "element_id", "element_type", "line", "lines", "at")
+    rows = _filled(elements).where(F.col("element_type").isin("text", "paragraph")).where(F.lit(least < 2) | F.contains("text", F.lit("\n"))).withColumn("ls", _lines(F.col("text")))
+    placed = F.filter(F.transform("ls", lambda line, at: F.struct(at.alias("at"), line.alias("line"))), lambda x: (F.length(x.line) <= 90) & ~x.line.rlike(r"[.!?:]$") & chosen(x.line))
+    lines = rows.select("doc_id", "page_number", "ord", "element_id", "element_type", F.size("ls").alias("lines"), F.explode(placed).alias("x")).where(F.col("lines") >= least)
+    return lines.select("doc_id", F.col("page_number").alias("page"), F.lit("inside").alias("edge"), "ord", "element_id", "element_type", "x.line", "lines", "x.at")
 
 
 def _halves(key: str) -> Column:
@@ -123,8 +125,7 @@ def find_furniture(elements: DataFrame) -> DataFrame:
     numbered = split.where(F.col("raw") != "")
     offsets = numbered.where(F.col("arabic").isNotNull()).groupBy("doc_id", (F.col("page") - F.col("arabic")).alias("shift")).agg(F.countDistinct("page").alias("support"))
     front = numbered.where(F.col("roman") == F.col("page")).select("doc_id", (F.col("page") + 1).alias("page"), F.lit(True).alias("after_front")).distinct()
-    inner = inner_lines(elements)
-    alone = inner.withColumn("raw", F.regexp_extract(F.trim("line"), f"(?i)^{_NUMBER}$", 1)).where("raw <> ''").withColumn("aside", F.trim("line"))
+    alone = inner_lines(elements, lambda line: line.rlike(f"(?i)^{_NUMBER}$")).withColumn("raw", F.regexp_extract("line", f"(?i)^{_NUMBER}$", 1)).withColumn("aside", F.col("line"))
     arabic, roman = _number_of(F.col("raw"))
     alone = alone.withColumn("arabic", arabic).withColumn("roman", roman).withColumn("apart", F.lit(False))
     columns = ["doc_id", "page", "element_id", "edge", "at", "raw", "aside", "arabic", "roman", "apart"]
@@ -156,7 +157,10 @@ def find_furniture(elements: DataFrame) -> DataFrame:
     out = cut_lineage(numbers.union(repeats).union(dashed).union(running).distinct())
     # inside elements: lines that repeat a running line of the upload
     runs = split.where("length(key) >= 6").join(out.where("edge <> 'inside'"), ["element_id", "edge", "at"], "left_semi").groupBy("doc_id", F.col("key").alias("run")).agg(F.countDistinct("page").alias("pages")).where("pages >= 2")
-    again = inner.where("lines > 1").withColumn("key", ocr_key(F.col("line"))).where("length(key) >= 6").join(runs, (inner["doc_id"] == runs["doc_id"]) & (F.col("key") == F.col("run")), "left_semi")
+    runs = cut_lineage(runs.select("doc_id", "run"))
+    some = elements.join(broadcast_checked(runs.select("doc_id").distinct()), "doc_id", "left_semi")
+    inner = inner_lines(some, lambda line: F.length(line) >= 6, least=2).withColumn("run", ocr_key(F.col("line")))
+    again = inner.join(broadcast_checked(runs), ["doc_id", "run"], "left_semi")
     return out.union(again.select("element_id", "edge", "at")).distinct()
 
 
