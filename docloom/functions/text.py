@@ -79,7 +79,7 @@ def semantic_text() -> Column:
     return F.concat_ws("|", empty("instruction"), fall_back("context", "input_text"), fall_back("expected_output", "output_text"), empty("category"), empty("difficulty"))
 
 
-#: Pattern of a stated number of records: the number, at most 40 characters of one line, the noun.
+# Fixed value: pattern of a stated number of records: the number, at most 40 characters of one line, the noun.
 RECORD_COUNT = r"(?i)\b(\d{1,3})\b[^\n]{0,40}?\b(?:records?|examples?|items?)\b"
 
 
@@ -89,6 +89,19 @@ def requested_count(prompt: Column, limit: int, default: int = 4) -> Column:
     return F.least(F.when(found == "", default).otherwise(found.cast("int")), F.lit(limit))
 
 
+def json_text_length(text: Column) -> Column:
+    """Characters of ``text`` as a JSON string with its quotes, where only what JSON requires is escaped; null counts as empty."""
+    value = F.coalesce(text, F.lit(""))
+    short = F.length(F.regexp_replace(value, r'[^"\\\n\r\t\x08\x0C]', ""))
+    long = F.length(F.regexp_replace(value, r"[^\x00-\x07\x0B\x0E-\x1F]", ""))
+    return F.length(value) + short + F.lit(5) * long + F.lit(2)
+
+
+def human_size(size: Column) -> Column:
+    """A number of bytes as B, KB or MB, with one place from a kilobyte on."""
+    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1024 * 1024, F.concat(F.format_number(size / 1024, 1), F.lit(" KB"))).otherwise(F.concat(F.format_number(size / (1024 * 1024), 1), F.lit(" MB")))
+
+
 def batch_progress(text: Column) -> Column:
     """(number, total) of "batch N of M", null where the text says nothing of the kind."""
     n = lambda k: F.regexp_extract(text, r"batch (\d+) of (\d+)", k)

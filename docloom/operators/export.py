@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zipfile
 from pathlib import Path
 
@@ -63,12 +64,12 @@ def write_json_array(records: DataFrame, path: Path) -> int:
 
 def manifest(jobs: DataFrame, created_at: Column, versions: dict[str, str]) -> DataFrame:
     """(job_id, manifest): what a package says about its making, as JSON; the clock is given."""
-    fields = F.struct("job_id", F.col("doc_id").alias("file_id"), F.col("output_format").alias("format"), "record_count", created_at.cast("string").alias("created_at"), *[F.lit(v).alias(k) for k, v in versions.items()])
+    fields = F.struct("job_id", F.col("doc_id").alias("file_id"), *(c for c in ("source_file", "validation_status") if c in jobs.columns), F.col("output_format").alias("format"), "record_count", created_at.cast("string").alias("created_at"), *[F.lit(v).alias(k) for k, v in versions.items()])
     return jobs.select("job_id", F.to_json(fields, {"ignoreNullFields": "false"}).alias("manifest"))
 
 
 #: Keys of a provider's metrics that a diagnosis may show.
-DIAGNOSTICS = ("submitted", "created", "completed", "polls", "retries", "cancels", "repairs")
+DIAGNOSTICS = ("submitted", "created", "completed", "failed", "polls", "retries", "cancels")
 
 
 def diagnostics(metrics: Column) -> Column:
@@ -76,12 +77,46 @@ def diagnostics(metrics: Column) -> Column:
     return F.transform_values(F.map_filter(metrics, lambda k, v: k.isin(*DIAGNOSTICS)), lambda k, v: v.cast("int"))
 
 
-def package_metadata(manifests: DataFrame, summary: DataFrame, reviews: DataFrame) -> DataFrame:
-    """(job_id, metadata): one JSON document a job from its manifest, quality summary and review; without a review its fields are null."""
-    quality = F.struct(*[c for c in summary.columns if c != "job_id"])
-    review = F.struct(*[c for c in reviews.columns if c != "job_id"])
-    joined = manifests.join(summary.select("job_id", quality.alias("quality")), "job_id", "left").join(reviews.select("job_id", review.alias("review")), "job_id", "left")
-    return joined.select("job_id", F.to_json(F.struct(F.parse_json("manifest").alias("manifest"), "quality", "review"), {"ignoreNullFields": "false"}).alias("metadata"))
+# The flat fields of a package's metadata and where each comes from: a path in the manifest, report or review, and what stands for a missing one.
+METADATA_FIELDS = (
+    ("datasetName", "", "dataset"), ("sourceFile", "manifest.source_file", None), ("recordCount", "manifest.record_count", None), ("format", "manifest.format", None), ("generatedAt", "manifest.created_at", None),
+    ("schemaVersion", "manifest.schema_version", None), ("generationMode", "manifest.phase", None), ("provider", "manifest.provider", None), ("model", "manifest.model", None), ("promptVersion", "manifest.prompt_version", None),
+    ("validationStatus", "report.status", "manifest.validation_status"), ("groundingStatus", "report.grounding.status", "not_evaluated"), ("groundedRecords", "report.grounding.grounded_records", 0),
+    ("finalRecordCount", "report.quality.final_record_count", "manifest.record_count"), ("exactDuplicatesRemoved", "report.quality.exact_duplicates_removed", 0), ("nearDuplicateCount", "report.quality.near_duplicate_pairs", 0),
+    ("qualityReviewVersion", "review.reviewVersion", None), ("reviewProvider", "review.provider", None), ("reviewModel", "review.model", None), ("reviewPromptVersion", "review.promptVersion", None),
+    ("reviewStatus", "review.status", "not_evaluated"), ("revisionAttempted", "review.revisionAttempted", False), ("revisionSucceeded", "review.revisionSucceeded", False), ("revisionCount", "review.revisionAttempted", 0),
+)
+
+
+def package_metadata(manifests: DataFrame, reports: DataFrame, reviews: DataFrame | None = None) -> DataFrame:
+    """(job_id, metadata): one flat JSON document a job of METADATA_FIELDS, from its manifest, report and review as JSON.
+
+    ``manifests`` has job_id and manifest, ``reports`` job_id and report, ``reviews`` job_id and
+    review; jobs without a report or review get what stands for the missing values.
+    """
+    joined = manifests.join(reports.select("job_id", "report"), "job_id", "left")
+    joined = joined.join(reviews.select("job_id", "review"), "job_id", "left") if reviews is not None else joined.withColumn("review", F.lit(None).cast("string"))
+    parts = joined.select("job_id", *[F.try_parse_json(c).alias(c) for c in ("manifest", "report", "review")])
+
+    def at(path: str) -> Column:
+        source, _, inside = path.partition(".")
+        return F.try_variant_get(source, f"$.{inside}", "variant")
+
+    def field(name: str, path: str, other: object) -> Column:
+        if not path:
+            return F.parse_json(F.lit(json.dumps(other)))
+        if name == "revisionCount":
+            return F.parse_json(F.when(F.coalesce(F.try_variant_get("review", "$.revisionAttempted", "boolean"), F.lit(False)), "1").otherwise("0"))
+        rest = at(other) if isinstance(other, str) and other.startswith("manifest.") else F.parse_json(F.lit(json.dumps(other)))
+        return F.coalesce(at(path), rest)
+
+    return parts.select("job_id", F.to_json(F.struct(*[field(*f).alias(f[0]) for f in METADATA_FIELDS]), {"ignoreNullFields": "false"}).alias("metadata"))
+
+
+def ready_package(folder: Path, job_id: str, status: str) -> Path | None:
+    """The archive of a job that a caller may have: of a completed job with a well-formed id, and only where it exists."""
+    archive = folder / job_id / "dataset.zip"
+    return archive if re.fullmatch("[A-Za-z0-9]{32}", job_id) and status == "completed" and archive.is_file() else None
 
 
 def package(dataset: Path, destination: Path, manifest_json: str, metadata_json: str, report_json: str | None = None, review_json: str | None = None) -> Path:

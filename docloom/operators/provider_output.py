@@ -1,8 +1,8 @@
 """Answers of a generation provider to record candidates.
 
-Answers come as JSON text in several shapes: an object or list of records, a chat result whose first
-choice holds the text, text in a code fence, or text with words before and after the object. The
-native parser covers all of them; what it cannot read becomes a row with an error code.
+Answers come as JSON text in several shapes: an object or list of records, a chat result (alone or in
+a list) whose first choice holds the text, text in a code fence, or text with words before and after
+the object. The native parser covers all of them; what it cannot read becomes a row with an error code.
 """
 
 from __future__ import annotations
@@ -19,6 +19,10 @@ RECORD = f"struct<instruction:string,context:string,input:string,expected_output
 OWNED_METADATA = ("record_id", "generation_id", "file_id", "source_refs", "evidence")
 
 
+#: Fields of which a record has at least one.
+_FIELDS = ("instruction", "context", "input", "expected_output", "output", "category", "difficulty", "source_refs", "evidence")
+
+
 def unfenced(text: Column) -> Column:
     """Text without a surrounding code fence, from its first brace or bracket."""
     body = strip(F.coalesce(text, F.lit("")))
@@ -26,35 +30,61 @@ def unfenced(text: Column) -> Column:
     return F.when(body.rlike(r"^\s*[\[{]"), body).otherwise(F.regexp_extract(body, r"(?s)^[^{]*(\{.*)$", 1))
 
 
-def assistant_content(output: Column) -> Column:
-    """The text an assistant gave, out of a provider result; never its reasoning. Null where a choice has no text."""
-    single = F.when(output.rlike(r'^\s*\[\s*\{\s*"choices"'), F.get_json_object(output, "$[0]")).otherwise(output)
+def _kind(value: Column) -> Column:
+    """Type of a variant, such as STRING, OBJECT<...> or ARRAY<...>; null if there is no value."""
+    return F.schema_of_variant(value)
+
+
+def with_answer(raw: DataFrame, output: str = "output") -> DataFrame:
+    """``raw`` with __answer (the result as a variant, parsed once), __text (what the assistant said) and __failed.
+
+    A list of one object that has choices, wherever that key stands in it, is the object. __text is
+    the first choice's message content, text or output, never its reasoning, and null where a choice
+    has none; without choices it is the result where that is text, JSON or not. __failed says that
+    the result is an object with an error object.
+    """
+    value = raw.withColumn("__value", F.try_parse_json(output))
+    item = F.try_variant_get("__value", "$[0]", "variant")
+    wrapped = F.try_variant_get("__value", "$[0].choices", "variant").isNotNull() & F.try_variant_get("__value", "$[1]", "variant").isNull()
+    value = value.withColumn("__answer", F.when(wrapped, item).otherwise(F.col("__value"))).drop("__value")
 
-    def first(path: str) -> Column:
-        text = F.get_json_object(single, f"$.choices[0].{path}")
+    def said(path: str) -> Column:
+        text = F.when(_kind(F.try_variant_get("__answer", path, "variant")) == "STRING", F.try_variant_get("__answer", path, "string"))
         return F.when(~is_blank(text), text)
 
-    chosen = F.coalesce(first("message.content"), first("text"), first("output"))
-    return F.when(F.get_json_object(single, "$.choices").isNotNull(), chosen).otherwise(single)
+    chosen = F.coalesce(*(said(f"$.choices[0].{p}") for p in ("message.content", "text", "output")))
+    plain = F.when(F.col("__answer").isNull(), F.col(output)).when(_kind(F.col("__answer")) == "STRING", F.try_variant_get("__answer", "$", "string"))
+    has_choices = F.try_variant_get("__answer", "$.choices", "variant").isNotNull()
+    failed = F.coalesce(_kind(F.try_variant_get("__answer", "$.error", "variant")).startswith("OBJECT"), F.lit(False))
+    return value.withColumn("__text", F.when(has_choices, chosen).otherwise(plain)).withColumn("__failed", failed)
 
 
-def worker_failed(output: Column) -> Column:
-    """Whether the result is an error object."""
-    return F.coalesce(F.get_json_object(output, "$.error"), F.lit("")).startswith("{")
+def assistant_content(raw: DataFrame, output: str = "output") -> DataFrame:
+    """``raw`` with content: the assistant's text, or the whole result as JSON where it is a record object or list itself."""
+    has_choices = F.try_variant_get("__answer", "$.choices", "variant").isNotNull()
+    whole = F.when(F.col("__answer").isNotNull() & ~has_choices, F.to_json("__answer"))
+    return with_answer(raw, output).withColumn("content", F.coalesce("__text", whole)).drop("__answer", "__text", "__failed")
 
 
 def parse_outputs(raw: DataFrame, output: str = "output") -> DataFrame:
     """One row a record candidate: the columns of ``raw`` but the output, then rec_in_batch (from 0), item (struct) and error.
 
-    Outputs without records give one row with an error (WORKER_ERROR or STRUCTURED_OUTPUT_INVALID)
-    and no item. A null output is invalid; an empty table gives an empty result.
+    Outputs without records, or with an item that is no object or has no field of a record, give one
+    row with an error (WORKER_ERROR or STRUCTURED_OUTPUT_INVALID) and no item. A null output is
+    invalid; an empty table gives an empty result.
     """
     keys = [c for c in raw.columns if c != output]
-    content = unfenced(assistant_content(F.col(output)))
-    listed = F.when(content.startswith("["), content).otherwise(F.get_json_object(content, "$.records"))
-    items = F.from_json(listed, f"array<{RECORD}>")
-    error = F.when(worker_failed(F.col(output)), "WORKER_ERROR").when(F.coalesce(F.size(items), F.lit(-1)) <= 0, "STRUCTURED_OUTPUT_INVALID")
-    parsed = raw.select(*keys, F.when(error.isNull(), items).alias("items"), error.alias("error"))
+    answered = with_answer(raw, output)
+    body = unfenced(F.col("__text"))
+    inside = F.when(body.startswith("["), body).otherwise(F.get_json_object(body, "$.records"))
+    held = F.coalesce(F.try_variant_get("__answer", "$.records", "variant"), F.when(_kind(F.col("__answer")).startswith("ARRAY"), F.col("__answer")))
+    has_choices = F.try_variant_get("__answer", "$.choices", "variant").isNotNull()
+    listed = answered.withColumn("__list", F.when(F.col("__text").isNotNull(), inside).when(~F.coalesce(has_choices, F.lit(False)), F.to_json(held)))
+    items = listed.withColumn("__raw", F.from_json(F.when(F.col("__list").startswith("["), F.col("__list")), "array<string>")).withColumn("__items", F.from_json("__list", f"array<{RECORD}>"))
+    foreign = F.exists("__raw", lambda x: x.isNull() | ~x.startswith("{")) | F.exists("__items", lambda i: i.isNull() | F.forall(F.array(*(i.getField(f).isNotNull() for f in _FIELDS)), lambda has: ~has))
+    invalid = (F.coalesce(F.size("__items"), F.lit(-1)) <= 0) | F.col("__raw").isNull() | F.coalesce(foreign, F.lit(True))
+    error = F.when(F.col("__failed"), "WORKER_ERROR").when(invalid, "STRUCTURED_OUTPUT_INVALID")
+    parsed = items.select(*keys, F.when(error.isNull(), F.col("__items")).alias("items"), error.alias("error"))
     return parsed.select(*keys, "error", F.posexplode_outer("items").alias("rec_in_batch", "item"))
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docloom.functions.text import chars_to_tokens, strip
+from docloom.functions.text import chars_to_tokens, json_text_length, strip
 from docloom.operators.provider_output import assistant_content, unfenced
 
 # Fixed values of the review contract.
@@ -31,24 +35,76 @@ def frequencies(records: DataFrame, field: str) -> DataFrame:
     return per.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("value", "n"))).alias("counts"))
 
 
-def review_batches(payload: DataFrame, max_model_len: int, prompt_chars: int, schema_chars: int) -> DataFrame:
+def review_schema() -> dict:
+    """JSON schema of a review; names and limits are fixed values of the contract."""
+    text = lambda n: {"type": "string", "minLength": 1, "maxLength": n}
+    fields = {"code": {"type": "string", "enum": sorted(CODES)}, "severity": {"type": "string", "enum": list(SEVERITIES)}, "record_ids": {"type": "array", "items": {"type": "string"}, "maxItems": 20}, "message": text(MAX_MESSAGE), "suggested_action": text(MAX_ACTION)}
+    issue = {"type": "object", "properties": fields, "required": list(fields), "additionalProperties": False}
+    return {"type": "object", "properties": {"issues": {"type": "array", "maxItems": MAX_ISSUES, "items": issue}, "summary": {"type": "string", "maxLength": MAX_SUMMARY}}, "required": ["issues", "summary"], "additionalProperties": False}
+
+
+#: Task of the reviewer; it counts in every batch.
+SYSTEM = "Review the dataset records and give findings as JSON of the given schema."
+
+# The fields of a record as one JSON document, in order, and the columns that hold them.
+RECORD_FIELDS = {"instruction": "instruction", "input": "input_text", "output": "output_text", "metadata": "metadata", "context": "context", "expected_output": "expected_output", "category": "category", "difficulty": "difficulty", "source_refs": "source_refs", "evidence": "evidence"}
+
+
+def record_json_length() -> Column:
+    """Characters of a whole record as JSON with ", " and ": " between its parts, metadata included."""
+    comma = lambda n: F.lit(2) * F.greatest(F.lit(0), n - 1)
+    total = lambda values: F.aggregate(values, F.lit(0), lambda acc, n: acc + n)
+    texts = F.coalesce("source_refs", F.array().cast("array<string>"))
+    quotes = F.coalesce("evidence", F.array().cast("array<struct<source_ref:string,quote:string>>"))
+    entries = F.map_entries(F.coalesce("metadata", F.create_map().cast("map<string,string>")))
+    lengths = {
+        "metadata": F.lit(2) + comma(F.size(entries)) + total(F.transform(entries, lambda e: json_text_length(e.key) + 2 + json_text_length(e.value))),
+        "source_refs": F.lit(2) + comma(F.size(texts)) + total(F.transform(texts, json_text_length)),
+        "evidence": F.lit(2) + comma(F.size(quotes)) + total(F.transform(quotes, lambda e: F.lit(len('{"source_ref": , "quote": }')) + json_text_length(e.source_ref) + json_text_length(e.quote))),
+    }
+    frame = sum(len(name) + 4 for name in RECORD_FIELDS) + 2 * (len(RECORD_FIELDS) - 1) + 2
+    return sum((lengths.get(name, json_text_length(F.col(column))) for name, column in RECORD_FIELDS.items()), F.lit(frame))
+
+
+def review_costs(records: DataFrame) -> DataFrame:
+    """(job_id, rec_pos, cost): estimated tokens of each record."""
+    return records.select("job_id", "rec_pos", chars_to_tokens(record_json_length()).alias("cost"))
+
+
+def review_batches(costs: DataFrame, prompts: DataFrame, max_model_len: int, system: str = SYSTEM) -> DataFrame:
     """(job_id, rec_pos, review_batch): records packed in order into review batches by estimated tokens.
 
-    The prompt counts in every batch and the schema in the first only. The fold runs over the sizes
-    of one job's records, which a request bounds.
+    ``prompts`` (job_id, prompt) has a row a job; without one the prompt is empty. The system text and
+    the prompt count in every batch, the schema in the first only. The rule needs the sum of the
+    record before, so a job is one sorted run; it sees only sizes and holds three integers.
     """
     budget = max(1024, int(max_model_len * 0.5))
-    prompt, schema = max(1, (prompt_chars + 3) // 4), max(1, (schema_chars + 3) // 4)
-    jobs = payload.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("rec_pos", chars_to_tokens(F.length("payload")).alias("cost")))).alias("rs"))
-    start = F.struct(F.lit(1).alias("b"), F.lit(prompt + schema).alias("t"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, r: Column) -> Column:
-        full = (acc.n > 0) & (acc.t + r.cost > budget)
-        number = F.when(full, acc.b + 1).otherwise(acc.b)
-        return F.struct(number.alias("b"), (F.when(full, F.lit(prompt)).otherwise(acc.t) + r.cost).alias("t"), F.when(full, 1).otherwise(acc.n + 1).alias("n"), F.array_append(acc.out, number).alias("out"))
-
-    placed = jobs.select("job_id", F.arrays_zip(F.col("rs.rec_pos").alias("rec_pos"), F.aggregate("rs", start, step, lambda acc: acc.out).alias("review_batch")).alias("z"))
-    return placed.select("job_id", F.inline("z"))
+    schema = max(1, (len(json.dumps(review_schema(), sort_keys=True)) + 3) // 4)
+    asked = prompts.groupBy("job_id").agg(F.max(F.length("prompt")).alias("chars"))
+    priced = costs.join(asked, "job_id", "left").select("job_id", "rec_pos", "cost", chars_to_tokens(F.coalesce("chars", F.lit(0)) + len(system)).alias("fixed"))
+    kind = costs.schema["job_id"].dataType.simpleString()
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        job, number, held, tokens = object(), 0, 0, 0
+        for batch in batches:
+            numbers = []
+            for key, cost, fixed in zip(batch["job_id"], batch["cost"], batch["fixed"]):
+                if key != job:
+                    job, number, held, tokens = key, 1, 0, fixed + schema
+                elif held and tokens + cost > budget:
+                    number, held, tokens = number + 1, 0, fixed
+                held, tokens = held + 1, tokens + cost
+                numbers.append(number)
+            yield pd.DataFrame({"job_id": batch["job_id"], "rec_pos": batch["rec_pos"], "review_batch": numbers})
+
+    ordered = priced.repartition("job_id").sortWithinPartitions("job_id", "rec_pos")
+    return ordered.mapInPandas(fold, f"job_id {kind}, rec_pos int, review_batch int")
+
+
+def top_issues(issues: DataFrame, n: int = 5) -> DataFrame:
+    """The first ``n`` issues of each job by batch and pos, as a job's page shows them."""
+    order = Window.partitionBy("job_id").orderBy("batch", "pos")
+    return issues.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= n).drop("__n")
 
 
 def severity_of(code: Column) -> Column:
@@ -56,18 +112,21 @@ def severity_of(code: Column) -> Column:
     return F.when(code.isin(*BLOCKING), "blocking").otherwise("warning")
 
 
-def parse_review(output: Column, known_ids: Column) -> Column:
-    """struct(issues, summary, error): a review result, or why it is not valid.
+def parse_review(results: DataFrame, known_ids: Column, output: str = "output") -> DataFrame:
+    """``results`` without the output but with p, a struct(issues, summary, error): a review result, or why it is not valid.
 
     Only the two top-level keys and the five keys of an issue are allowed, codes and severities must
     be known, record ids must be of the dataset, and texts must keep their limits. The summary is cut.
     """
-    body = unfenced(assistant_content(output))
+    read = assistant_content(results, output).withColumn("__body", unfenced(F.col("content")))
+    body = F.col("__body")
     keys = F.json_object_keys(body)
     raw = F.from_json(F.get_json_object(body, "$.issues"), "array<string>")
     shape = "struct<code:string,severity:string,record_ids:array<string>,message:string,suggested_action:string>"
     issues = F.transform(raw, lambda x: F.from_json(x, shape))
-    summary = F.get_json_object(body, "$.summary")
+    # a summary that is no text is none
+    said = F.try_variant_get(F.try_parse_json(F.get_json_object(body, "$")), "$.summary", "variant")
+    summary = F.when(F.schema_of_variant(said) == "STRING", F.get_json_object(body, "$.summary"))
     bad_keys = F.exists(raw, lambda x: (F.size(F.array_except(F.coalesce(F.json_object_keys(x), F.array(F.lit("?"))), F.array(*map(F.lit, _ISSUE_KEYS)))) > 0) | (F.coalesce(F.size(F.json_object_keys(x)), F.lit(0)) != 5))
     bad_code = F.exists(issues, lambda i: ~F.coalesce(i.code.isin(*CODES), F.lit(False)) | ~F.coalesce(i.severity.isin(*SEVERITIES), F.lit(False)))
     bad_ids = F.exists(issues, lambda i: i.record_ids.isNull() | (F.size(F.array_except(F.coalesce(i.record_ids, F.array().cast("array<string>")), known_ids)) > 0))
@@ -75,7 +134,8 @@ def parse_review(output: Column, known_ids: Column) -> Column:
     bad_text = F.exists(issues, lambda i: too_long(i.message, MAX_MESSAGE) | too_long(i.suggested_action, MAX_ACTION))
     outer = keys.isNull() | (F.size(F.array_except(keys, F.array(F.lit("issues"), F.lit("summary")))) > 0) | raw.isNull() | summary.isNull()
     invalid = F.when(outer, True).when(F.size(raw) > MAX_ISSUES, True).when(bad_keys | bad_code | bad_ids | bad_text, True).otherwise(False)
-    return F.struct(F.when(~invalid, issues).alias("issues"), F.when(~invalid, F.substring(summary, 1, MAX_SUMMARY)).alias("summary"), F.when(invalid, "QUALITY_REVIEW_INVALID").alias("error"))
+    result = F.struct(F.when(~invalid, issues).alias("issues"), F.when(~invalid, F.substring(summary, 1, MAX_SUMMARY)).alias("summary"), F.when(invalid, "QUALITY_REVIEW_INVALID").alias("error"))
+    return read.select(*[c for c in results.columns if c != output], result.alias("p"))
 
 
 def summarize_review(issues: DataFrame, summaries: DataFrame, cap: int = MAX_ISSUES) -> DataFrame:

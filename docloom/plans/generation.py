@@ -19,7 +19,7 @@ from docloom.functions.text import requested_count
 from docloom.operators.batching import BatchOptions, batch_units, context_batches, empty_batches
 from docloom.operators.provider_output import normalize_records, parse_outputs
 from docloom.operators.resolve import assemble, resolve_aliases
-from docloom.operators.validation import structural_errors
+from docloom.operators.validation import grounding_summary, record_grounding, structural_errors
 from docloom.session import cut_lineage
 
 RAW = "job_id string, doc_id string, batch_no int, attempt int, output string"
@@ -66,7 +66,7 @@ class OfflineProvider:
 
 
 def record_schema() -> dict:
-    """JSON schema of a provider's answer."""
+    """JSON schema of a provider's answer; the names are fixed values of the contract."""
     text = {"type": "string"}
     evidence = {"type": "object", "properties": {"source_ref": text, "quote": text}, "required": ["source_ref", "quote"], "additionalProperties": False}
     fields = {"instruction": text, "context": text, "expected_output": text, "category": text, "difficulty": {"type": "string", "enum": ["easy", "medium", "hard"]}, "source_refs": {"type": "array", "items": text}, "evidence": {"type": "array", "items": evidence}}
@@ -74,11 +74,15 @@ def record_schema() -> dict:
     return {"type": "object", "properties": {"records": {"type": "array", "items": record}}, "required": ["records"], "additionalProperties": False}
 
 
-def batch_messages(prompt: str, text: str, batch_id: str, asked: int, repair: str | None = None) -> list[dict[str, str]]:
-    """Messages that ask for the records of a batch, or for a repair of an answer."""
+#: Characters of an invalid answer that a repair shows (a fixed value of the contract).
+SHOWN_ANSWER = 12_000
+
+
+def batch_messages(prompt: str, text: str, batch_id: str, asked: int, repair: str | None = None, answer: str = "") -> list[dict[str, str]]:
+    """Messages that ask for the records of a batch, or for a repair of the answer given before."""
     task = f"{prompt}\nBatch: {batch_id}\nrecords: {asked}\nCite units by the names in brackets and quote them word for word.\n\n{text}"
     messages = [{"role": "system", "content": "Write dataset records from the given units only, as JSON of the given schema."}, {"role": "user", "content": task}]
-    return messages if repair is None else [*messages, {"role": "user", "content": f"The answer was not valid ({repair}). Give the whole answer again.\nrecords: {asked}\n\n{text}"}]
+    return messages if repair is None else [*messages, {"role": "user", "content": f"The answer was not valid ({repair}). Give the whole answer again.\nrecords: {asked}\n\n{text}\n\nAnswer given before:\n{answer[:SHOWN_ANSWER]}"}]
 
 
 def _parsed(raw: DataFrame, units: DataFrame) -> DataFrame:
@@ -86,15 +90,23 @@ def _parsed(raw: DataFrame, units: DataFrame) -> DataFrame:
     latest = raw.groupBy("job_id", "doc_id", "batch_no").agg(F.max_by("output", "attempt").alias("output"))
     parsed = parse_outputs(latest)
     failed = parsed.where(F.col("error").isNotNull()).select("job_id", "batch_no", "error")
+    cites = F.coalesce(F.col("item.source_refs").isNotNull() | F.col("item.evidence").isNotNull(), F.lit(False))
+    citing = parsed.where(cites).select("job_id", "batch_no").distinct()
     records = normalize_records(parsed, F.col("job_id"), F.col("doc_id"), {"provider": F.lit("offline")})
     resolved = resolve_aliases(records, units)
     gate = resolved.where(F.col("batch_error").isNotNull()).select("job_id", "batch_no", F.col("batch_error").alias("error"))
     numbered = resolved.withColumn("rec_pos", F.col("rec_in_batch"))
     blank = structural_errors(numbered).join(numbered.select("job_id", "rec_pos", "batch_no").distinct(), ["job_id", "rec_pos"]).select("job_id", "batch_no", F.concat(F.lit("missing "), "field").alias("error"))
-    return resolved.withColumn("error", F.lit(None).cast("string")).unionByName(failed.unionByName(gate).unionByName(blank), allowMissingColumns=True)
+    # a batch whose records cite anything must be grounded as a whole
+    own = numbered.withColumn("job_id", F.concat_ws("/", "job_id", "batch_no"))
+    evidence = own.select("job_id", "rec_pos", F.posexplode("evidence").alias("ev_pos", "e")).select("job_id", "rec_pos", "ev_pos", "e.source_ref", "e.quote")
+    sources = units.groupBy(F.col("element_id").alias("source_ref")).agg(F.min("full_text").alias("source_text"))
+    grounding = grounding_summary(own, record_grounding(own, evidence, sources)).where("status = 'failed'").select(F.col("job_id").alias("__batch"))
+    loose = citing.join(grounding, F.concat_ws("/", "job_id", "batch_no") == F.col("__batch"), "left_semi").select("job_id", "batch_no", F.lit("BATCH_GROUNDING_FAILED").alias("error"))
+    return resolved.withColumn("error", F.lit(None).cast("string")).unionByName(failed.unionByName(gate).unionByName(blank).unionByName(loose), allowMissingColumns=True)
 
 
-def generate(spark: SparkSession, job_id: str, elements: DataFrame, prompt: str, provider: Provider, options: BatchOptions = BatchOptions(), max_records: int = 20, cancelled: Callable[[], bool] = lambda: False) -> tuple[DataFrame, Run]:
+def generate(spark: SparkSession, job_id: str, elements: DataFrame, prompt: str, provider: Provider, options: BatchOptions = BatchOptions(), max_records: int = 20, cancelled: Callable[[], bool] = lambda: False, on_progress: Callable[[int, str], None] = lambda percent, step: None) -> tuple[DataFrame, Run]:
     """(records, run) of one document: plan, one call a batch, parse, resolve, gate, at most one repair in all, assemble.
 
     Raises GenerationError with STRUCTURED_OUTPUT_INVALID if a batch stays invalid or a second one is,
@@ -111,17 +123,21 @@ def generate(spark: SparkSession, job_id: str, elements: DataFrame, prompt: str,
     def call(batch, attempt: int, repair: str | None = None) -> None:
         if cancelled():
             raise GenerationError("GENERATION_CANCELLED")
-        messages = batch_messages(prompt, batch.text, batch.batch_id, batch.requested_records, repair)
+        before = next((row[-1] for row in rows if row[2] == batch.batch_no), "")
+        messages = batch_messages(prompt, batch.text, batch.batch_id, batch.requested_records, repair, before)
         output = provider.generate(messages, record_schema(), min(8192, options.max_model_len // 4))
         run.calls += 1
         rows.append((job_id, batch.doc_id, batch.batch_no, attempt, output))
 
     ordered: Iterable = list(plan.orderBy("batch_no").toLocalIterator())
     for i, batch in enumerate(ordered):
-        run.progress.append((int(35 + i / max(1, run.batches) * 40), f"batch {i + 1} of {run.batches}"))
+        # fixed values: a generation's batches lie between 35 and 75 percent
+        run.progress.append((max([int(35 + i / max(1, run.batches) * 40), *(p for p, _ in run.progress)]), f"batch {i + 1} of {run.batches}"))
+        on_progress(*run.progress[-1])
         call(batch, 1)
     result = cut_lineage(_parsed(spark.createDataFrame(rows, RAW), units))
-    broken = {r.batch_no: r.error for r in result.where(F.col("error").isNotNull()).select("batch_no", "error").collect()}
+    # a blank or ungrounded batch may have several errors; one of them is told
+    broken = {r.batch_no: r.error for r in result.where(F.col("error").isNotNull()).groupBy("batch_no").agg(F.min("error").alias("error")).collect()}
     if len(broken) > 1:
         raise GenerationError("STRUCTURED_OUTPUT_INVALID", "more than one batch is invalid")
     for number, error in broken.items():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 
 from docloom.operators import review as R
 from docloom.operators.provider_output import normalize_records, parse_outputs
-from docloom.operators.quality import quality_summary, report_document
-from docloom.operators.validation import all_issues, exact_duplicates, grounding_summary, issue_order, near_duplicates, record_grounding
+from docloom.operators.quality import quality_summary, record_summaries, report_document
+from docloom.operators.validation import check_records, record_name
 from docloom.plans.generation import GenerationError, Provider, record_schema
 from docloom.session import cut_lineage
 
@@ -29,23 +30,21 @@ class Outcome:
     revised: list[str] = field(default_factory=list)
 
 
-def validate(records: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(kept records, reports): exact duplicates removed, and the validation report of each job as JSON."""
-    records = cut_lineage(records)
-    evidence = records.select("job_id", "rec_pos", F.posexplode("evidence").alias("ev_pos", "e")).select("job_id", "rec_pos", "ev_pos", "e.source_ref", "e.quote")
-    grounding = cut_lineage(grounding_summary(records, record_grounding(records, evidence, sources)))
-    near = cut_lineage(near_duplicates(records))
-    issues = cut_lineage(issue_order(all_issues(records, evidence, sources, near)))
-    kept = exact_duplicates(records).where(~F.col("is_duplicate")).drop("fingerprint", "is_duplicate")
-    return kept, report_document(quality_summary(records, grounding, issues, near), grounding, issues)
+@dataclass(frozen=True)
+class RevisionPolicy:
+    """How often a dataset may be repaired or revised in all, and whether a review may ask for it."""
+
+    max_revision_attempts: int = 1
+    allow_quality_revision: bool = True
 
 
-def review_schema() -> dict:
-    """JSON schema of a review."""
-    text = lambda n: {"type": "string", "minLength": 1, "maxLength": n}
-    fields = {"code": {"type": "string", "enum": sorted(R.CODES)}, "severity": {"type": "string", "enum": list(R.SEVERITIES)}, "record_ids": {"type": "array", "items": {"type": "string"}, "maxItems": 20}, "message": text(R.MAX_MESSAGE), "suggested_action": text(R.MAX_ACTION)}
-    issue = {"type": "object", "properties": fields, "required": list(fields), "additionalProperties": False}
-    return {"type": "object", "properties": {"issues": {"type": "array", "maxItems": R.MAX_ISSUES, "items": issue}, "summary": {"type": "string", "maxLength": R.MAX_SUMMARY}}, "required": ["issues", "summary"], "additionalProperties": False}
+def validate(records: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kept records, reports): exact duplicates removed, and the validation report of each job as JSON."""
+    found = check_records(cut_lineage(records), sources)
+    kept = found.records.join(found.marks.where(~F.col("is_duplicate")).drop("is_duplicate"), ["job_id", "rec_pos"])
+    summaries = record_summaries(found.per_record, found.issues, kept.withColumn("record_id", record_name()))
+    summary = quality_summary(found.records, found.grounding, found.issues, found.near, marks=found.marks)
+    return kept, report_document(summary, found.grounding, found.issues, summaries)
 
 
 def _one_job(records: DataFrame) -> list:
@@ -55,9 +54,10 @@ def _one_job(records: DataFrame) -> list:
 
 def run_review(spark: SparkSession, records: DataFrame, report: dict, prompt: str, provider: Provider, max_model_len: int) -> tuple[DataFrame, dict, int]:
     """(issues, summary, calls): one call a review batch; a result that breaks the contract raises QUALITY_REVIEW_INVALID."""
-    schema = review_schema()
+    schema = R.review_schema()
     payload = cut_lineage(R.review_payload(records))
-    batches = R.review_batches(payload, max_model_len, len(prompt), len(json.dumps(schema, sort_keys=True)))
+    prompts = records.select("job_id").distinct().withColumn("prompt", F.lit(prompt))
+    batches = R.review_batches(R.review_costs(records), prompts, max_model_len)
     texts = {}
     for row in _one_job(payload.join(batches, ["job_id", "rec_pos"])):
         texts.setdefault(row.review_batch, []).append(json.loads(row.payload))
@@ -67,10 +67,10 @@ def run_review(spark: SparkSession, records: DataFrame, report: dict, prompt: st
     outputs = []
     for number, own in sorted(texts.items()) or [(1, [])]:
         body = json.dumps({"records": own, "validation_summary": summary}, ensure_ascii=False, sort_keys=True)
-        messages = [{"role": "system", "content": "Review the dataset records and give findings as JSON of the given schema."}, {"role": "user", "content": f"{prompt}\nReview batch {number}, {len(own)} records\n\n{body}"}]
+        messages = [{"role": "system", "content": R.SYSTEM}, {"role": "user", "content": f"{prompt}\nReview batch {number}, {len(own)} records\n\n{body}"}]
         outputs.append((number, provider.generate(messages, schema, min(2048, max_model_len // 8))))
     known = F.array(*[F.lit(i) for i in ids]).cast("array<string>")
-    parsed = cut_lineage(spark.createDataFrame(outputs, "batch int, output string").select("batch", R.parse_review(F.col("output"), known).alias("p")))
+    parsed = cut_lineage(R.parse_review(spark.createDataFrame(outputs, "batch int, output string"), known))
     if parsed.where(F.col("p.error").isNotNull()).limit(1).count():
         raise GenerationError("QUALITY_REVIEW_INVALID")
     issues = cut_lineage(parsed.select("batch", F.posexplode("p.issues").alias("pos", "i")).select(F.lit("job").alias("job_id"), "batch", "pos", "i.code", "i.record_ids", "i.message", "i.suggested_action"))
@@ -91,8 +91,9 @@ def revise(spark: SparkSession, records: DataFrame, issues: DataFrame, prompt: s
     if not rows:
         raise GenerationError("QUALITY_REVISION_INVALID", "no record to revise")
     findings = [r.asDict() for r in issues.select("code", "record_ids", "message", "suggested_action").collect()]
+    units = "\n".join(dict.fromkeys(f"[{e.source_ref}]\n{e.quote}" for r in _one_job(records) for e in r.evidence or ()))
     body = json.dumps({"records": [{f: r[f] for f in ("instruction", "context", "expected_output", "category", "difficulty", "source_refs")} | {"evidence": [e.asDict() for e in r.evidence]} for r in rows], "issues": findings}, ensure_ascii=False)
-    output = provider.generate([{"role": "system", "content": "Replace each given record by a better one, as JSON of the given schema."}, {"role": "user", "content": f"{prompt}\n\n{body}"}], record_schema(), max_tokens)
+    output = provider.generate([{"role": "system", "content": "Replace each given record by a better one, as JSON of the given schema."}, {"role": "user", "content": f"{prompt}\n\n{body}\n\nUnits that may be cited, and quotes from them:\n{units}"}], record_schema(), max_tokens)
     parsed = parse_outputs(spark.createDataFrame([(job, output)], "job_id string, output string"))
     if parsed.where(F.col("error").isNotNull()).limit(1).count():
         raise GenerationError("QUALITY_REVISION_INVALID", "no records in the answer")
@@ -106,11 +107,12 @@ def revise(spark: SparkSession, records: DataFrame, issues: DataFrame, prompt: s
     return R.apply_replacements(records, new, _FIELDS), [r.metadata.get("record_id", "") for r in rows]
 
 
-def finish(spark: SparkSession, records: DataFrame, sources: DataFrame, prompt: str, provider: Provider | None = None, max_model_len: int = 32768) -> Outcome:
-    """Validate a job's records, review them where there is a provider, revise at most once, and validate again.
+def finish(spark: SparkSession, records: DataFrame, sources: DataFrame, prompt: str, provider: Provider | None = None, max_model_len: int = 32768, policy: RevisionPolicy = RevisionPolicy(), spent: int = 0, on_state: Callable[[str, int], None] = lambda state, percent: None) -> Outcome:
+    """Validate a job's records, review them where there is a provider, revise within the policy, and validate again.
 
-    Raises VALIDATION_FAILED where the records fail, and QUALITY_REVIEW_BLOCKED where blocking issues
-    remain after the revision.
+    ``spent`` counts the repairs of the generation, which share the policy's budget with revisions.
+    ``on_state`` hears of each step with the percentage done. Raises VALIDATION_FAILED where the
+    records fail, and QUALITY_REVIEW_BLOCKED where blocking issues cannot be or were not revised away.
     """
 
     def gate(rows: DataFrame) -> tuple[DataFrame, dict]:
@@ -125,9 +127,14 @@ def finish(spark: SparkSession, records: DataFrame, sources: DataFrame, prompt:
     out = Outcome(kept, report)
     if provider is None:
         return out
+    on_state("reviewing", 84)
     issues, out.review, out.review_calls = run_review(spark, kept, report, prompt, provider, max_model_len)
     if out.review["revision_required"]:
+        if spent >= policy.max_revision_attempts or not policy.allow_quality_revision:
+            raise GenerationError("QUALITY_REVIEW_BLOCKED", "no revision is left")
+        on_state("revising", 89)
         changed, out.revised = revise(spark, kept, issues, prompt, provider, min(4096, max_model_len // 4))
+        on_state("revalidating", 93)
         out.records, out.report = gate(changed)
         _, out.review, calls = run_review(spark, out.records, out.report, prompt, provider, max_model_len)
         out.review_calls += calls

@@ -21,7 +21,7 @@ Transport = Callable[[str, str, dict | None], tuple[int, dict]]
 
 # How HTTP statuses and job states map to errors; the flag says whether a poll may be repeated.
 STATUS_ERRORS = {401: ("PROVIDER_AUTH_FAILED", False), 403: ("PROVIDER_AUTH_FAILED", False), 429: ("PROVIDER_RATE_LIMITED", True)}
-WAITING, RUNNING, DONE = ("IN_QUEUE", "QUEUED"), ("IN_PROGRESS", "RUNNING"), ("COMPLETED",)
+WAITING, RUNNING, DONE = ("IN_QUEUE",), ("IN_PROGRESS",), ("COMPLETED",)
 FAILED = {"FAILED": "PROVIDER_FAILED", "CANCELLED": "PROVIDER_CANCELLED", "TIMED_OUT": "PROVIDER_TIMED_OUT"}
 
 
@@ -63,8 +63,9 @@ def schema_digest(schema: dict) -> str:
 
 
 def build_request(options: ProviderOptions, messages: list[dict[str, str]], schema: dict, max_tokens: int) -> dict:
-    """Body of a submission: a chat request with structured output."""
-    return {"input": {"model": options.model, "messages": messages, "max_tokens": max_tokens, "temperature": options.temperature, "response_format": {"type": "json_schema", "json_schema": {"name": "answer", "schema": schema, "strict": True}}}}
+    """Body of a submission: a chat request with structured output, nested in a job's input (names are fixed values of the contract)."""
+    chat = {"model": options.model, "messages": messages, "max_tokens": max_tokens, "temperature": options.temperature, "stream": False, "structured_outputs": {"json": schema}}
+    return {"input": {"openai_route": "/v1/chat/completions", "openai_input": chat}}
 
 
 class Clock(Protocol):
@@ -82,6 +83,7 @@ class JobProvider:
     clock: Clock = time
     cancelled: Callable[[], bool] = lambda: False
     on_state: Callable[[str], None] = lambda state: None
+    on_job_created: Callable[[str], None] = lambda job: None
     counters: Counter = field(default_factory=Counter)
     last_job: str | None = None
 
@@ -114,45 +116,58 @@ class JobProvider:
             return False
         return True
 
+    def _poll(self, job: str) -> dict:
+        """The state of a job; a failed poll is repeated a few times."""
+        for attempt in range(self.options.poll_retries + 1):
+            self.counters["polls"] += 1
+            try:
+                return self._request("GET", f"status/{job}")
+            except _Retryable:
+                if attempt == self.options.poll_retries:
+                    raise
+                self.counters["retries"] += 1
+                self.clock.sleep(min(0.25, self.options.poll_seconds))
+        raise AssertionError
+
     def generate(self, messages: list[dict[str, str]], schema: dict, max_tokens: int) -> str:
-        """The output of one job as JSON text; submitted once, whatever happens."""
+        """The output of one job as JSON text; submitted once, whatever happens. Both time limits count from the submission."""
         self.counters["submitted"] += 1
+        began = self.clock.monotonic()
         job = self._request("POST", "run", build_request(self.options, messages, schema, max_tokens)).get("id")
-        if not job:
+        if not job or not isinstance(job, str):
             raise GenerationError("PROVIDER_MISSING_JOB_ID")
-        self.last_job, began, running_since, failures = str(job), self.clock.monotonic(), None, 0
+        self.last_job = job
         self.counters["created"] += 1
+        self.on_job_created(job)
+        try:
+            return json.dumps(self._finished(job, began))
+        except GenerationError:
+            self.counters["failed"] += 1
+            raise
+
+    def _finished(self, job: str, began: float) -> object:
+        limits = {WAITING: ("PROVIDER_QUEUE_TIMEOUT", self.options.queue_seconds), RUNNING: ("PROVIDER_EXECUTION_TIMEOUT", self.options.queue_seconds + self.options.execution_seconds)}
         while True:
             if self.cancelled():
-                self.cancel(self.last_job)
+                self.cancel(job)
                 raise GenerationError("GENERATION_CANCELLED")
-            try:
-                answer, failures = self._request("GET", f"status/{self.last_job}"), 0
-                self.counters["polls"] += 1
-            except _Retryable:
-                failures += 1
-                self.counters["retries"] += 1
-                if failures > self.options.poll_retries:
-                    raise
-                self.clock.sleep(min(0.25, self.options.poll_seconds))
-                continue
-            state, now = str(answer.get("status", "")).upper(), self.clock.monotonic()
+            answer = self._poll(job)
+            state = str(answer.get("status", "")).upper()
             self.on_state(state)
             if state in DONE:
+                output = answer.get("output")
+                if isinstance(output, dict) and isinstance(output.get("error"), dict):
+                    raise GenerationError("WORKER_ERROR")
                 self.counters["completed"] += 1
-                return json.dumps(answer.get("output"))
+                return output
             if state in FAILED:
                 raise GenerationError(FAILED[state])
-            if state in RUNNING:
-                running_since = now if running_since is None else running_since
-            elif state not in WAITING:
+            held = next((limit for states, limit in limits.items() if state in states), None)
+            if held is None:
                 raise GenerationError("PROVIDER_UNKNOWN_STATUS", state[:40])
-            if running_since is None and now - began > self.options.queue_seconds:
-                self.cancel(self.last_job)
-                raise GenerationError("PROVIDER_QUEUE_TIMEOUT")
-            if running_since is not None and now - running_since > self.options.execution_seconds:
-                self.cancel(self.last_job)
-                raise GenerationError("PROVIDER_EXECUTION_TIMEOUT")
+            if self.clock.monotonic() - began > held[1]:
+                self.cancel(job)
+                raise GenerationError(held[0])
             self.clock.sleep(self.options.poll_seconds)
 
 

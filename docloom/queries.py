@@ -117,36 +117,69 @@ def grounding_after_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return validation.grounding_summary(*_grounding(spark, sf), mode="post_dedup")
 
 
-def _report_parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    records, per_record = _grounding(spark, sf)
-    grounding = validation.grounding_summary(records, per_record)
-    near = cut_lineage(validation.near_duplicates(records))
-    issues = validation.issue_order(validation.all_issues(records, _evidence(records), _sources(spark, sf), near))
-    return quality.quality_summary(records, grounding, issues, near), grounding, issues
+def _checked(spark: SparkSession, sf: str, near: DataFrame | None = None) -> validation.Checked:
+    """All checks of the records, with every job of the table, also those without records."""
+    records = cut_lineage(_records(spark, sf))
+    return validation.check_records(records, _sources(spark, sf), read_table(spark, sf, "jobs"), near)
+
+
+def _given_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs that SQL can find, in the place of near-duplicate ones: equal instructions in a job."""
+    one = _records(spark, sf).where(F.col("instruction").isNotNull()).select("job_id", F.col("rec_pos").alias("left_pos"), "instruction")
+    return one.join(one.withColumnRenamed("left_pos", "right_pos"), ["job_id", "instruction"]).where("left_pos < right_pos").select("job_id", "left_pos", "right_pos")
+
+
+def _summary(found: validation.Checked, spark: SparkSession, sf: str) -> DataFrame:
+    return quality.quality_summary(found.records, found.grounding, found.issues, found.near, marks=found.marks, jobs=read_table(spark, sf, "jobs"))
+
+
+def _kept(found: validation.Checked) -> DataFrame:
+    return found.records.join(found.marks.where(~F.col("is_duplicate")).select("job_id", "rec_pos"), ["job_id", "rec_pos"], "left_semi").withColumn("record_id", validation.record_name())
 
 
 def quality_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return _report_parts(spark, sf)[0]
+    return _summary(_checked(spark, sf), spark, sf)
+
+
+def quality_summary_given(spark: SparkSession, sf: str) -> DataFrame:
+    """The quality summary with given pairs, so that SQL can check it."""
+    return _summary(_checked(spark, sf, _given_pairs(spark, sf)), spark, sf)
 
 
 def record_summaries(spark: SparkSession, sf: str) -> DataFrame:
-    records, grounding = _grounding(spark, sf)
-    near = cut_lineage(validation.near_duplicates(records))
-    issues = validation.issue_order(validation.all_issues(records, _evidence(records), _sources(spark, sf), near))
-    kept = validation.exact_duplicates(records).where(~F.col("is_duplicate"))
-    return quality.record_summaries(grounding, issues, kept).withColumn("issue_codes", F.array_join("issue_codes", ","))
+    found = _checked(spark, sf, _given_pairs(spark, sf))  # pairs have no part in a record's summary
+    return quality.record_summaries(found.per_record, found.issues, _kept(found)).withColumn("issue_codes", F.array_join("issue_codes", ","))
 
 
 def validation_overview(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.validation_overview(_report_parts(spark, sf)[0])
+    """What a caller sees of the quality summary with given pairs."""
+    return quality.validation_overview(quality_summary_given(spark, sf))
 
 
 def validation_issues(spark: SparkSession, sf: str) -> DataFrame:
-    return _report_parts(spark, sf)[2].select("job_id", "issue_pos", "rec_pos", "code", "severity", "field")
+    """Issues in report order with given pairs."""
+    issues = _checked(spark, sf, _given_pairs(spark, sf)).issues
+    return issues.select("job_id", "issue_pos", F.coalesce("rec_pos", F.lit(-1)).alias("rec_pos"), "code", "severity", F.coalesce("field", F.lit("")).alias("field"), F.coalesce("record_id", F.lit("")).alias("record_id"))
 
 
 def validation_reports(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.report_document(*_report_parts(spark, sf))
+    found = _checked(spark, sf)
+    return quality.report_document(_summary(found, spark, sf), found.grounding, found.issues, quality.record_summaries(found.per_record, found.issues, _kept(found)))
+
+
+def provider_shapes(spark: SparkSession, sf: str) -> DataFrame:
+    """Records written as answers of twelve shapes, good and bad, and what the parser makes of them."""
+    records = _records(spark, sf).withColumn("instruction", F.coalesce("instruction", F.lit("")))
+    item = F.struct("instruction", F.lit("C").alias("context"))
+    body = F.to_json(F.struct(F.array(item).alias("records")))
+    said = lambda text: F.to_json(F.struct(F.lit("x").alias("id"), F.array(F.struct(F.struct(F.lit("assistant").alias("role"), text.alias("content")).alias("message"))).alias("choices")))
+    failed = F.lit('{"id": "x", "error": {"message": "m"}}')
+    shapes = [
+        body, F.concat(F.lit("["), said(body), F.lit("]")), F.to_json(F.struct(F.lit("x").alias("id"), F.array(F.struct(body.alias("text"))).alias("choices"))), failed, F.to_json(F.array(item)), said(F.concat(F.lit("```json\n"), body, F.lit("\n```"))),
+        F.lit("[1, 2]"), F.lit('{"id": "x", "choices": []}'), F.to_json(F.struct(F.array(F.struct(F.struct(body.alias("reasoning")).alias("message"))).alias("choices"))), F.concat(F.lit("["), failed, F.lit("]")), said(F.concat(F.lit("Here: "), body, F.lit(" done"))), F.concat(F.lit("["), F.to_json(item), F.lit(', {"id": 3}]')),
+    ]
+    raw = records.select("record_id", F.get(F.array(*shapes), (F.col("record_id") % len(shapes)).cast("int")).alias("output"))
+    return provider_output.parse_outputs(raw).select("record_id", F.coalesce("error", F.lit("")).alias("error"), F.coalesce("item.instruction", F.lit("")).alias("instruction"))
 
 
 def csv_projection(spark: SparkSession, sf: str) -> DataFrame:
@@ -179,7 +212,8 @@ def category_frequencies(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def review_batches(spark: SparkSession, sf: str) -> DataFrame:
-    return review.review_batches(review.review_payload(_records(spark, sf)), 4096, 600, 900)
+    records = _records(spark, sf)
+    return review.review_batches(review.review_costs(records), read_table(spark, sf, "jobs").select("job_id", "prompt"), 4096)
 
 
 def review_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -214,11 +248,19 @@ def manifests(spark: SparkSession, sf: str) -> DataFrame:
     return export.manifest(jobs, F.col("created_at"), {"schema_version": quality.SCHEMA_VERSION})
 
 
+def package_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    """Flat package metadata of every job, with a report of its status and record counts and no review."""
+    made = manifests(spark, sf)
+    counts = _records(spark, sf).groupBy("job_id").agg(F.count(F.lit(1)).alias("final_record_count"))
+    reports = counts.select("job_id", F.to_json(F.struct(F.lit("passed").alias("status"), F.struct("final_record_count").alias("quality"))).alias("report"))
+    return export.package_metadata(made, reports)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         document_statistics, structure_analysis, extract_elements, section_paths, batch_plan, context_batches, requested_counts, alias_units, normalize_text, structural_errors, field_issues, reference_issues,
-        evidence_checks, evidence_checks_native, exact_duplicates, near_duplicates, grounding_summary, grounding_summary_native, grounding_after_dedup, quality_summary, record_summaries, validation_overview, validation_issues, validation_reports,
-        csv_projection, provider_parse, assembled_records, category_frequencies, review_batches, review_summary, revised_records, safe_names, semantic_texts, manifests,
+        evidence_checks, evidence_checks_native, exact_duplicates, near_duplicates, grounding_summary, grounding_summary_native, grounding_after_dedup, quality_summary, quality_summary_given, record_summaries, validation_overview, validation_issues, validation_reports,
+        csv_projection, provider_parse, provider_shapes, assembled_records, category_frequencies, review_batches, review_summary, revised_records, safe_names, semantic_texts, manifests, package_metadata,
     )
 }

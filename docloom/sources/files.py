@@ -3,20 +3,56 @@
 from __future__ import annotations
 
 import importlib.util
+import os
+import time
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.functions.text import extension, safe_filename
 from docloom.operators.extraction import extract_lines, label_kind, table_rows
+from docloom.session import cut_lineage
 
 ALLOWED = (".pdf", ".docx", ".txt")
 MAX_BYTES = 25 * 1024 * 1024
 
 
+def _listed(path: str, deep: bool) -> list[tuple[str, bool, int]]:
+    """(address, whether it is a directory, size) of what lies in a directory, at any depth if ``deep``, or of a file itself."""
+    uri = path if "://" in path else "file://" + os.path.abspath(path.removeprefix("file:"))
+    system, inside = pafs.FileSystem.from_uri(uri)
+    scheme, _, rest = uri.partition("://")
+    front = "file:" if scheme == "file" else f"{scheme}://" + ("" if rest.startswith(inside.lstrip("/").split("/")[0]) else rest.split("/")[0])
+    info = system.get_file_info(inside)
+    found = system.get_file_info(pafs.FileSelector(inside, recursive=deep)) if info.type == pafs.FileType.Directory else [info]
+    return [(front + i.path, i.type == pafs.FileType.Directory, int(i.size or 0)) for i in found]
+
+
+def empty_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path) of the files without content under ``path``, which a scan has no split and so no row for.
+
+    Listed by tasks: one lists the top level, the rest its directories; nothing comes to the driver.
+    """
+
+    def level(deep: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for p in batch["path"]:
+                    yield pd.DataFrame(_listed(p, deep), columns=["path", "directory", "size"])
+
+        return work
+
+    schema = "path string, directory boolean, size long"
+    top = cut_lineage(spark.createDataFrame([(path,)], "path string").mapInPandas(level(False), schema))
+    below = top.where("directory").select("path").repartition("path").mapInPandas(level(True), schema)
+    return top.union(below).where("NOT directory AND size = 0").select("path")
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, source_filename, extension, content and code of every file under ``path``.
 
@@ -27,11 +63,9 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     name = safe_filename(F.col("path"))
     code = F.when(~extension(name).isin(*ALLOWED), "UNSUPPORTED_DOCUMENT").when(F.col("length") == 0, "EMPTY_FILE").when(F.col("length") > MAX_BYTES, "FILE_TOO_LARGE")
-    # a scan has no split, and so no row, for an empty file; the listing that the reader holds has it
     same = lambda p: F.regexp_replace(p, "^file:/+", "file:/")
-    raw = raw.withColumn("path", same(F.col("path")))
-    listed = spark.createDataFrame([(p,) for p in raw.inputFiles()], "path string").select(same(F.col("path")).alias("path")).join(raw.select("path"), "path", "left_anti")
-    raw = raw.select("path", "length", "content").unionByName(listed.select("path", F.lit(0).cast("long").alias("length"), F.lit(None).cast("binary").alias("content")))
+    empty = empty_files(spark, path).select(same(F.col("path")).alias("path"), F.lit(0).cast("long").alias("length"), F.lit(None).cast("binary").alias("content"))
+    raw = raw.where(F.col("length") > 0).select(same(F.col("path")).alias("path"), "length", "content").unionByName(empty)
     return raw.select(F.substring(F.sha2("path", 256), 1, 32).alias("doc_id"), name.alias("source_filename"), extension(name).alias("extension"), F.when(code.isNull(), F.col("content")).alias("content"), code.alias("code"))
 
 
@@ -127,3 +161,12 @@ def extract_files(files: DataFrame, converter: Callable[[bytes, str], Iterator[d
         return elements, failures.unionByName(missing)
     items = layout_items(files, converter)
     return elements.unionByName(layout_elements(items)), failures.unionByName(items.where(F.col("code").isNotNull()).select("doc_id", "code"))
+
+
+def drop_stale_uploads(folder: Path, max_age_hours: float = 24, now: float | None = None) -> int:
+    """Removes the files directly in an upload folder that are older than the limit, and says how many; directories and finished packages stay."""
+    limit = (time.time() if now is None else now) - max_age_hours * 3600
+    stale = [p for p in folder.iterdir() if p.is_file() and p.stat().st_mtime < limit] if folder.exists() else []
+    for p in stale:
+        p.unlink(missing_ok=True)
+    return len(stale)

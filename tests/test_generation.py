@@ -19,7 +19,10 @@ def chat(content):
 
 BODY = json.dumps({"records": [RECORD]})
 GOOD = [BODY, json.dumps([RECORD]), chat(BODY), "[" + chat(BODY) + "]", chat("```json\n" + BODY + "\n```"), chat("Here: " + BODY + " bye"), json.dumps({"choices": [{"text": BODY}]}), json.dumps({"choices": [{"message": {"content": "  "}, "output": BODY}]})]
+GOOD += [json.dumps([{"id": "x", "choices": [{"message": {"content": BODY}}]}]), json.dumps({"id": "x", "model": "m", "choices": [{"message": {"role": "assistant", "content": BODY}}]}), json.dumps(BODY), json.dumps({"id": "x", "records": [RECORD], "error": "none"})]
 BAD = {"": "STRUCTURED_OUTPUT_INVALID", "words": "STRUCTURED_OUTPUT_INVALID", json.dumps({"records": []}): "STRUCTURED_OUTPUT_INVALID", json.dumps({"choices": []}): "STRUCTURED_OUTPUT_INVALID", json.dumps({"error": {"message": "x"}}): "WORKER_ERROR", chat(""): "STRUCTURED_OUTPUT_INVALID", json.dumps({"choices": [{"message": {"reasoning": BODY}}]}): "STRUCTURED_OUTPUT_INVALID", None: "STRUCTURED_OUTPUT_INVALID"}
+BAD |= {json.dumps([{"id": "x", "choices": [], "error": {"message": "x"}}]): "WORKER_ERROR", json.dumps({"id": "x", "error": {"message": "x"}, "choices": []}): "WORKER_ERROR"}
+BAD |= {json.dumps(x): "STRUCTURED_OUTPUT_INVALID" for x in ([{"id": "x", "error": {"m": 1}}], [1, 2], [RECORD, "x"], [RECORD, None], [RECORD, {"id": 3}], {"records": {"a": 1}}, {"records": "x"}, {"choices": None}, {"choices": [{"message": {"content": 5}}]}, [[RECORD]], 5, None, {})}
 
 
 def test_parsing(spark):
@@ -102,3 +105,22 @@ def test_cancel(spark, unit_rows):
     with pytest.raises(GenerationError) as e:
         generate(spark, "job", unit_rows, "Make 8 records", provider, cancelled=lambda: provider.calls >= 1)
     assert e.value.code == "GENERATION_CANCELLED" and provider.calls == 1
+
+
+class Loose(OfflineProvider):
+    """Cites well, but says nothing of a category in the first answer."""
+
+    def __init__(self):
+        self.asked = []
+
+    def generate(self, messages, schema, max_tokens):
+        self.asked.append(messages)
+        answer = super().generate(messages, schema, max_tokens)
+        return answer.replace('\\"category\\": \\"general\\"', '\\"category\\": \\" \\"') if len(self.asked) == 1 else answer
+
+
+def test_a_batch_that_is_not_grounded_is_repaired_with_its_answer(spark, unit_rows):
+    provider = Loose()
+    records, run = generate(spark, "job", unit_rows, "Make 8 records", provider, BatchOptions(32768, 4, 4))
+    assert (run.calls, run.repairs, run.repair_reason, records.count()) == (3, 1, "BATCH_GROUNDING_FAILED", 8)
+    assert "Answer given before:" in provider.asked[-1][-1]["content"] and "choices" in provider.asked[-1][-1]["content"]

@@ -5,8 +5,10 @@ import json
 import pytest
 
 from docloom.plans.generation import GenerationError
-from docloom.plans.pipeline import finish
+from docloom.plans.jobs import Jobs
+from docloom.plans.pipeline import RevisionPolicy, finish
 from docloom.plans.provider import JobProvider, ProviderOptions, build_request, schema_digest
+from docloom.plans.stages import Converters
 from tests.test_validation import SCHEMA, record
 
 
@@ -39,7 +41,33 @@ def provider(answers, **options):
 def test_submits_once_and_polls_through_failures():
     p, calls = provider([(503, {}), (200, {"status": "IN_QUEUE"}), OSError(), (429, {}), (200, {"status": "IN_PROGRESS"}), (200, {"status": "COMPLETED", "output": {"records": []}})])
     assert json.loads(p.generate([], {}, 10)) == {"records": []}
-    assert calls.count(("POST", "run")) == 1 and p.counters["retries"] == 3 and p.counters["polls"] == 3
+    assert calls.count(("POST", "run")) == 1 and p.counters["retries"] == 3 and p.counters["polls"] == 6 and p.counters["completed"] == 1 and p.counters["failed"] == 0
+
+
+def test_time_limits_count_from_the_submission():
+    answers = [(200, {"status": "IN_QUEUE"})] * 20 + [(200, {"status": "IN_PROGRESS"})]
+    p, _ = provider(answers, queue_seconds=30, execution_seconds=60)
+    with pytest.raises(GenerationError) as e:
+        p.generate([], {}, 10)
+    assert e.value.code == "PROVIDER_EXECUTION_TIMEOUT" and 90 < p.clock.now < 95 and p.counters["failed"] == 1
+
+
+def test_jobs():
+    jobs = Jobs(files={"f": "upload"})
+    assert jobs.start("a", "f").status == "queued" and jobs.start("b", "f") is None and jobs.get("b") is None
+    assert jobs.update("a", status="generating", percent=50).percent == 50 and jobs.update("a", percent=40).percent == 50
+    assert jobs.cancel("a").error == "GENERATION_CANCELLED" and jobs.update("a", status="completed").status == "cancelled" and jobs.cancelled("a")
+    assert jobs.start("b", "f").job_id == "b" and jobs.update("zz") is None
+    with pytest.raises(KeyError):
+        jobs.start("c", "none")
+
+
+def test_converters_by_type():
+    converters = Converters()
+    converters.register(lambda content, kind: iter([{"text": "one"}]), ".PDF", ".docx")
+    assert list(converters(b"", ".pdf")) == [{"text": "one"}]
+    with pytest.raises(ValueError):
+        converters(b"", ".odt")
 
 
 @pytest.mark.parametrize(
@@ -58,7 +86,7 @@ def test_options_and_request():
         with pytest.raises(GenerationError):
             ProviderOptions.from_mapping(bad)
     options = ProviderOptions.from_mapping({"endpoint": "x", "model": "m", "records_per_batch": "2"})
-    assert options.records_per_batch == 2 and build_request(options, [], {}, 5)["input"]["temperature"] == 0.2
+    assert options.records_per_batch == 2 and build_request(options, [], {}, 5)["input"]["openai_input"]["temperature"] == 0.2
     assert schema_digest({"b": 1, "a": 2}) == schema_digest({"a": 2, "b": 1})
 
 
@@ -97,6 +125,14 @@ def test_review_without_findings(spark, dataset):
     assert finish(spark, *dataset, "prompt").review is None
 
 
+def test_no_revision_beyond_the_policy(spark, dataset):
+    blocked = {"issues": [ISSUE], "summary": "one"}
+    for options in ({"spent": 1}, {"policy": RevisionPolicy(allow_quality_revision=False)}):
+        with pytest.raises(GenerationError) as e:
+            finish(spark, *dataset, "prompt", Script(blocked), **options)
+        assert e.value.code == "QUALITY_REVIEW_BLOCKED"
+
+
 def test_one_targeted_revision(spark, dataset):
     p = Script({"issues": [ISSUE], "summary": "one"}, {"records": [NEW]}, CLEAN)
     out = finish(spark, *dataset, "prompt", p)

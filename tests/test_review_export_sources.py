@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.operators import export, review
-from docloom.sources.files import extract_files, read_files
+from docloom.sources.files import drop_stale_uploads, extract_files, read_files
 from docloom.streaming.elements import arrivals, drop_redelivered, stream_elements, write_stream
 
 ISSUE = {"code": "WEAK_CONTEXT", "severity": "blocking", "record_ids": ["r1"], "message": "m", "suggested_action": "a"}
@@ -17,13 +17,13 @@ def body(**change):
     return json.dumps({"issues": [ISSUE | change], "summary": "s"})
 
 
-VALID = [json.dumps({"issues": [], "summary": ""}), body(), json.dumps({"choices": [{"message": {"content": "```json\n" + body() + "\n```"}}]}), json.dumps({"issues": [ISSUE], "summary": "x" * 600})]
-INVALID = ["", "[]", json.dumps({"issues": []}), json.dumps({"issues": [], "summary": "s", "grade": 5}), body(code="NEW"), body(severity="low"), body(record_ids=["r9"]), body(message=" "), body(message="m" * 321), body(suggested_action="a" * 241), body(extra=1), json.dumps({"issues": [ISSUE] * 26, "summary": "s"}), json.dumps({"issues": [{k: v for k, v in ISSUE.items() if k != "message"}], "summary": "s"})]
+VALID = [json.dumps({"issues": [], "summary": ""}), body(), json.dumps({"choices": [{"message": {"content": "```json\n" + body() + "\n```"}}]}), json.dumps({"issues": [ISSUE], "summary": "x" * 600}), json.dumps([{"id": "x", "choices": [{"message": {"content": body()}}]}]), "Here: " + body() + " done"]
+INVALID = ["", "[]", json.dumps({"issues": []}), json.dumps({"issues": [], "summary": "s", "grade": 5}), body(code="NEW"), body(severity="low"), body(record_ids=["r9"]), body(message=" "), body(message="m" * 321), body(suggested_action="a" * 241), body(extra=1), json.dumps({"issues": [ISSUE] * 26, "summary": "s"}), json.dumps({"issues": [], "summary": 5}), json.dumps({"issues": [], "summary": {"a": 1}}), json.dumps({"issues": [{k: v for k, v in ISSUE.items() if k != "message"}], "summary": "s"})]
 
 
 def test_strict_parsing(spark):
     df = spark.createDataFrame(list(enumerate([*VALID, *INVALID])), "n int, o string")
-    out = {r.n: r.p for r in df.select("n", review.parse_review(F.col("o"), F.array(F.lit("r1"), F.lit("r2"))).alias("p")).collect()}
+    out = {r.n: r.p for r in review.parse_review(df, F.array(F.lit("r1"), F.lit("r2")), "o").collect()}
     assert [out[i].error for i in range(len(VALID))] == [None] * len(VALID)
     assert [out[len(VALID) + i].error for i in range(len(INVALID))] == ["QUALITY_REVIEW_INVALID"] * len(INVALID)
     assert len(out[3].summary) == 500 and out[1].issues[0].record_ids == ["r1"]
@@ -38,17 +38,31 @@ def test_summary_ignores_the_models_severity_and_caps(spark):
 
 
 def test_review_batches_follow_the_fold(spark):
-    sizes = [3000, 900, 1200, 5000, 10, 10]
-    payload = spark.createDataFrame([("j", i, "x" * n) for i, n in enumerate(sizes)], "job_id string, rec_pos int, payload string")
-    got = [r.review_batch for r in review.review_batches(payload, 2048, 400, 800).orderBy("rec_pos").collect()]
-    batch, tokens, held, expected = 1, 300, 0, []
-    for n in sizes:
-        cost = (n + 3) // 4
-        if held and tokens + cost > 1024:
-            batch, tokens, held = batch + 1, 100, 0
-        held, tokens = held + 1, tokens + cost
+    rows = []
+    for i, n in enumerate((3000, 900, 1200, 5000, 10, 10)):
+        rows.append(("j", i, "q\n" + "x" * n, "in\"", "out\\", {"record_id": f"r{i}", "note": "\u0001 \t"}, "é", "", "general", "easy", ["s1", "s2"][: i % 3], [("s1", "quote")] * (i % 2)))
+    schema = "job_id string, rec_pos int, instruction string, input_text string, output_text string, metadata map<string,string>, context string, expected_output string, category string, difficulty string, source_refs array<string>, evidence array<struct<source_ref:string,quote:string>>"
+    df = spark.createDataFrame(rows, schema)
+    prompts = spark.createDataFrame([("j", "p" * 300), ("other", "p")], "job_id string, prompt string")
+    got = [r.review_batch for r in review.review_batches(review.review_costs(df), prompts, 2048).orderBy("rec_pos").collect()]
+    tokens = lambda text: max(1, (len(text) + 3) // 4)
+    fixed = tokens(review.SYSTEM + "p" * 300)
+    batch, total, held, expected = 1, fixed + tokens(json.dumps(review.review_schema(), sort_keys=True)), 0, []
+    for row in rows:
+        values = dict(zip(["instruction", "input", "output", "metadata", "context", "expected_output", "category", "difficulty", "source_refs"], row[2:11]))
+        whole = json.dumps(values | {"evidence": [{"source_ref": r, "quote": q} for r, q in row[11]]}, ensure_ascii=False)
+        cost = tokens(whole)
+        if held and total + cost > 1024:
+            batch, total, held = batch + 1, fixed, 0
+        held, total = held + 1, total + cost
         expected.append(batch)
     assert got == expected
+    assert [r.cost for r in review.review_costs(df).orderBy("rec_pos").limit(1).collect()] == [tokens(json.dumps(dict(zip(["instruction", "input", "output", "metadata", "context", "expected_output", "category", "difficulty", "source_refs"], rows[0][2:11])) | {"evidence": []}, ensure_ascii=False))]
+
+
+def test_top_issues(spark):
+    issues = spark.createDataFrame([("j", 2 - i // 4, i % 4) for i in range(8)] + [("k", 1, 0)], "job_id string, batch int, pos int")
+    assert sorted((r.job_id, r.batch, r.pos) for r in review.top_issues(issues).collect()) == [("j", 1, 0), ("j", 1, 1), ("j", 1, 2), ("j", 1, 3), ("j", 2, 0), ("k", 1, 0)]
 
 
 def test_revision(spark):
@@ -88,11 +102,15 @@ def test_csv_and_package(spark, tmp_path):
 
 
 def test_metadata_and_diagnostics(spark):
-    manifests = spark.createDataFrame([("j", '{"format": "csv"}'), ("k", "{}")], "job_id string, manifest string")
-    summary = spark.createDataFrame([("j", "passed", 3)], "job_id string, status string, final int")
-    reviews = spark.createDataFrame([("k", 2)], "job_id string, issues_found int")
-    out = {r.job_id: json.loads(r.metadata) for r in export.package_metadata(manifests, summary, reviews).collect()}
-    assert out["j"] == {"manifest": {"format": "csv"}, "quality": {"status": "passed", "final": 3}, "review": None} and out["k"]["review"] == {"issues_found": 2}
+    manifests = spark.createDataFrame([("j", '{"format": "csv", "record_count": 4, "validation_status": "failed"}'), ("k", "{}")], "job_id string, manifest string")
+    reports = spark.createDataFrame([("j", json.dumps({"status": "passed", "quality": {"final_record_count": 3, "near_duplicate_pairs": 1}, "grounding": {"status": "passed", "grounded_records": 3}}))], "job_id string, report string")
+    reviews = spark.createDataFrame([("k", json.dumps({"revisionAttempted": True, "status": "passed"}))], "job_id string, review string")
+    out = {r.job_id: json.loads(r.metadata) for r in export.package_metadata(manifests, reports, reviews).collect()}
+    assert len(export.METADATA_FIELDS) == 24 and all(list(m) == [f[0] for f in export.METADATA_FIELDS] for m in out.values())
+    j, k = out["j"], out["k"]
+    assert (j["format"], j["recordCount"], j["finalRecordCount"], j["validationStatus"], j["groundedRecords"], j["nearDuplicateCount"], j["reviewStatus"], j["revisionCount"]) == ("csv", 4, 3, "passed", 3, 1, "not_evaluated", 0)
+    assert (k["validationStatus"], k["groundingStatus"], k["revisionAttempted"], k["revisionCount"], k["reviewStatus"]) == (None, "not_evaluated", True, 1, "passed")
+    assert json.loads(export.package_metadata(manifests, reports).where("job_id = 'k'").first().metadata)["revisionAttempted"] is False
     row = spark.sql("SELECT map('polls', '3', 'secret', 'x') AS m").select(export.diagnostics(F.col("m")).alias("d")).first()
     assert row.d == {"polls": 3}
     issues = spark.createDataFrame([(1, ["a", "b"]), (2, ["c"])], "n int, record_ids array<string>")
@@ -117,12 +135,14 @@ def test_files(spark, tmp_path):
         head = Item(label="section_header", text=" Head ")
         yield from [head, head, Item(label="table", text="a | b\nc|d", page=2), Item(label="text", text="  ")]
 
+    (tmp_path / "below" / "deep").mkdir(parents=True)
+    (tmp_path / "below" / "deep" / "h.txt").write_bytes(b"")
     files = read_files(spark, str(tmp_path))
     elements, failures = extract_files(files, convert)
     names = {r.doc_id: r.source_filename for r in files.collect()}
     got = sorted((names[r.doc_id], r.ord, r.element_type, r.text) for r in elements.collect())
     assert got == [("a.txt", 1, "heading", "TITLE"), ("a.txt", 2, "paragraph", "line é"), ("b.txt", 1, "paragraph", "café €"), ("g.docx", 1, "heading", "Head"), ("g.docx", 3, "table", "a | b\nc | d")]
-    assert {(names[r.doc_id], r.code) for r in failures.collect()} == {("c.txt", "EXTRACTION_FAILED"), ("d.txt", "EMPTY_FILE"), ("e.exe", "UNSUPPORTED_DOCUMENT"), ("f.pdf", "CORRUPT_DOCUMENT")}
+    assert {(names[r.doc_id], r.code) for r in failures.collect()} == {("c.txt", "EXTRACTION_FAILED"), ("d.txt", "EMPTY_FILE"), ("h.txt", "EMPTY_FILE"), ("e.exe", "UNSUPPORTED_DOCUMENT"), ("f.pdf", "CORRUPT_DOCUMENT")}
     assert {r.code for r in extract_files(files)[1].collect()} >= {"EXTRACTOR_UNAVAILABLE"}
 
 
@@ -152,3 +172,26 @@ def test_queries_run(spark, name):
 
     assert __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001").limit(1).count() == 1
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_stale_uploads_and_packages(tmp_path):
+    import os
+
+    for name, age in (("old", 30), ("new", 1)):
+        (tmp_path / name).write_text("x")
+        os.utime(tmp_path / name, (1_000_000 - age * 3600, 1_000_000 - age * 3600))
+    (tmp_path / "folder").mkdir()
+    assert drop_stale_uploads(tmp_path, now=1_000_000) == 1 and sorted(p.name for p in tmp_path.iterdir()) == ["folder", "new"]
+    assert drop_stale_uploads(tmp_path / "none") == 0
+    job = "a" * 32
+    (tmp_path / job).mkdir()
+    assert export.ready_package(tmp_path, job, "completed") is None
+    (tmp_path / job / "dataset.zip").write_text("x")
+    assert export.ready_package(tmp_path, job, "completed") and export.ready_package(tmp_path, job, "running") is None and export.ready_package(tmp_path, "../x", "completed") is None
+
+
+def test_sizes(spark):
+    from docloom.functions.text import human_size
+
+    rows = spark.createDataFrame([(0,), (1023,), (1536,), (5 * 1024 * 1024,)], "n long").select(human_size(F.col("n")).alias("s")).collect()
+    assert [r.s for r in rows] == ["0 B", "1023 B", "1.5 KB", "5.0 MB"]

@@ -72,6 +72,39 @@ def test_near_duplicates_against_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == expected and expected
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.7, 1.0])
+def test_near_duplicates_at_other_thresholds(spark, monkeypatch, threshold):
+    monkeypatch.setattr(V, "MEET", 3)  # so that every class is spread
+    rng = random.Random(8)
+    words = ["pump", "valve", "archive", "team", "restart", "cabinet"]
+    rows = [record(i, job=f"j{i % 2}", instruction=" ".join(rng.choices(words, k=12)), context="Context") for i in range(40)]
+    texts = {}
+    for r in rows:
+        texts.setdefault(r[0], []).append((r[1], _normal("|".join((r[2], r[5], r[6], r[7], r[8])))))
+    expected = {(job, a, b) for job, own in texts.items() for a, x in own for b, y in own if a < b and SequenceMatcher(None, x, y).ratio() >= threshold}
+    got = [(r.job_id, r.left_pos, r.right_pos) for r in V.near_duplicates(make(spark, rows), threshold).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
+    with pytest.raises(ValueError):
+        V.near_duplicates(make(spark, rows), 0)
+
+
+def test_jobs_without_records(spark, sources):
+    jobs = spark.createDataFrame([("j",), ("empty",), ("empty",)], "job_id string")
+    found = V.check_records(make(spark, [record(0)]), sources, jobs)
+    assert [(r.job_id, r.code, r.severity, r.record_id) for r in found.issues.collect()] == [("empty", "ZERO_RECORDS", "error", None)]
+    summary = quality_summary(found.records, found.grounding, found.issues, found.near, marks=found.marks, jobs=jobs)
+    assert {r.job_id: (r.status, r.generated, r.errors) for r in summary.collect()} == {"j": ("passed", 1, 0), "empty": ("failed", 0, 1)}
+    kept = found.records.withColumn("record_id", V.record_name())
+    out = {r.job_id: json.loads(r.report) for r in report_document(summary, found.grounding, found.issues, record_summaries(found.per_record, found.issues, kept)).collect()}
+    assert out["empty"]["issues"][0]["message"] == V.MESSAGES["ZERO_RECORDS"] and out["empty"]["grounding"]["status"] == "failed"
+    assert out["j"]["records"]["recordSummaries"] == [{"recordId": "record-1", "groundingStatus": "passed", "sourceRefs": 1, "evidenceItems": 1, "verifiedEvidenceItems": 1, "issueCodes": []}]
+
+
+def test_messages_name_fields_and_records(spark, sources):
+    found = V.check_records(make(spark, [record(0, instruction=" "), record(1, quotes=(("s1", "x"),))]), sources)
+    assert {(r.rec_pos, r.message, r.record_id) for r in found.issues.collect()} == {(0, "A required field has no content: instruction.", "record-1"), (1, "A quote has fewer than 5 characters.", "record-2")}
+
+
 def parts(spark, sources, rows, mode="compat"):
     records = make(spark, rows)
     evidence = evidence_of(records)
