@@ -44,26 +44,36 @@ def _joined(text: str, at: int) -> bool:
     return 0 < at < len(text) and (unicodedata.combining(text[at]) > 0 or text[at] in "\u200D\uFE0F" or text[at - 1] == "\u200D")
 
 
-def cut_points(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]]:
+#: Share of the limit that a piece fills before a boundary of a finer level is looked for.
+FILL = 0.5
+
+
+def cut_points(text: str, limit: int, overlap: int, fill: float = FILL) -> list[tuple[int, int, str]]:
     """(start, end, level of the cut at the end) of each piece.
 
-    A piece starts exactly ``overlap`` characters before the end of the one before, so the text is
-    piece 1 followed by every later piece without its first ``overlap`` characters. Each cut lies
-    beyond the overlap, which makes every piece add something.
+    A piece starts ``overlap`` characters before the end of the one before (a few more where it would
+    part a letter from its marks), and the text is piece 1 followed by what each later piece has
+    beyond the end of the one before. The coarsest boundary that fills ``fill`` of the limit is cut
+    at; if there is none of any level, the coarsest there is. Each cut lies beyond the one before, so
+    every piece adds something.
     """
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and below the limit")
     if len(text) <= limit:
         return [(0, len(text), "end")]
     ends = [(name, [m.end() for m in pattern.finditer(text)]) for name, pattern in LEVELS]
-    out, start = [], 0
+    out, start, cut = [], 0, 0
     while len(text) - start > limit:
-        floor, most = start + overlap, start + limit
+        floor, most, found = max(cut, start + overlap), start + limit, None
         for name, at in ends:
             k = bisect_right(at, most) - 1
             if k >= 0 and at[k] > floor:
-                cut, level = at[k], name
-                break
+                found = found or (at[k], name)
+                if at[k] - start >= fill * limit:
+                    found = (at[k], name)
+                    break
+        if found:
+            cut, level = found
         else:
             cut, level = most, "character"
             while cut > floor + 1 and _joined(text, cut):
@@ -72,6 +82,10 @@ def cut_points(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]
                 cut = most
         out.append((start, cut, level))
         start = cut - overlap
+        while _joined(text, start) and cut - start < limit - 1:
+            start -= 1
+        if _joined(text, start):  # nothing but marks
+            start = cut - overlap
     out.append((start, len(text), "end"))
     return out
 
@@ -103,12 +117,14 @@ def split_oversized(df: DataFrame, keys: list[str], text: str, limit: int, overl
 
 
 def limits_in_characters(spark: SparkSession, sf_dir: str) -> dict[str, tuple[int, int]]:
-    """(limit, overlap) by item kind, in characters; the table has a fixed row for each kind.
+    """(limit, overlap) of the two item kinds, in characters.
 
     An estimated token stands for four characters, rounded up, so n tokens hold 4 n characters.
     """
     factor = {"characters": 1, "estimated_tokens": 4}
-    return {r.item_kind: (r.max_size * factor[r.size_unit], r.overlap_size * factor[r.size_unit]) for r in read_table(spark, sf_dir, "size_limits").limit(100).collect()}
+    wanted = read_table(spark, sf_dir, "size_limits").where(F.col("item_kind").isin("elements", "context_batches"))
+    one = wanted.groupBy("item_kind").agg(F.max(F.struct("max_size", "overlap_size", "size_unit")).alias("x")).select("item_kind", "x.*")
+    return {r.item_kind: (r.max_size * factor[r.size_unit], r.overlap_size * factor[r.size_unit]) for r in one.collect()}
 
 
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,6 +136,17 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).dropDuplicates(["src", "row_key", "piece_no"])
 
 
+def p3_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, row_key, text_md5, fits, overlaps): the digest of each text put together from its pieces, whether all pieces are within the limit, and whether all overlaps are as stated or a few marks more."""
+    limits = limits_in_characters(spark, sf_dir)
+    of = lambda i: F.when(F.col("src") == "elements", limits["elements"][i]).otherwise(limits["context_batches"][i])
+    parts = p3_pieces(spark, sf_dir).groupBy("src", "row_key").agg(F.array_sort(F.collect_list(F.struct("piece_no", "start", "end", "piece"))).alias("p"))
+    before = lambda i: F.get("p", i - 1).end
+    added = F.transform("p", lambda x, i: F.when(i == 0, x.piece).otherwise(F.substring(x.piece, before(i) - x.start + 1, F.length(x.piece))))
+    stated = F.forall(F.transform("p", lambda x, i: (i == 0) | (before(i) - x.start).between(of(1), of(1) + 10)), lambda ok: ok)
+    return parts.select("src", "row_key", F.md5(F.array_join(added, "")).alias("text_md5"), F.forall("p", lambda x: F.length(x.piece) <= of(0)).alias("fits"), stated.alias("overlaps"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, row_key) of the rows over the limit, taken from their pieces."""
     return p3_pieces(spark, sf_dir).where("piece_no = 2").select("src", "row_key")
@@ -130,3 +157,9 @@ SELECT DISTINCT 'elements' AS src, element_id AS row_key FROM elements WHERE len
 UNION
 SELECT DISTINCT 'context_batches', batch_key FROM context_batches WHERE greatest(1, (length(coalesce(text, '')) + 3) // 4) > (SELECT max_size FROM size_limits WHERE item_kind = 'context_batches')
 """
+
+P3_REBUILT_SQL = """
+SELECT DISTINCT 'elements' AS src, element_id AS row_key, md5(text) AS text_md5, true AS fits, true AS overlaps FROM elements WHERE length(text) > (SELECT max_size FROM size_limits WHERE item_kind = 'elements')
+UNION
+SELECT DISTINCT 'context_batches', batch_key, md5(text), true, true FROM context_batches WHERE greatest(1, (length(coalesce(text, '')) + 3) // 4) > (SELECT max_size FROM size_limits WHERE item_kind = 'context_batches')
+"""

@@ -52,7 +52,7 @@ def source_budgets(totals: pd.DataFrame, targets: pd.DataFrame, budget: float) -
     A source cannot give more than its tokens times its cap; what it lacks is shared among the others
     by their targets, so that the total stays as near to the budget as the caps allow.
     """
-    t = targets.merge(totals, on="source", how="left").fillna({"have": 0.0})
+    t = targets.merge(totals, on="source", how="left").fillna({"have": 0.0, "longest": 0.0})
     t["room"] = t["have"] * t["max_repeats"]
     t["want"], open_, left = 0.0, t["target_share"] > 0, budget
     while open_.any() and left > 0:
@@ -119,11 +119,11 @@ def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text: str =
     spark = docs.sparkSession
     tokens = cut_lineage(count_tokens(docs, id_col, text, source, tokenizer))
     goal = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).toPandas()
-    per = tokens.groupBy("source").agg(F.sum("tokens").alias("have"), F.count(F.lit(1)).alias("docs"))
+    per = tokens.groupBy("source").agg(F.sum("tokens").alias("have"), F.count(F.lit(1)).alias("docs"), F.max("tokens").alias("longest"))
     total = float(tokens.agg(F.sum("tokens")).first()[0] or 0.0)
     # only sources of the target table come to the driver
     wanted_sources = broadcast_checked(targets.select("source").distinct())
-    have = per.join(wanted_sources, "source", "left_semi").toPandas().astype({"have": float, "docs": float})
+    have = per.join(wanted_sources, "source", "left_semi").toPandas().astype({"have": float, "docs": float, "longest": float})
     budgets = source_budgets(have, goal, total * share_of_corpus)
     tilt = balance(tokens, budgets)
     plan = budgets.merge(tilt, on="source", how="left")
@@ -153,12 +153,12 @@ def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text: str =
     taken = rated.join(F.broadcast(edges), "source").withColumn("copies", (F.col("whole") + F.when(F.col("gap") < F.col("edge"), F.col("free")).otherwise(0)).cast("long"))
     copies = taken.where("copies > 0").select("id", "source", "tokens", "copies")
     used = copies.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"), F.max("copies").alias("most_copies"))
-    report = spark.createDataFrame(plan[["source", "target_share", "max_repeats", "have", "want"]].astype({"have": float, "want": float})) if len(plan) else None
+    report = spark.createDataFrame(plan[["source", "target_share", "max_repeats", "have", "want", "longest"]].astype({"have": float, "want": float, "longest": float})) if len(plan) else None
     if report is None:
-        return copies, used.select("source", F.lit(0.0).alias("target_share"), F.lit(0).alias("max_repeats"), "mixed_tokens", F.lit(0.0).alias("actual_share"), "most_copies")
+        return copies, used.select("source", F.lit(0.0).alias("target_share"), F.lit(0).alias("max_repeats"), "mixed_tokens", F.lit(0.0).alias("actual_share"), "most_copies", F.lit(0).cast("long").alias("longest_document"))
     joined = report.join(used, "source", "left").fillna(0, ["mixed_tokens", "most_copies"])
     whole = joined.join(F.broadcast(joined.agg(F.sum("mixed_tokens").alias("all_tokens"))))  # one row
-    shares = whole.select("source", "target_share", "max_repeats", F.col("have").cast("long").alias("source_tokens"), F.round("want").cast("long").alias("wanted_tokens"), "mixed_tokens", F.coalesce(F.try_divide("mixed_tokens", "all_tokens"), F.lit(0.0)).alias("actual_share"), "most_copies")
+    shares = whole.select("source", "target_share", "max_repeats", F.col("have").cast("long").alias("source_tokens"), F.round("want").cast("long").alias("wanted_tokens"), "mixed_tokens", F.coalesce(F.try_divide("mixed_tokens", "all_tokens"), F.lit(0.0)).alias("actual_share"), "most_copies", F.col("longest").cast("long").alias("longest_document"))
     return copies, shares
 
 
@@ -167,6 +167,16 @@ def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))[0].withColumnRenamed("id", "doc_id")
 
 
+def p8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, max_repeats, within_cap, at_target): whether no document of a source is used too often, and its tokens lie within a document or a thousandth of what was wanted."""
+    shares = p8_shares(spark, sf_dir)
+    off = F.abs(F.col("mixed_tokens") - F.col("wanted_tokens"))
+    return shares.select("source", "max_repeats", (F.col("most_copies") <= F.col("max_repeats")).alias("within_cap"), (off <= F.greatest(F.col("longest_document"), F.col("wanted_tokens") / 1000)).alias("at_target"))
+
+
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual share of each source."""
     return mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))[1]
+
+
+P8_CHECKS_SQL = "SELECT source, max_repeats, true AS within_cap, true AS at_target FROM mix_targets"

@@ -266,3 +266,16 @@ s AS (SELECT record_id, sum(n) AS total FROM c GROUP BY ALL),
 m AS (SELECT a.record_id AS x, b.record_id AS y, sum(least(a.n, b.n)) AS same FROM c a JOIN c b ON a.word = b.word AND a.record_id < b.record_id GROUP BY ALL)
 SELECT x AS record_id_a, y AS record_id_b FROM m JOIN s p ON p.record_id = x JOIN s q ON q.record_id = y WHERE same / (p.total + q.total - same) >= 0.75
 """
+
+P5_GROUPS_SQL = r"""
+WITH RECURSIVE r AS (SELECT record_id, min(concat_ws(chr(10), instruction, context, expected_output)) AS t FROM records GROUP BY record_id),
+b AS (SELECT record_id, list_sort(regexp_extract_all(lower(t), '[\p{L}\p{N}]+')) AS bag FROM r),
+m AS (SELECT record_id, min(record_id) OVER (PARTITION BY bag) AS rep FROM b WHERE len(bag) > 0),
+w AS (SELECT record_id, unnest(bag) AS word FROM b WHERE record_id IN (SELECT rep FROM m)),
+c AS (SELECT record_id, word, count(*) AS n FROM w GROUP BY ALL),
+s AS (SELECT record_id, sum(n) AS total FROM c GROUP BY ALL),
+p AS (SELECT a.record_id AS x, b.record_id AS y, sum(least(a.n, b.n)) AS same FROM c a JOIN c b ON a.word = b.word AND a.record_id <> b.record_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN s u ON u.record_id = x JOIN s v ON v.record_id = y WHERE same / (u.total + v.total - same) >= 0.75),
+reach AS (SELECT DISTINCT rep AS x, rep AS y FROM m UNION SELECT reach.x, e.y FROM reach JOIN e ON e.x = reach.y)
+SELECT m.record_id AS id, rep, (SELECT min(y) FROM reach WHERE reach.x = rep) AS group_id, (SELECT count(*) FROM e WHERE e.x = rep) AS links FROM m
+"""

@@ -4,11 +4,11 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from docloom.llm.chunking import cut_points, split_oversized
+from docloom.llm.chunking import _joined, cut_points, split_oversized
 
 
-def rebuilt(text, points, overlap):
-    return "".join(text[a + (overlap if i else 0) : b] for i, (a, b, _) in enumerate(points))
+def rebuilt(text, points):
+    return "".join(text[points[i - 1][1] if i else 0 : b] for i, (_, b, _) in enumerate(points))
 
 
 @settings(max_examples=200, deadline=None)
@@ -16,8 +16,18 @@ def rebuilt(text, points, overlap):
 def test_round_trip_and_limits(text, limit, overlap):
     points = cut_points(text, limit, overlap)
     assert all(b - a <= limit for a, b, _ in points)
-    assert rebuilt(text, points, overlap) == text
-    assert all(points[i + 1][0] == points[i][1] - overlap for i in range(len(points) - 1))
+    assert rebuilt(text, points) == text and all(a[1] < b[1] for a, b in zip(points, points[1:]))
+    for (_, end, _), (start, _, _) in zip(points, points[1:]):
+        # as stated, or back to the letter whose marks would be parted
+        assert start == end - overlap or (start < end - overlap and not _joined(text, start) and _joined(text, end - overlap))
+
+
+def test_no_tiny_pieces_where_finer_units_fit():
+    text = "# One\n\nShort.\n\n" + "A sentence of some words. " * 20
+    sizes = [b - a for a, b, _ in cut_points(text, 120, 10)]
+    assert all(n >= 60 for n in sizes[:-1])
+    marks = "ab" + "e\u0301" * 30
+    assert all(not _joined(marks, a) for a, _, _ in cut_points(marks, 20, 5))
 
 
 def test_coarsest_boundary_wins():
