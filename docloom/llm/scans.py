@@ -437,10 +437,11 @@ def repair_pages(elements: DataFrame) -> DataFrame:
     # every part but the last without its dividing mark, and with a blank unless a word goes on
     divided = F.col("open_mark").isNotNull() & F.col("text").endswith(F.col("open_mark"))
     stem = F.when(divided, F.expr("substring(text, 1, length(text) - 1)")).when(F.col("text").rlike(r"\p{L}-$"), F.col("text")).otherwise(F.concat("text", F.lit(" ")))
-    parts = body.join(rests, "element_id").groupBy(F.col("head").alias("element_id")).agg(F.array_sort(F.collect_list(F.struct("page", "ord", "element_id", stem.alias("stem"), "text"))).alias("p"))
+    parts = body.join(broadcast_checked(rests), "element_id").groupBy(F.col("head").alias("element_id")).agg(F.array_sort(F.collect_list(F.struct("page", "ord", "element_id", stem.alias("stem"), "text"))).alias("p"))
     whole = F.concat(F.array_join(F.transform(F.slice("p", 1, F.size("p") - 1), lambda x: x.stem), ""), F.element_at("p", -1).text)
-    heads = parts.select("element_id", whole.alias("whole"))
-    joined = body.join(heads, "element_id", "left").join(links.select("element_id"), "element_id", "left_anti")
+    # few paragraphs run over a page, so while their texts fit a broadcast the others are not shuffled again
+    heads = cut_lineage(parts.select("element_id", whole.alias("whole")))
+    joined = body.join(broadcast_checked(heads), "element_id", "left").join(broadcast_checked(links.select("element_id")), "element_id", "left_anti")
     return joined.select("doc_id", "page", "ord", "element_id", "element_type", F.coalesce("whole", "text").alias("text"))
 
 
