@@ -20,10 +20,9 @@ def resolve_aliases(records: DataFrame, units: DataFrame, keys: tuple[str, ...]
     """
     own = [*keys, "rec_in_batch"]
     named = units.select(*keys, F.concat(F.lit("source_"), F.col("alias_no").cast("string")).alias("alias"), "element_id", "full_text")
-    numbered = records.withColumn("__row", F.monotonically_increasing_id()).select(*own, "__row", "source_refs", "evidence")
-    refs = numbered.select(*own, F.explode("source_refs").alias("alias")).join(named.drop("full_text"), [*keys, "alias"], "left")
+    refs = records.select(*own, F.explode("source_refs").alias("alias")).join(named.drop("full_text"), [*keys, "alias"], "left")
     by_ref = refs.groupBy(*own).agg(F.collect_set("element_id").alias("ref_ids"), F.bool_or(F.col("element_id").isNull()).alias("bad_ref"))
-    quotes = numbered.select(*own, F.posexplode("evidence").alias("ev_pos", "e")).select(*own, "ev_pos", F.coalesce("e.source_ref", F.lit("")).alias("alias"), F.coalesce("e.quote", F.lit("")).alias("quote"))
+    quotes = records.select(*own, F.posexplode("evidence").alias("ev_pos", "e")).select(*own, "ev_pos", F.coalesce("e.source_ref", F.lit("")).alias("alias"), F.coalesce("e.quote", F.lit("")).alias("quote"))
     matched = quotes.join(named, [*keys, "alias"], "left").withColumn("held", F.contains(normalize_source("full_text"), normalize_source("quote")))
     by_quote = matched.groupBy(*own).agg(
         F.array_sort(F.collect_set(F.struct("ev_pos", F.col("element_id").alias("source_ref"), "quote"))).alias("ev"),

@@ -14,12 +14,16 @@ from docloom.session import cut_lineage, read_table
 OPTIONS = batching.BatchOptions(max_model_len=1024, records_per_batch=4, record_limit=14)
 
 
-def _elements(spark: SparkSession, sf: str) -> DataFrame:
-    return extraction.distinct_elements(read_table(spark, sf, "elements"))
+def _elements(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """Elements once each, with the given columns or all; only those are shuffled."""
+    table = read_table(spark, sf, "elements")
+    return extraction.distinct_elements(table.select("doc_id", "element_id", "ingested_at", *columns) if columns else table)
 
 
-def _records(spark: SparkSession, sf: str) -> DataFrame:
-    return validation.distinct_records(read_table(spark, sf, "records"))
+def _records(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """Records once each, with the given columns or all; only those are shuffled."""
+    table = read_table(spark, sf, "records")
+    return validation.distinct_records(table.select("record_id", "job_id", "rec_pos", "ingested_at", *columns) if columns else table)
 
 
 def _evidence(records: DataFrame) -> DataFrame:
@@ -27,7 +31,7 @@ def _evidence(records: DataFrame) -> DataFrame:
 
 
 def _sources(spark: SparkSession, sf: str) -> DataFrame:
-    return _elements(spark, sf).groupBy(F.col("element_id").alias("source_ref")).agg(F.min(extraction.quoteable_text()).alias("source_text"))
+    return _elements(spark, sf, "element_type", "text", "table_rows").groupBy(F.col("element_id").alias("source_ref")).agg(F.min(extraction.quoteable_text()).alias("source_text"))
 
 
 def extract_elements(spark: SparkSession, sf: str) -> DataFrame:
@@ -39,19 +43,19 @@ def section_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def document_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    return extraction.document_statistics(_elements(spark, sf)).drop("warnings").fillna(0, ["page_count"])
+    return extraction.document_statistics(_elements(spark, sf, "element_type", "text", "page_number", "table_rows")).drop("warnings").fillna(0, ["page_count"])
 
 
 def structure_analysis(spark: SparkSession, sf: str) -> DataFrame:
-    return extraction.structure_analysis(extraction.document_statistics(_elements(spark, sf))).fillna(0, ["available_page_count"])
+    return extraction.structure_analysis(extraction.document_statistics(_elements(spark, sf, "element_type", "text", "page_number", "table_rows"))).fillna(0, ["available_page_count"])
 
 
 def batch_plan(spark: SparkSession, sf: str) -> DataFrame:
-    return batching.batch_units(_elements(spark, sf), OPTIONS).select("doc_id", "element_id", "ord", "batch_no", "alias_no", "tokens")
+    return batching.batch_units(_elements(spark, sf, "element_type", "text", "ord", "table_rows"), OPTIONS).select("doc_id", "element_id", "ord", "batch_no", "alias_no", "tokens")
 
 
 def context_batches(spark: SparkSession, sf: str) -> DataFrame:
-    units = batching.batch_units(_elements(spark, sf), OPTIONS)
+    units = batching.batch_units(_elements(spark, sf, "element_type", "text", "ord", "table_rows"), OPTIONS)
     return batching.context_batches(units, OPTIONS).select("doc_id", "batch_no", "batch_id", "estimated_input_tokens", "requested_records", F.size("source_element_ids").alias("units"), F.md5("text").alias("text_md5"))
 
 
@@ -70,33 +74,33 @@ def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def structural_errors(spark: SparkSession, sf: str) -> DataFrame:
-    return validation.structural_errors(_records(spark, sf))
+    return validation.structural_errors(_records(spark, sf, "instruction", "input_text", "output_text"))
 
 
 def field_issues(spark: SparkSession, sf: str) -> DataFrame:
-    return validation.field_issues(_records(spark, sf)).select("job_id", "rec_pos", "code", "severity", "field")
+    return validation.field_issues(_records(spark, sf, "instruction", "input_text", "output_text", "context", "expected_output", "category", "difficulty")).select("job_id", "rec_pos", "code", "severity", "field")
 
 
 def reference_issues(spark: SparkSession, sf: str) -> DataFrame:
-    return validation.reference_issues(_records(spark, sf), read_table(spark, sf, "elements"))
+    return validation.reference_issues(_records(spark, sf, "source_refs"), read_table(spark, sf, "elements"))
 
 
 def evidence_checks(spark: SparkSession, sf: str) -> DataFrame:
-    records = _records(spark, sf)
+    records = _records(spark, sf, "evidence")
     return validation.evidence_checks(_evidence(records), _sources(spark, sf)).select("job_id", "rec_pos", "ev_pos", F.coalesce("code", F.lit("VERIFIED")).alias("code"))
 
 
 def evidence_checks_native(spark: SparkSession, sf: str) -> DataFrame:
-    checked = validation.evidence_checks(_evidence(_records(spark, sf)), _sources(spark, sf), normalize_source_native)
+    checked = validation.evidence_checks(_evidence(_records(spark, sf, "evidence")), _sources(spark, sf), normalize_source_native)
     return checked.select("job_id", "rec_pos", "ev_pos", F.coalesce("code", F.lit("VERIFIED")).alias("code"))
 
 
 def exact_duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    return validation.exact_duplicates(_records(spark, sf)).select("job_id", "rec_pos", "fingerprint", "is_duplicate")
+    return validation.exact_duplicates(_records(spark, sf, "instruction", "input_text", "output_text", "context", "expected_output", "category", "difficulty")).select("job_id", "rec_pos", "fingerprint", "is_duplicate")
 
 
 def near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    return validation.near_duplicates(_records(spark, sf))
+    return validation.near_duplicates(_records(spark, sf, "instruction", "input_text", "output_text", "context", "expected_output", "category", "difficulty"))
 
 
 def _grounding(spark: SparkSession, sf: str, normalize=normalize_source) -> tuple[DataFrame, DataFrame]:
@@ -125,7 +129,7 @@ def _checked(spark: SparkSession, sf: str, near: DataFrame | None = None) -> val
 
 def _given_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs that SQL can find, in the place of near-duplicate ones: equal instructions in a job."""
-    one = _records(spark, sf).where(F.col("instruction").isNotNull()).select("job_id", F.col("rec_pos").alias("left_pos"), "instruction")
+    one = _records(spark, sf, "instruction").where(F.col("instruction").isNotNull()).select("job_id", F.col("rec_pos").alias("left_pos"), "instruction")
     return one.join(one.withColumnRenamed("left_pos", "right_pos"), ["job_id", "instruction"]).where("left_pos < right_pos").select("job_id", "left_pos", "right_pos")
 
 
@@ -201,13 +205,13 @@ def provider_parse(spark: SparkSession, sf: str) -> DataFrame:
 def assembled_records(spark: SparkSession, sf: str) -> DataFrame:
     """Records taken in batches of four, cut at what their job asked for."""
     asked = read_table(spark, sf, "jobs").groupBy("job_id").agg(F.max(requested_count(F.col("prompt"), 20)).alias("target"))
-    batches = _records(spark, sf).withColumn("batch_no", F.floor(F.col("rec_pos") / 4).cast("int") + 1).withColumn("rec_in_batch", F.col("rec_pos") % 4).drop("rec_pos")
+    batches = _records(spark, sf, "metadata").withColumn("batch_no", F.floor(F.col("rec_pos") / 4).cast("int") + 1).withColumn("rec_in_batch", F.col("rec_pos") % 4).drop("rec_pos")
     out = resolve.assemble(batches.join(asked, "job_id"))
     return out.select("record_id", "job_id", "rec_pos", F.element_at("metadata", "record_id").alias("name"))
 
 
 def category_frequencies(spark: SparkSession, sf: str) -> DataFrame:
-    counts = review.frequencies(_records(spark, sf), "category").select("job_id", F.inline("counts"))
+    counts = review.frequencies(_records(spark, sf, "category"), "category").select("job_id", F.inline("counts"))
     return counts.select("job_id", F.col("value").alias("category"), "n")
 
 
@@ -219,7 +223,7 @@ def review_batches(spark: SparkSession, sf: str) -> DataFrame:
 def review_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Review findings derived from the records, summarised by the application's rules."""
     codes = F.array(*map(F.lit, review.CODES))
-    found = _records(spark, sf).select("job_id", F.lit(1).alias("batch"), F.col("rec_pos").alias("pos"), F.get(codes, (F.col("record_id") % len(review.CODES)).cast("int")).alias("code"))
+    found = _records(spark, sf, "category").select("job_id", F.lit(1).alias("batch"), F.col("rec_pos").alias("pos"), F.get(codes, (F.col("record_id") % len(review.CODES)).cast("int")).alias("code"))
     summaries = found.select("job_id", "batch").distinct().select("job_id", "batch", F.concat(F.lit("Reviewed "), "job_id").alias("summary"))
     return review.summarize_review(found, summaries).withColumn("codes", F.array_join("codes", ","))
 
@@ -239,11 +243,11 @@ def safe_names(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def semantic_texts(spark: SparkSession, sf: str) -> DataFrame:
-    return _records(spark, sf).select("record_id", F.md5(semantic_text()).alias("semantic_md5"))
+    return _records(spark, sf, "instruction", "input_text", "output_text", "context", "expected_output", "category", "difficulty").select("record_id", F.md5(semantic_text()).alias("semantic_md5"))
 
 
 def manifests(spark: SparkSession, sf: str) -> DataFrame:
-    counts = _records(spark, sf).groupBy("job_id").agg(F.count(F.lit(1)).alias("record_count"))
+    counts = _records(spark, sf, "category").groupBy("job_id").agg(F.count(F.lit(1)).alias("record_count"))
     jobs = read_table(spark, sf, "jobs").distinct().join(counts, "job_id")
     return export.manifest(jobs, F.col("created_at"), {"schema_version": quality.SCHEMA_VERSION})
 
@@ -251,7 +255,7 @@ def manifests(spark: SparkSession, sf: str) -> DataFrame:
 def package_metadata(spark: SparkSession, sf: str) -> DataFrame:
     """Flat package metadata of every job, with a report of its status and record counts and no review."""
     made = manifests(spark, sf)
-    counts = _records(spark, sf).groupBy("job_id").agg(F.count(F.lit(1)).alias("final_record_count"))
+    counts = _records(spark, sf, "category").groupBy("job_id").agg(F.count(F.lit(1)).alias("final_record_count"))
     reports = counts.select("job_id", F.to_json(F.struct(F.lit("passed").alias("status"), F.struct("final_record_count").alias("quality"))).alias("report"))
     return export.package_metadata(made, reports)
 
