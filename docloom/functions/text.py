@@ -99,7 +99,7 @@ def json_text_length(text: Column) -> Column:
 
 def human_size(size: Column) -> Column:
     """A number of bytes as B, KB or MB, with one place from a kilobyte on."""
-    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1024 * 1024, F.concat(F.format_number(size / 1024, 1), F.lit(" KB"))).otherwise(F.concat(F.format_number(size / (1024 * 1024), 1), F.lit(" MB")))
+    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1024 * 1024, F.format_string("%.1f KB", size / 1024)).otherwise(F.format_string("%.1f MB", size / (1024 * 1024)))
 
 
 def batch_progress(text: Column) -> Column:

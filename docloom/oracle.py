@@ -233,4 +233,27 @@ SELECT job_id, count(*) AS issues_found, CAST(count_if(b) AS BIGINT) AS blocking
     "revised_records": f"WITH {_RECORDS} SELECT record_id, CASE WHEN coalesce(difficulty, '') IN ('easy', 'medium', 'hard') THEN difficulty ELSE 'medium' END AS difficulty, CASE WHEN coalesce(difficulty, '') IN ('easy', 'medium', 'hard') THEN '' ELSE 'DIFFICULTY_MISMATCH' END AS reason FROM rec",
     "safe_names": f"WITH {_NAMES} SELECT doc_id, CASE WHEN slug = '' THEN 'document' ELSE slug END AS safe_name, lower(regexp_extract(CASE WHEN slug = '' THEN 'document' ELSE slug END, '[^.](\\.[^.]+)$', 1)) AS extension, CASE WHEN stem = '' THEN 'dataset' ELSE stem END || '-dataset.zip' AS download FROM s",
     "semantic_texts": f"WITH {_RECORDS} SELECT record_id, md5({_SEMANTIC}) AS semantic_md5 FROM rec",
+    "resolved_records": f"""WITH {_ELEMENTS}, {_RECORDS}, src AS (SELECT element_id, min({_QUOTE}) AS source_text FROM el GROUP BY element_id),
+un AS (SELECT DISTINCT job_id, unnest(source_element_ids) AS element_id FROM context_batches), ut AS (SELECT job_id, element_id, source_text FROM un JOIN src USING (element_id)),
+rr AS (SELECT * FROM rec WHERE job_id IN (SELECT job_id FROM un)),
+a AS (SELECT x.job_id, rec_pos, bool_or(element_id IS NULL) AS bad, list_sort(list(DISTINCT element_id) FILTER (element_id IS NOT NULL)) AS ids FROM (SELECT job_id, rec_pos, unnest(source_refs) AS ref FROM rr) x LEFT JOIN ut ON ut.job_id = x.job_id AND element_id = ref GROUP BY ALL),
+b AS (SELECT x.job_id, rec_pos, bool_or(element_id IS NULL) AS bad, list_sort(list(DISTINCT element_id) FILTER (element_id IS NOT NULL)) AS ids, bool_and(coalesce(contains({_norm_full('source_text')}, {_norm_full('e.quote')}), false)) AS held FROM (SELECT job_id, rec_pos, unnest(evidence) AS e FROM rr) x LEFT JOIN ut ON ut.job_id = x.job_id AND element_id = e.source_ref GROUP BY ALL),
+j AS (SELECT rr.job_id, rr.rec_pos, coalesce(a.ids, []) AS ids, coalesce(b.ids, []) AS evidence_ids, CASE WHEN coalesce(a.bad, false) OR coalesce(b.bad, false) THEN 'UNKNOWN_OR_CROSS_BATCH_SOURCE_REF' WHEN len(a.ids) > 0 AND len(b.ids) > 0 AND a.ids <> b.ids THEN 'SOURCE_REF_EVIDENCE_MISMATCH' WHEN NOT coalesce(held, true) THEN 'BATCH_EVIDENCE_NOT_FOUND' ELSE '' END AS error
+ FROM rr LEFT JOIN a ON a.job_id = rr.job_id AND a.rec_pos = rr.rec_pos LEFT JOIN b ON b.job_id = rr.job_id AND b.rec_pos = rr.rec_pos)
+SELECT job_id, rec_pos, error, CASE WHEN error = '' THEN array_to_string(CASE WHEN len(evidence_ids) > 0 THEN evidence_ids ELSE ids END, ',') ELSE '' END AS refs FROM j""",
+    "label_kinds": "SELECT DISTINCT element_id, CASE WHEN contains(element_type, 'table') THEN 'table' WHEN contains(element_type, 'section') OR contains(element_type, 'heading') THEN 'heading' WHEN contains(element_type, 'list') THEN 'list_item' WHEN contains(element_type, 'caption') THEN 'caption' WHEN contains(element_type, 'code') THEN 'code_block' WHEN contains(element_type, 'paragraph') THEN 'paragraph' ELSE 'text' END AS kind, CASE WHEN contains(element_type, 'table') THEN 'table' ELSE 'heading' END AS section_kind FROM elements",
+    "table_cells": f"""WITH {_ELEMENTS}, t AS (SELECT element_id, list_transform(list_filter(string_split_regex({_QUOTE}, '{_BREAK}'), lambda l: regexp_matches(l, '{_NOT_WS}')), lambda l: array_to_string(list_transform(string_split(l, '|'), lambda c: {_strip('c')}), '¦')) AS r FROM el WHERE element_type = 'table')
+SELECT element_id, CAST(len(r) AS INTEGER) AS n_rows, md5(array_to_string(r, chr(10))) AS cells_md5 FROM t""",
+    "record_names": f"WITH {_RECORDS} SELECT record_id, coalesce(nullif(metadata['record_id'], ''), 'record-' || (rec_pos + 1)) AS name, regexp_full_match(job_id, '[A-Za-z0-9]{{32}}') AS job_id_valid FROM rec",
+    "document_sizes": "SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN printf('%.1f KB', floor(n_chars / 1024.0 * 10 + 0.5) / 10) ELSE printf('%.1f MB', floor(n_chars / 1048576.0 * 10 + 0.5) / 10) END AS size FROM documents",
+    "batch_steps": "SELECT batch_key, batch_no AS number, max(batch_no) OVER (PARTITION BY job_id) AS total FROM context_batches",
+    "review_parses": f"WITH {_RECORDS} SELECT record_id, CASE WHEN record_id % 6 IN (0, 5) THEN '' ELSE 'QUALITY_REVIEW_INVALID' END AS error, CASE WHEN record_id % 6 IN (0, 5) THEN 1 ELSE 0 END AS issues, CASE WHEN record_id % 6 IN (0, 5) THEN 'Reviewed ' || record_id ELSE '' END AS summary FROM rec",
+    "top_issues": f"WITH {_RECORDS} SELECT job_id, rec_pos AS pos, record_id FROM rec QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY rec_pos) <= 5",
+    "replacement_pairs": f"""WITH {_RECORDS}, a AS (SELECT job_id, rec_pos, difficulty, count(*) OVER (PARTITION BY job_id) AS total FROM rec),
+b AS (SELECT job_id, rec_pos, total, row_number() OVER (PARTITION BY job_id ORDER BY rec_pos) - 1 AS nth, count(*) OVER (PARTITION BY job_id) AS asked FROM a WHERE coalesce(difficulty, '') NOT IN ('easy', 'medium', 'hard')),
+c AS (SELECT *, CASE WHEN job_id < '8' THEN asked WHEN job_id < 'c' THEN total ELSE asked + 1 END AS given FROM b)
+SELECT job_id, rec_pos, CAST(CASE WHEN given = total THEN rec_pos WHEN given = asked THEN nth ELSE -1 END AS INTEGER) AS new_pos, CASE WHEN given = total OR given = asked THEN '' ELSE 'QUALITY_REVISION_INVALID' END AS error FROM c""",
+    "decoded_texts": "SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE text IS NOT NULL",
+    "report_fields": f"""WITH {_found()}, q AS ({_QUALITY}), n AS (SELECT job_id, count(*) AS issues FROM issues GROUP BY job_id)
+SELECT q.job_id, q.status, final, CAST(final AS INTEGER) AS summaries, CASE WHEN coalesce(total_records, 0) = 0 THEN 0.0 ELSE round_even(grounded_records / total_records * 100, 1) END AS grounding_percent, CAST(coalesce(issues, 0) AS INTEGER) AS issues, CAST(warnings AS INTEGER) AS warnings, easy_count AS easy FROM q LEFT JOIN gr USING (job_id) LEFT JOIN n USING (job_id)""",
 }

@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from docloom.functions.text import download_name, extension, normalize_source, normalize_source_native, requested_count, safe_filename, semantic_text
+from docloom.functions.text import batch_progress, download_name, extension, human_size, is_job_id, normalize_source, normalize_source_native, requested_count, safe_filename, semantic_text
 from docloom.operators import batching, export, extraction, provider_output, quality, resolve, review, validation
 from docloom.session import cut_lineage, read_table
+from docloom.sources import files
 
 OPTIONS = batching.BatchOptions(max_model_len=1024, records_per_batch=4, record_limit=14)
 
@@ -260,11 +262,102 @@ def package_metadata(spark: SparkSession, sf: str) -> DataFrame:
     return export.package_metadata(made, reports)
 
 
+def resolved_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Records with their refs written as the aliases of their job's units, and resolved again."""
+    listed = read_table(spark, sf, "context_batches").select("job_id", "batch_no", F.posexplode("source_element_ids").alias("pos", "element_id"))
+    first = listed.groupBy("job_id", "element_id").agg(F.min(F.struct("batch_no", "pos")).alias("at"))
+    numbered = first.withColumn("alias_no", F.row_number().over(Window.partitionBy("job_id").orderBy("at")))
+    units = numbered.join(_sources(spark, sf).withColumnRenamed("source_ref", "element_id"), "element_id").select("job_id", "alias_no", "element_id", F.col("source_text").alias("full_text"))
+    names = numbered.groupBy("job_id").agg(F.map_from_entries(F.collect_list(F.struct("element_id", F.concat(F.lit("source_"), F.col("alias_no").cast("string"))))).alias("names"))
+    alias = lambda ref: F.coalesce(F.try_element_at("names", F.coalesce(ref, F.lit(""))), F.lit("source_0"))
+    records = _records(spark, sf, "source_refs", "evidence").join(names, "job_id").select("job_id", F.col("rec_pos").alias("rec_in_batch"), F.transform("source_refs", alias).alias("source_refs"), F.transform("evidence", lambda e: F.struct(alias(e.source_ref).alias("source_ref"), e.quote.alias("quote"))).alias("evidence"))
+    out = resolve.resolve_aliases(records, units, ("job_id",))
+    return out.select("job_id", F.col("rec_in_batch").alias("rec_pos"), F.coalesce("batch_error", F.lit("")).alias("error"), F.when(F.col("batch_error").isNull(), F.array_join("source_refs", ",")).otherwise("").alias("refs"))
+
+
+def label_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """Kinds of elements by labels made of their types."""
+    rows = read_table(spark, sf, "elements").select("element_id", "element_type").distinct()
+    return rows.select("element_id", extraction.label_kind(F.col("element_type")).alias("kind"), extraction.label_kind(F.concat(F.lit("Section_"), F.upper("element_type"))).alias("section_kind"))
+
+
+def table_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows and cells of tables, read back from their quotable text."""
+    tables = _elements(spark, sf, "element_type", "text", "table_rows").where("element_type = 'table'")
+    cells = extraction.table_rows(extraction.quoteable_text())
+    return tables.select("element_id", F.size(cells).alias("n_rows"), F.md5(F.array_join(F.transform(cells, lambda row: F.array_join(row, "¦")), "\n")).alias("cells_md5"))
+
+
+def record_names(spark: SparkSession, sf: str) -> DataFrame:
+    return _records(spark, sf, "metadata").select("record_id", validation.record_name().alias("name"), is_job_id(F.col("job_id")).alias("job_id_valid"))
+
+
+def document_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return read_table(spark, sf, "documents").select("doc_id", human_size(F.col("n_chars")).alias("size"))
+
+
+def batch_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """The number and total of progress texts made of context batches."""
+    batches = read_table(spark, sf, "context_batches")
+    totals = batches.groupBy("job_id").agg(F.max("batch_no").alias("last"))
+    step = batch_progress(F.concat(F.lit("batch "), F.col("batch_no").cast("string"), F.lit(" of "), F.col("last").cast("string")))
+    return batches.join(totals, "job_id").select("batch_key", step.alias("step")).select("batch_key", "step.number", "step.total")
+
+
+def review_parses(spark: SparkSession, sf: str) -> DataFrame:
+    """Review results of six shapes, good and bad, made of the records, and what the strict parser makes of them."""
+    name = F.col("record_id").cast("string")
+    issue = lambda code, who: F.struct(F.lit(code).alias("code"), F.lit("warning").alias("severity"), F.array(who).alias("record_ids"), F.lit("m").alias("message"), F.lit("a").alias("suggested_action"))
+    result = lambda issues, summary, *more: F.to_json(F.struct(F.array(*issues).alias("issues"), summary.alias("summary"), *more))
+    said = F.concat(F.lit("Reviewed "), name)
+    good = result([issue("WEAK_CONTEXT", name)], said)
+    shapes = [good, result([issue("WEAK_CONTEXT", F.lit("none"))], said), result([issue("WEAK_CONTEXT", name)], said, F.lit(5).alias("grade")), result([issue("NEW_CODE", name)], said), result([issue("WEAK_CONTEXT", name)], F.lit(7)), F.to_json(F.struct(F.lit("x").alias("id"), F.array(F.struct(F.struct(good.alias("content")).alias("message"))).alias("choices")))]
+    raw = _records(spark, sf, "category").select("record_id", F.get(F.array(*shapes), (F.col("record_id") % len(shapes)).cast("int")).alias("output"))
+    parsed = review.parse_review(raw, F.array(name))
+    return parsed.select("record_id", F.coalesce("p.error", F.lit("")).alias("error"), F.coalesce(F.size("p.issues"), F.lit(0)).alias("issues"), F.coalesce("p.summary", F.lit("")).alias("summary"))
+
+
+def top_issues(spark: SparkSession, sf: str) -> DataFrame:
+    """The first five of the findings of :func:`review_summary`, as a page shows them."""
+    found = _records(spark, sf, "category").select("job_id", F.lit(1).alias("batch"), F.col("rec_pos").alias("pos"), "record_id")
+    return review.top_issues(found).select("job_id", "pos", "record_id")
+
+
+def replacement_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of an unknown difficulty with replacements by position: as many as asked for, a full dataset, or one too many, by the job's id."""
+    records = _records(spark, sf, "difficulty")
+    totals = records.groupBy("job_id").agg(F.count(F.lit(1)).cast("int").alias("total"))
+    affected = records.where(~F.coalesce("difficulty", F.lit("")).isin(*validation.DIFFICULTIES)).join(totals, "job_id").select("job_id", "rec_pos", "total")
+    asked = affected.groupBy("job_id").agg(F.count(F.lit(1)).cast("int").alias("asked"), F.max("total").alias("total"))
+    first = F.substring("job_id", 1, 1)
+    given = F.when(first < "8", F.col("asked")).when(first < "c", F.col("total")).otherwise(F.col("asked") + 1)
+    replacements = asked.select("job_id", F.explode(F.sequence(F.lit(0), given - 1)).alias("new_pos"))
+    return review.pair_replacements(affected, replacements).select("job_id", "rec_pos", F.coalesce("new_pos", F.lit(-1)).cast("int").alias("new_pos"), F.coalesce("error", F.lit("")).alias("error"))
+
+
+def decoded_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts written as bytes, as UTF-8 with a mark or in a one-byte charset where it has all their characters, and decoded."""
+    marked = F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8"))
+    narrow = F.col("text").rlike(r"^[\x00-\x7F\x{A0}-\x{FF}]*$")
+    content = F.when(F.col("doc_id") % 2 == 0, marked).when(narrow, F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
+    texts = read_table(spark, sf, "documents").where(F.col("text").isNotNull()).select("doc_id", content.alias("content"))
+    return texts.select("doc_id", F.md5(files.decode_text(F.col("content"))).alias("text_md5"))
+
+
+def report_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """What stands in the validation reports, with given pairs, read back from their JSON."""
+    found = _checked(spark, sf, _given_pairs(spark, sf))
+    reports = quality.report_document(_summary(found, spark, sf), found.grounding, found.issues, quality.record_summaries(found.per_record, found.issues, _kept(found)))
+    at = lambda path: F.get_json_object("report", f"$.{path}")
+    return reports.select("job_id", at("status").alias("status"), at("records.final").cast("long").alias("final"), F.json_array_length(at("records.recordSummaries")).alias("summaries"), at("grounding.grounding_percent").cast("double").alias("grounding_percent"), F.json_array_length(at("issues")).alias("issues"), F.json_array_length(at("quality.warnings")).alias("warnings"), at("quality.difficulty_distribution.easy").cast("long").alias("easy"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         document_statistics, structure_analysis, extract_elements, section_paths, batch_plan, context_batches, requested_counts, alias_units, normalize_text, structural_errors, field_issues, reference_issues,
         evidence_checks, evidence_checks_native, exact_duplicates, near_duplicates, grounding_summary, grounding_summary_native, grounding_after_dedup, quality_summary, quality_summary_given, record_summaries, validation_overview, validation_issues, validation_reports,
         csv_projection, provider_parse, provider_shapes, assembled_records, category_frequencies, review_batches, review_summary, revised_records, safe_names, semantic_texts, manifests, package_metadata,
+        resolved_records, label_kinds, table_cells, record_names, document_sizes, batch_steps, review_parses, top_issues, replacement_pairs, decoded_texts, report_fields,
     )
 }
