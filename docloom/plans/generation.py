@@ -88,12 +88,12 @@ def batch_messages(prompt: str, text: str, batch_id: str, asked: int, repair: st
 def _parsed(raw: DataFrame, units: DataFrame) -> DataFrame:
     """Resolved records of the last attempt of each batch, and an error a batch may have."""
     latest = raw.groupBy("job_id", "doc_id", "batch_no").agg(F.max_by("output", "attempt").alias("output"))
-    parsed = parse_outputs(latest)
+    parsed = cut_lineage(parse_outputs(latest))
     failed = parsed.where(F.col("error").isNotNull()).select("job_id", "batch_no", "error")
     cites = F.coalesce(F.col("item.source_refs").isNotNull() | F.col("item.evidence").isNotNull(), F.lit(False))
     citing = parsed.where(cites).select("job_id", "batch_no").distinct()
     records = normalize_records(parsed, F.col("job_id"), F.col("doc_id"), {"provider": F.lit("offline")})
-    resolved = resolve_aliases(records, units)
+    resolved = cut_lineage(resolve_aliases(records, units))
     gate = resolved.where(F.col("batch_error").isNotNull()).select("job_id", "batch_no", F.col("batch_error").alias("error"))
     numbered = resolved.withColumn("rec_pos", F.col("rec_in_batch"))
     blank = structural_errors(numbered).join(numbered.select("job_id", "rec_pos", "batch_no").distinct(), ["job_id", "rec_pos"]).select("job_id", "batch_no", F.concat(F.lit("missing "), "field").alias("error"))
