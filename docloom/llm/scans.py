@@ -125,7 +125,9 @@ def find_furniture(elements: DataFrame) -> DataFrame:
     numbered = split.where(F.col("raw") != "")
     offsets = numbered.where(F.col("arabic").isNotNull()).groupBy("doc_id", (F.col("page") - F.col("arabic")).alias("shift")).agg(F.countDistinct("page").alias("support"))
     front = numbered.where(F.col("roman") == F.col("page")).select("doc_id", (F.col("page") + 1).alias("page"), F.lit(True).alias("after_front")).distinct()
-    alone = inner_lines(elements, lambda line: line.rlike(f"(?i)^{_NUMBER}$")).withColumn("raw", F.regexp_extract("line", f"(?i)^{_NUMBER}$", 1)).withColumn("aside", F.col("line"))
+    # one pattern over the whole text leaves few elements whose lines are looked at
+    some = elements.where(F.col("text").rlike(rf"(?imd)^[ \t\x0B\f\r]*{_NUMBER}[ \t\x0B\f\r]*$"))
+    alone = inner_lines(some, lambda line: line.rlike(f"(?i)^{_NUMBER}$")).withColumn("raw", F.regexp_extract("line", f"(?i)^{_NUMBER}$", 1)).withColumn("aside", F.col("line"))
     arabic, roman = _number_of(F.col("raw"))
     alone = alone.withColumn("arabic", arabic).withColumn("roman", roman).withColumn("apart", F.lit(False))
     columns = ["doc_id", "page", "element_id", "edge", "at", "raw", "aside", "arabic", "roman", "apart"]
@@ -140,12 +142,12 @@ def find_furniture(elements: DataFrame) -> DataFrame:
     heads = elements.where((F.col("element_type") == "heading") & F.col("page_number").isNotNull() & ~F.col("text").contains("\n")).select("doc_id", "ord", F.trim(F.col("text")).alias("t")).withColumn("head", ocr_key(F.col("t")))
     heads = heads.where(F.length("head") >= 4).groupBy("doc_id", "head").agg(F.min("ord").alias("first"), F.length(F.min("t")).alias("head_chars"))
     near = lambda a, b: F.levenshtein(F.col(a), F.col(b)) <= F.greatest(F.lit(1), F.floor(F.length(b) / 8))
-    left = lines.where("page > 1 or edge = 'bottom'").select("doc_id", "element_id", "edge", "at", "ord", "key", F.explode(_halves("key")).alias("half"))
+    # of "office — title", the part after a dash repeats the title
+    tail = F.when(F.col("body").rlike(r"\s[\x{2014}\x{2013}]\s"), ocr_key(F.regexp_replace("body", r"^.*\s[\x{2014}\x{2013}]\s", "")))
+    whole = F.when((F.col("page") > 1) | (F.col("edge") == "bottom"), F.col("key"))
+    left = lines.select("doc_id", "element_id", "edge", "at", "ord", F.explode(F.array_compact(F.array(whole, tail))).alias("probe")).select("*", F.explode(_halves("probe")).alias("half"))
     right = heads.select("doc_id", "head", "first", F.explode(_halves("head")).alias("half"))
-    repeats = left.join(right, ["doc_id", "half"]).where((F.col("first") < F.col("ord")) & near("key", "head")).select("element_id", "edge", "at")
-    # "office — title": the part after a dash repeats the title
-    tail = lines.where(F.col("body").rlike(r"\s[\x{2014}\x{2013}]\s")).withColumn("tail", ocr_key(F.regexp_replace("body", r"^.*\s[\x{2014}\x{2013}]\s", "")))
-    dashed = tail.select("doc_id", "element_id", "edge", "at", "ord", "tail", F.explode(_halves("tail")).alias("half")).join(right, ["doc_id", "half"]).where((F.col("first") < F.col("ord")) & near("tail", "head")).select("element_id", "edge", "at")
+    repeats = left.join(right, ["doc_id", "half"]).where((F.col("first") < F.col("ord")) & near("probe", "head")).select("element_id", "edge", "at")
     # lines that repeat among themselves, misread or not, on three pages or more in the same place; each reading counts its pages first, so many pages are no hot group
     plain = lines.where(F.col("element_type").isin("text", "paragraph") & (F.col("page") > 1) & (F.length("key") >= 6) & ~F.col("line").rlike(r"[.!?]\s*$"))
     readings = plain.groupBy("doc_id", "edge", "key").agg(F.countDistinct("page").alias("pages"))
@@ -154,13 +156,13 @@ def find_furniture(elements: DataFrame) -> DataFrame:
     like = like.select("doc_id", "edge", "key", "other", "more").distinct().groupBy("doc_id", "edge", "key").agg(F.sum("more").alias("more"))
     again = readings.join(like, ["doc_id", "edge", "key"], "left").where(F.col("pages") + F.coalesce("more", F.lit(0)) >= 3)
     running = plain.join(again, ["doc_id", "edge", "key"], "left_semi").select("element_id", "edge", "at")
-    out = cut_lineage(numbers.union(repeats).union(dashed).union(running).distinct())
+    out = cut_lineage(numbers.union(repeats).union(running).distinct())
     # inside elements: lines that repeat a running line of the upload
     runs = split.where("length(key) >= 6").join(out.where("edge <> 'inside'"), ["element_id", "edge", "at"], "left_semi").groupBy("doc_id", F.col("key").alias("run")).agg(F.countDistinct("page").alias("pages")).where("pages >= 2")
     runs = cut_lineage(runs.select("doc_id", "run"))
-    some = elements.join(broadcast_checked(runs.select("doc_id").distinct()), "doc_id", "left_semi")
-    inner = inner_lines(some, lambda line: F.length(line) >= 6, least=2).withColumn("run", ocr_key(F.col("line")))
-    again = inner.join(broadcast_checked(runs), ["doc_id", "run"], "left_semi")
+    small = broadcast_checked(runs)
+    inner = inner_lines(elements.join(small, "doc_id", "left_semi"), lambda line: F.length(line) >= 6, least=2).withColumn("run", ocr_key(F.col("line")))
+    again = inner.join(small, ["doc_id", "run"], "left_semi")
     return out.union(again.select("element_id", "edge", "at")).distinct()
 
 
