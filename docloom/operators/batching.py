@@ -143,7 +143,13 @@ def place_units(sizes: DataFrame, options: BatchOptions) -> DataFrame:
     size, _ = _chunk(options)
     # a document of one chunk starts at its first unit
     long = numbered.groupBy("doc_id").agg(F.max("place").alias("most")).where(F.col("most") >= size).select("doc_id")
-    entries = chunk_entries(chunk_exits(numbered.join(long, "doc_id", "left_semi"), options))
+    rows = numbered.withColumn("chunk", F.floor(F.col("place") / size))
+    start = {"entry": 0, "number": 1, "open": 0}
+    if long.isEmpty():
+        rows = rows.select("*", *[F.lit(v).alias(c) for c, v in start.items()])
+    else:
+        entries = chunk_entries(chunk_exits(numbered.join(long, "doc_id", "left_semi"), options))
+        rows = rows.join(entries, ["doc_id", "chunk"], "left").fillna(start)
     budget, cap = options.budget, options.unit_cap
     kind = sizes.schema["doc_id"].dataType.simpleString()
 
@@ -167,9 +173,7 @@ def place_units(sizes: DataFrame, options: BatchOptions) -> DataFrame:
                 counted.append(own)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "element_id": batch["element_id"], "ord": batch["ord"], "batch_no": numbers, "alias_no": aliases, "tokens": counted})
 
-    rows = numbered.withColumn("chunk", F.floor(F.col("place") / size)).join(entries, ["doc_id", "chunk"], "left")
-    state = [F.coalesce(c, F.lit(start)).alias(c) for c, start in (("entry", 0), ("number", 1), ("open", 0))]
-    ordered = rows.select("doc_id", "chunk", "place", "element_id", "ord", "whole", *state).repartition("doc_id", "chunk").sortWithinPartitions("doc_id", "chunk", "place")
+    ordered = rows.select("doc_id", "chunk", "place", "element_id", "ord", "whole", *start).repartition("doc_id", "chunk").sortWithinPartitions("doc_id", "chunk", "place")
     return ordered.mapInPandas(fold, f"doc_id {kind}, element_id string, ord int, batch_no int, alias_no int, tokens int")
 
 
