@@ -199,12 +199,12 @@ h AS (SELECT *, max(batch_no) OVER (PARTITION BY doc_id) AS last FROM g)
 SELECT doc_id, CAST(batch_no AS INTEGER) AS batch_no, 'batch-' || batch_no AS batch_id, CAST(t AS INTEGER) AS estimated_input_tokens, CAST(CASE WHEN batch_no < last THEN greatest(1, least({OPTIONS.records_per_batch}, {OPTIONS.record_limit} - (batch_no - 1) * {OPTIONS.records_per_batch})) ELSE {min(OPTIONS.records_per_batch, OPTIONS.record_limit)} END AS INTEGER) AS requested_records, CAST(units AS INTEGER) AS units, md5(text) AS text_md5 FROM h""",
     "requested_counts": f"SELECT DISTINCT job_id, CAST(least(CASE WHEN regexp_extract(prompt, '{RECORD_COUNT}', 1) = '' THEN 4 ELSE CAST(regexp_extract(prompt, '{RECORD_COUNT}', 1) AS INTEGER) END, 20) AS INTEGER) AS requested FROM (SELECT DISTINCT * FROM jobs)",
     "alias_units": "SELECT batch_key, 'source_' || i AS alias, element_id, element_id IN (SELECT element_id FROM elements) AS known FROM (SELECT batch_key, unnest(range(1, len(source_element_ids) + 1)) AS i, unnest(source_element_ids) AS element_id FROM context_batches)",
-    "normalize_text": f"SELECT doc_id, md5({_norm(chr(114) + 'eplace(text, ' + chr(39) + '…' + chr(39) + ', ' + chr(39) + '...' + chr(39) + ')')}) AS norm_md5 FROM documents",
+    "normalize_text": f"SELECT doc_id, md5({_norm_full('text')}) AS norm_md5 FROM documents",
     "structural_errors": f"WITH {_RECORDS} SELECT job_id, rec_pos, unnest(list_filter([CASE WHEN NOT regexp_matches(coalesce(instruction, ''), '{_NOT_WS}') THEN 'instruction' END, CASE WHEN NOT regexp_matches(coalesce(input_text, ''), '{_NOT_WS}') THEN 'input' END, CASE WHEN NOT regexp_matches(coalesce(output_text, ''), '{_NOT_WS}') THEN 'output' END], lambda x: x IS NOT NULL)) AS field FROM rec",
     "field_issues": f"WITH {_RECORDS} {_FIELD_ISSUES}",
     "reference_issues": f"WITH {_RECORDS} {_REF_ISSUES}",
     "evidence_checks_native": f"WITH {_checks()} SELECT job_id, rec_pos, ev_pos, code FROM chk",
-    "exact_duplicates": f"WITH {_RECORDS}, {_finger()} SELECT * FROM dup",
+    "exact_duplicates": f"WITH {_RECORDS}, {_finger(_norm_full)} SELECT * FROM dup",
     "grounding_summary_native": _grounding(_norm, "true", ""),
     "grounding_summary": _grounding(_norm_full, "true", _PERCENT),
     "grounding_after_dedup": _grounding(_norm_full, "NOT is_duplicate", _PERCENT),
