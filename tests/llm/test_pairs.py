@@ -2,7 +2,9 @@
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
+from docloom.llm import pairs
 from docloom.llm.pairs import DEFECTS, best_cutoff, find_defects, fit, language, plant
 
 GOOD = ["The pump is kept in the north hall and the team inspects it after every restart.", "Without the form the cabinet cannot leave the archive area.", "The limit for the valve is 40 kg, measured at the bench."]
@@ -75,3 +77,36 @@ def test_rows(spark):
     assert len(out) == len(set(out))
     assert dict(out) == want
     assert find_defects(df.limit(0)).count() == 0
+
+
+def test_planting_by_turns():
+    sample = pd.DataFrame({"i": ["Where is it?"] * 3, "o": [GOOD[0], "No.", GOOD[0]]})
+    planted = plant(sample, [3, 3, 7], ["en", "en", "en"])
+    assert planted["planted"].tolist() == ["other_language", "", "empty"]
+    assert planted["o"].tolist() == [None, "No.", "   "]
+
+
+def test_cutoffs_are_validated_on_all_sound_pairs(spark, monkeypatch):
+    n, late = 2_500, 2_300  # as many pairs as follow the first 2,000 by the hash of their id, and German ones only among the last
+    german = ("Wo steht die Pumpe {} und wer prüft sie nach der Schicht?", "Die Pumpe {} ist in der Halle und wird nicht von dem Prüfer nach der Schicht bewegt.")
+    english = ("Where is the pump {} and who checks it after the shift?", "The pump {} is kept in the hall and the team checks it after every restart of the line.")
+    order = [r.id for r in spark.range(n).orderBy(F.xxhash64("id"), "id").collect()]
+    texts = {k: german if rank >= late else english for rank, k in enumerate(order)}
+    rows = [(k, texts[k][0].format(k), "", texts[k][1].format(k)) for k in range(n)]
+    rows += [rows[order[-1]]] * 3 + [(n, english[0].format(n), "", ""), (n + 1, english[0].format(n), "", "N/A")]
+    df = spark.createDataFrame(rows, "record_id long, instruction string, context string, expected_output string")
+    cutoffs, counts, filled = [], [], []
+    validated, patterns, others = pairs.validated_cutoffs, pairs._patterns, pairs._in_other_languages
+    monkeypatch.setattr(pairs, "validated_cutoffs", lambda *a: cutoffs.append(validated(*a)) or cutoffs[-1])
+    monkeypatch.setattr(pairs, "_patterns", lambda voted, *by: counts.append(patterns(voted, *by)) or counts[-1])
+    monkeypatch.setattr(pairs, "_in_other_languages", lambda *a: filled.append(others(*a)) or filled[-1])
+    assert {r.id: r.defect for r in find_defects(df).collect()} == {n: "empty", n + 1: "empty"}
+    used = counts[1].groupby(["defect", "planted"])["n"].sum().unstack()
+    assert set(used.columns) == {"", *DEFECTS} and (used.sum(axis=1) == n).all() and used.min().min() >= n // 10
+    assert all(0.5 <= c <= 0.99 for c in cutoffs[0].values()) and cutoffs[0]["other_language"] != 0.8
+    given = filled[0].collect()
+    assert len({r.id for r in given}) == len(given) == used["other_language"].iloc[0]
+    assert all((r.i, r.c) == rows[r.id][1:3] and r.o in {x[3] for x in rows} and {language(r.i)[0], language(r.o)[0]} == {"en", "de"} for r in given)
+    assert len({r.o for r in given}) > 100  # not a few answers for all
+    find_defects(df.repartition(7)).count()
+    assert cutoffs[1] == cutoffs[0]
